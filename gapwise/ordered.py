@@ -187,26 +187,26 @@ def row_number() -> Sum:
     return Sum(F.lit(1).cast("long"))
 
 
-def _windowed(op: Scan, forward, backward) -> Column:
-    up_to = forward.rowsBetween(Window.unboundedPreceding, 0)
-    before = forward.rowsBetween(Window.unboundedPreceding, -1)
-    # A frame that grows backwards costs one more sort but stays linear;
-    # "current row to unbounded following" would be quadratic.
-    down_to = backward.rowsBetween(Window.unboundedPreceding, 0)
-    after = backward.rowsBetween(Window.unboundedPreceding, -1)
+def _windowed(op: Scan, axis: Axis, *extra: str) -> Column:
+    every = Window.unboundedPreceding
+    if isinstance(op, Next):
+        # A frame that grows backwards costs one more sort but stays linear;
+        # "current row to unbounded following" would be quadratic.
+        frame = axis.window(*extra, descending=True).rowsBetween(every, 0 if op.here else -1)
+        return F.last(op.expr, ignorenulls=True).over(frame)
+    forward = axis.window(*extra)
     match op:
         case Lag():
             return F.lag(op.expr).over(forward)
         case Lead():
             return F.lead(op.expr).over(forward)
         case Last():
-            return F.last(op.expr, ignorenulls=True).over(up_to if op.here else before)
-        case Next():
-            return F.last(op.expr, ignorenulls=True).over(down_to if op.here else after)
+            frame = forward.rowsBetween(every, 0 if op.here else -1)
+            return F.last(op.expr, ignorenulls=True).over(frame)
         case Sum():
-            return F.sum(op.expr).over(up_to)
+            return F.sum(op.expr).over(forward.rowsBetween(every, 0))
         case Least():
-            return F.min(op.expr).over(up_to)
+            return F.min(op.expr).over(forward.rowsBetween(every, 0))
         case Tail():
             return F.collect_list(op.expr).over(forward.rowsBetween(1 - op.size, 0))
     raise TypeError(op)
@@ -215,8 +215,7 @@ def _windowed(op: Scan, forward, backward) -> Column:
 def scan(df: DataFrame, axis: Axis, **ops: Scan) -> DataFrame:
     """Add one column per operation, computed along the axis."""
     if not axis.chunked:
-        forward, backward = axis.window(), axis.window(descending=True)
-        return df.withColumns({n: _windowed(op, forward, backward) for n, op in ops.items()})
+        return df.withColumns({n: _windowed(op, axis) for n, op in ops.items()})
     return _chunked_scan(df, axis, ops)
 
 
@@ -226,7 +225,6 @@ def _chunked_scan(df: DataFrame, axis: Axis, ops: dict[str, Scan]) -> DataFrame:
     # One shuffle puts a chunk on one task; the local windows, the summaries and the
     # carry join below all reuse that placement.
     cut = materialize(df.withColumn("_c", axis.chunk()).repartition(*by))
-    forward, backward = axis.window("_c"), axis.window("_c", descending=True)
     place = F.struct(*axis.order)
     local, summary, carry, final = {}, [], {}, {}
     over_key = Window.partitionBy(*axis.keys).orderBy("_c")
@@ -239,7 +237,7 @@ def _chunked_scan(df: DataFrame, axis: Axis, ops: dict[str, Scan]) -> DataFrame:
         match op:
             case Lag() | Lead():
                 ahead = isinstance(op, Lead)
-                local[here] = _windowed(replace(op, expr=boxed), forward, backward)
+                local[here] = _windowed(replace(op, expr=boxed), axis, "_c")
                 edge = F.min_by if ahead else F.max_by
                 summary.append(edge(boxed, place).alias(kept))
                 step = F.lead if ahead else F.lag
@@ -248,26 +246,26 @@ def _chunked_scan(df: DataFrame, axis: Axis, ops: dict[str, Scan]) -> DataFrame:
                 final[name] = F.coalesce(F.col(here), F.col(given))["v"]
             case Last() | Next():
                 ahead = isinstance(op, Next)
-                local[here] = _windowed(op, forward, backward)
+                local[here] = _windowed(op, axis, "_c")
                 edge = F.min_by if ahead else F.max_by
                 summary.append(edge(op.expr, F.when(op.expr.isNotNull(), place)).alias(kept))
                 frame = later if ahead else earlier
                 carry[given] = F.last(F.col(kept), ignorenulls=True).over(frame)
                 final[name] = F.coalesce(F.col(here), F.col(given))
             case Sum():
-                local[here] = _windowed(op, forward, backward)
+                local[here] = _windowed(op, axis, "_c")
                 summary.append(F.sum(op.expr).alias(kept))
                 carry[given] = F.sum(kept).over(earlier)
                 both = F.col(here) + F.col(given)
                 final[name] = F.coalesce(both, F.col(here), F.col(given))
             case Least():
-                local[here] = _windowed(op, forward, backward)
+                local[here] = _windowed(op, axis, "_c")
                 summary.append(F.min(op.expr).alias(kept))
                 carry[given] = F.min(kept).over(earlier)
                 low = F.when(F.col(given) < F.col(here), F.col(given)).otherwise(F.col(here))
                 final[name] = F.coalesce(low, F.col(given))
             case Tail():
-                local[here] = _windowed(op, forward, backward)
+                local[here] = _windowed(op, axis, "_c")
                 back = axis.window("_c", descending=True)
                 newest = F.when(F.row_number().over(back) == 1, F.col(here))
                 local[f"_n_{name}"] = newest
