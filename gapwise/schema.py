@@ -1,20 +1,12 @@
 """Canonical schemas and closed domains."""
 
-from pyspark.sql import types as T
-
 # Quality flags, progress sources and span states.
 QUALITY = ("observed", "missing", "held", "interpolated", "predicted", "fused", "anomalous")
 PROGRESS_SOURCES = ("observed", "fused", "predicted", "interpolated", "missing")
 SPAN_STATES = ("visible", "absent", "unknown")
 
-REASONS = T.ArrayType(T.StringType())
-
-
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
-SAMPLE = _struct(
+# Schemas are DDL text, which needs no running session.
+SAMPLE = (
     "frame bigint, time_s double, lap_number int, lap_time_s double, s double, "
     "speed_kmh double, gear int, throttle_pct double, brake_pct double, steering double, "
     "tc_active boolean, abs_active boolean, field_quality map<string,string>, "
@@ -22,7 +14,7 @@ SAMPLE = _struct(
     "s_visual double, s_uncertainty double, s_source string, s_reasons array<string>"
 )
 
-OBSERVATION = _struct(
+OBSERVATION = (
     "value double, quality string, raw_value string, reasons array<string>, "
     "last_observed_time_s double"
 )
@@ -31,16 +23,10 @@ _ENVELOPE = "schema_version string, source_id string, source_sha256 string, prof
 _ROW = "frame bigint, time_s double, source_time_s double, "
 _FLAGS = "field_quality map<string,string>, field_reasons map<string,array<string>>"
 
-SAMPLE_LINE = T.StructType(
-    _struct(_ENVELOPE + _ROW + _FLAGS).fields + [T.StructField("sample", SAMPLE)]
-)
-
-OBSERVATION_LINE = T.StructType(
-    _struct(_ENVELOPE + _ROW + _FLAGS).fields
-    + [T.StructField("observations", T.MapType(T.StringType(), OBSERVATION))]
-)
+SAMPLE_LINE = f"{_ENVELOPE}{_ROW}{_FLAGS}, sample struct<{SAMPLE}>"
+OBSERVATION_LINE = f"{_ENVELOPE}{_ROW}{_FLAGS}, observations map<string,struct<{OBSERVATION}>>"
 
-MANIFEST = _struct(
+MANIFEST = (
     "schema_version string, source_id string, profile string, frame_count bigint, "
     "source struct<sha256:string,size_bytes:bigint>, clip_origin struct<start_s:double>, "
     "lap_transitions array<struct<frame:bigint,time_s:double,from_lap:int,to_lap:int,"
@@ -48,7 +34,7 @@ MANIFEST = _struct(
     "last_previous_lap_observed_time_s:double>>"
 )
 
-ANNOTATIONS = _struct(
+ANNOTATIONS = (
     "schema_version string, source_sha256 string, role string, recording_id string, "
     "annotator string, reviewed boolean, "
     "frames array<struct<frame:bigint,time_s:double,speed_text:string,gear_text:string,"
