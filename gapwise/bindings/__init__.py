@@ -3,7 +3,7 @@
 from importlib import import_module
 from typing import NamedTuple
 
-MODULES = ("runs",)
+MODULES = ("runs", "normalization", "selections")
 
 
 class Registered(NamedTuple):

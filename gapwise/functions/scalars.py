@@ -98,7 +98,7 @@ def hint_problem(text: Column) -> Column:
 
 def parse_reasons(text: Column) -> Column:
     """``a;b`` as an array without blanks."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), ";"), F.trim)
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), ";"), lambda p: F.trim(p))
     return F.filter(parts, lambda p: p != "")
 
 
