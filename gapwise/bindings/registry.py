@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 DIGITS = 6
+# Both engines round a tie their own way; a tiny shift moves short decimals off the ties.
+SHIFT = 3e-10
 
 
 def presentable(df: DataFrame) -> DataFrame:
@@ -19,7 +21,7 @@ def presentable(df: DataFrame) -> DataFrame:
     for field in df.schema.fields:
         column = F.col(field.name)
         if isinstance(field.dataType, T.DoubleType):
-            column = F.round(column, DIGITS) + F.lit(0.0)
+            column = F.round(column + F.lit(SHIFT), DIGITS) + F.lit(0.0)
         elif isinstance(field.dataType, T.ArrayType):
             column = F.array_join(column, ";")
         columns.append(column.alias(field.name))
@@ -40,7 +42,7 @@ def register(name: str, sql: str | None = None, rounded: str = ""):
         run.__doc__ = function.__doc__
         QUERIES[name] = run
         if sql is not None:
-            parts = [f"round({c}, {DIGITS}) + 0.0 AS {c}" for c in rounded.split()]
+            parts = [f"round({c} + {SHIFT}, {DIGITS}) + 0.0 AS {c}" for c in rounded.split()]
             head = f"SELECT * REPLACE ({', '.join(parts)})" if parts else "SELECT *"
             with_part, _, body = sql.rpartition("\n--\n")
             ORACLES[name] = f"{with_part}\n{head} FROM (\n{body.strip()}\n) AS result"
