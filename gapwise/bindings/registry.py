@@ -44,6 +44,7 @@ def register(name: str, sql: str | None = None, rounded: str = ""):
         if sql is not None:
             parts = [f"round({c} + {SHIFT}, {DIGITS}) + 0.0 AS {c}" for c in rounded.split()]
             head = f"SELECT * REPLACE ({', '.join(parts)})" if parts else "SELECT *"
+            # ``--`` on its own line parts the common table expressions from the result.
             with_part, _, body = sql.rpartition("\n--\n")
             ORACLES[name] = f"{with_part}\n{head} FROM (\n{body.strip()}\n) AS result"
         return function

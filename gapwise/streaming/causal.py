@@ -21,10 +21,13 @@ from gapwise.operators.runs import TIME_SLACK, EventSettings
 
 
 def observation_stream(
-    spark: SparkSession, path: str, schema: T.StructType, form: str = "parquet", files: int = 1
+    spark: SparkSession, path: str, schema: T.StructType, form: str = "parquet",
+    files: int | None = None,
 ) -> DataFrame:
-    """Observation files as a stream, oldest file first, a bounded number per trigger."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
+    """Observation files as a stream, oldest file first, ``files`` of them per trigger."""
+    reader = spark.readStream.schema(schema)
+    if files is not None:
+        reader = reader.option("maxFilesPerTrigger", files)
     return reader.format(form).load(path)
 
 
@@ -38,7 +41,8 @@ class _Causal(StatefulProcessor):
         self.step, self.order = step, order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("state", T.StructType.fromDDL("body string"))
+        body = T.StructType([T.StructField("body", T.StringType())])
+        self.kept = handle.getValueState("state", body)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
         state = json.loads(self.kept.get()[0]) if self.kept.exists() else None
