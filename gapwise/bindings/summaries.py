@@ -13,7 +13,7 @@ from gapwise.bindings.views import (
 )
 from gapwise.channel import Channel
 from gapwise.operators import aggregates, joins, runs, scoring
-from gapwise.ordered import asof
+from gapwise.ordered import asof, materialize
 
 KEY = ("session_id",)
 
@@ -614,7 +614,8 @@ def match_classes(v: Views):
 @register("match_metrics")
 def match_metrics(v: Views):
     """No SQL twin: it needs the matching."""
-    found = matches(v)
+    # Used twice; matching costs more than keeping its result.
+    found = materialize(matches(v))
     classes = scoring.match_classes(truth_ev(v), pred_ev(v), found, v.axis, MATCH_WINDOW)
     return scoring.match_metrics(classes, found, KEY)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,13 +30,14 @@ def accept_successors(marks: DataFrame, axis: Axis, label: str) -> DataFrame:
     """Keep the first mark of a key, then only marks one above the last kept one."""
     schema = T.StructType(list(marks.schema.fields))
 
-    def step(state, rows: pd.DataFrame):
+    def step(state, rows):
         current, kept = state, []
-        for value in rows[label].tolist():
-            take = current is None or value == current + 1
-            kept.append(take)
-            current = int(value) if take else current
-        return current, rows[kept]
+        for row in rows:
+            value = getattr(row, label)
+            if current is None or value == current + 1:
+                current = int(value)
+                kept.append(tuple(row))
+        return current, kept
 
     return fold(marks, axis, step, schema)
 
@@ -57,9 +57,9 @@ def _readings(df: DataFrame, axis: Axis, label: str) -> DataFrame:
 
 def _confirmations(rows: DataFrame, axis: Axis, label: str, n: int) -> DataFrame:
     marks = rows.filter(F.col("_count") == n).select(
-        *axis.keys, "frame", F.col(label).cast("long").alias("_label")
+        *axis.keys, "frame", F.col(label).cast("long").alias("label")
     )
-    return accept_successors(marks, axis, "_label")
+    return accept_successors(marks, axis, "label")
 
 
 def confirm_labels(df: DataFrame, axis: Axis, label: str, n: int) -> DataFrame:
@@ -73,7 +73,7 @@ def confirm_labels(df: DataFrame, axis: Axis, label: str, n: int) -> DataFrame:
     readings = _readings(df, axis, label)
     accepted = _confirmations(readings, axis, label, n)
     marks = accepted.select(
-        *axis.keys, "frame", F.lit(0).alias("_side"), F.col("_label").alias("_mark")
+        *axis.keys, "frame", F.lit(0).alias("_side"), F.col("label").alias("_mark")
     )
     rows = readings.withColumn("_side", F.lit(1))
     both = rows.unionByName(marks, allowMissingColumns=True)
@@ -171,18 +171,18 @@ def rolling_majority(
     valid = scan(
         df.filter(F.col(label).isNotNull()), axis, _tail=Tail(F.col(label).cast("long"), size)
     )
-    votes = valid.withColumn("_vote", majority(F.col("_tail"), share, least))
-    marks = votes.filter(F.col("_vote").isNotNull()).select(*axis.keys, "frame", "_vote")
-    marks = scan(marks, axis, _p=Lag(F.col("_vote")))
-    marks = marks.filter(~_yes(F.col("_p") == F.col("_vote"))).drop("_p")
+    votes = valid.withColumn("vote", majority(F.col("_tail"), share, least))
+    marks = votes.filter(F.col("vote").isNotNull()).select(*axis.keys, "frame", "vote")
+    marks = scan(marks, axis, _p=Lag(F.col("vote")))
+    marks = marks.filter(~_yes(F.col("_p") == F.col("vote"))).drop("_p")
     if successors_only:
-        marks = accept_successors(marks, axis, "_vote")
+        marks = accept_successors(marks, axis, "vote")
     both = df.withColumn("_side", F.lit(1)).unionByName(
-        marks.select(*axis.keys, "frame", F.lit(0).alias("_side"), "_vote"),
+        marks.select(*axis.keys, "frame", F.lit(0).alias("_side"), "vote"),
         allowMissingColumns=True,
     )
-    both = scan(both, axis.then("_side"), smoothed_label=Last(F.col("_vote")))
-    return both.filter(F.col("_side") == 1).drop("_side", "_vote")
+    both = scan(both, axis.then("_side"), smoothed_label=Last(F.col("vote")))
+    return both.filter(F.col("_side") == 1).drop("_side", "vote")
 
 
 def close_labels(

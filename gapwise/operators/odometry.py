@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapwise.ordered import Axis, Lag, Last, Lead, Next, Sum, asof, quantiles, row_number, scan
+from gapwise.ordered import (
+    Axis, Lag, Last, Lead, Next, Sum, asof, materialize, quantiles, row_number, scan,
+)
 
 
 def fill_bounded(df: DataFrame, axis: Axis, value: str, max_gap: float) -> DataFrame:
@@ -163,6 +165,8 @@ def judge_laps(
     laps: DataFrame, keys: tuple[str, ...], *, max_missing: float, max_deviation: float
 ) -> DataFrame:
     """All laps with ``accepted`` and the ordered reasons of a rejection."""
+    # One row per lap, used several times below; its lineage holds whole sessions.
+    laps = materialize(laps)
     duration = F.col("end_time_s") - F.col("start_time_s")
     usable = F.col("complete") & (F.col("distance_m") > 0)
     usable = usable & (F.col("missing_fraction") <= max_missing)

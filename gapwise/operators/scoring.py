@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gapwise.channel import finite
-from gapwise.ordered import Axis, Lag, Last, Next, Sum, quantiles, scan
+from gapwise.ordered import Axis, Lag, Last, Next, Sum, in_groups, plan_axis, quantiles, scan
 
 
 def event_violations(truth: DataFrame, predictions: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -38,50 +37,40 @@ def event_violations(truth: DataFrame, predictions: DataFrame, keys: tuple[str,
     return out
 
 
-def best_monotone_pairs(mid: np.ndarray, times: np.ndarray, window: float) -> list[tuple[int, int]]:
+def best_monotone_pairs(mid: list, times: list, window: float) -> list[tuple[int, int]]:
     """Most pairs, then least total distance, both lists in order; see ``match_events``.
 
-    Only predictions within the window of a truth item can change a row of the table, so
-    each row is computed on that band and repeats its neighbours outside it.
+    Row i of the table differs from the row above only on the band of predictions
+    within the window of truth item i and where that advantage still shows.
     """
     n, m = len(mid), len(times)
-    count = np.zeros(m + 1, dtype=np.int64)
-    cost = np.zeros(m + 1)
+    score = [(0, 0.0)] * (m + 1)
     choice = []
     for i in range(n):
-        lo = int(np.searchsorted(times, mid[i] - window - 1e-9))
-        hi = int(np.searchsorted(times, mid[i] + window + 1e-9, side="right"))
-        new_count, new_cost = count.copy(), cost.copy()
-        taken = np.zeros(m + 1, dtype=np.int8)
+        lo = bisect_left(times, mid[i] - window - 1e-9)
+        hi = bisect_right(times, mid[i] + window + 1e-9)
+        new, taken = score[:], {}
         for j in range(lo, m):
-            best = (-count[j + 1], cost[j + 1])
-            move = 0
-            left = (-new_count[j], new_cost[j])
-            if left < best:
-                best, move = left, 1
-            far = abs(mid[i] - times[j])
-            if j < hi and far <= window:
-                both = (-count[j] - 1, cost[j] + far)
-                if both < best:
-                    best, move = both, 2
-            elif j >= hi and move == 0:
-                # Past the band nothing but the row above can be chosen from here on.
+            best, move = score[j + 1], 0
+            if new[j] < best:
+                best, move = new[j], 1
+            if j < hi:
+                far = abs(mid[i] - times[j])
+                pair = (score[j][0] - 1, score[j][1] + far)
+                if far <= window and pair < best:
+                    best, move = pair, 2
+            elif move == 0:
                 break
-            new_count[j + 1], new_cost[j + 1] = -best[0], best[1]
-            taken[j + 1] = move
-        count, cost = new_count, new_cost
+            if move:
+                new[j + 1], taken[j + 1] = best, move
+        score = new
         choice.append(taken)
-    pairs, j = [], m
-    i = n - 1
+    pairs, i, j = [], n - 1, m
     while i >= 0 and j > 0:
-        move = choice[i][j]
+        move = choice[i].get(j, 0)
         if move == 2:
             pairs.append((i, j - 1))
-            i, j = i - 1, j - 1
-        elif move == 1:
-            j -= 1
-        else:
-            i -= 1
+        i, j = (i, j - 1) if move == 1 else (i - 1, j - (move == 2))
     return pairs[::-1]
 
 
@@ -130,33 +119,21 @@ def match_events(
         ]
     )
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values(["t", "id"], kind="stable")
-        a, b = (ordered[ordered["side"] == s].reset_index(drop=True) for s in (0, 1))
-        pairs = best_monotone_pairs(a["t"].to_numpy(), b["t"].to_numpy(), window)
-        left = a.iloc[[i for i, _ in pairs]].reset_index(drop=True)
-        right = b.iloc[[j for _, j in pairs]].reset_index(drop=True)
-        signed = right["t"] - left["t"]
-        out = {k: left[k] for k in keys}
-        return pd.DataFrame(
-            {
-                **out,
-                "truth_id": left["id"],
-                "prediction_id": right["id"],
-                "annotation_midpoint_s": left["t"],
-                "annotation_half_width_s": left["half"],
-                "signed_error_s": signed,
-                "absolute_error_s": signed.abs(),
-                "confirmation_delay_s": right["delay"],
-            }
-        )
+    def solve(key, rows):
+        left = [r for r in rows if r.side == 0]
+        right = [r for r in rows if r.side == 1]
+        pairs = best_monotone_pairs([r.t for r in left], [r.t for r in right], window)
+        out = []
+        for i, j in pairs:
+            a, b = left[i], right[j]
+            signed = b.t - a.t
+            out.append((*key[:-1], a.id, b.id, a.t, a.half, signed, abs(signed), b.delay))
+        return out
 
-    return both.groupBy(*keys, "part").applyInPandas(solve, schema)
+    return in_groups(both, (*keys, "part"), ("t", "id"), solve, schema)
 
 
 def _time_axis(df: DataFrame, axis: Axis, order: tuple[str, ...]) -> Axis:
-    from gapwise.ordered import plan_axis
-
     return plan_axis(df, axis.keys, order) if axis.chunked else Axis(axis.keys, order)
 
 

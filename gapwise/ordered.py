@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import json
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import pandas as pd
@@ -293,15 +293,87 @@ def _chunked_scan(df: DataFrame, axis: Axis, ops: dict[str, Scan]) -> DataFrame:
 # --- fold -----------------------------------------------------------------------------
 
 
-Step = Callable[[object, pd.DataFrame], tuple[object, pd.DataFrame]]
+Step = Callable[[object, list], tuple[object, list[tuple]]]
+
+
+def _slices(by: list[str], batches: Iterator[pd.DataFrame]):
+    """Runs of rows with equal keys, per batch: ``(key, rows)`` and ``None`` after a batch."""
+    for pdf in batches:
+        rows = list(pdf.itertuples(index=False, name="Row"))
+        keys = list(zip(*[pdf[k].tolist() for k in by]))
+        start = 0
+        for i in range(1, len(rows) + 1):
+            if i == len(rows) or keys[i] != keys[start]:
+                yield keys[start], rows[start:i]
+                start = i
+        yield None, None
+
+
+def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=names, dtype=object)
+
+
+def in_groups(
+    df: DataFrame, by: tuple[str, ...], order: tuple[str, ...], solve: Callable, schema: T.StructType
+) -> DataFrame:
+    """``solve(key, rows)`` per group, many groups per Arrow batch.
+
+    A group must be bounded by its caller; tiny groups cost no call of their own.
+    """
+    names = schema.names
+
+    def run(batches):
+        current, held, out = None, [], []
+        for key, rows in _slices(list(by), batches):
+            if key is None:
+                yield _frame(out, names)
+                out = []
+                continue
+            if key != current and held:
+                out += solve(current, held)
+                held = []
+            current = key
+            held += rows
+        if held:
+            yield _frame(solve(current, held), names)
+
+    placed = df.repartition(*by).sortWithinPartitions(*by, *order)
+    return placed.mapInPandas(run, schema)
+
+
+def _folding(by: list[str], step: Step, names: list[str], ends: bool):
+    """Batches of sorted rows to output rows, or to the state left by each group."""
+
+    def run(batches):
+        current, state, given, out = None, None, None, []
+        for key, rows in _slices(by, batches):
+            if key is None:
+                yield _frame(out, names)
+                out = []
+                continue
+            if key != current:
+                if ends and current is not None:
+                    out.append((*current, given, None if state is None else json.dumps(state)))
+                current = key
+                given = getattr(rows[0], "given_state", None)
+                state = None if given is None else json.loads(given)
+            state, produced = step(state, rows)
+            if not ends:
+                out += produced
+        if ends and current is not None:
+            last = (*current, given, None if state is None else json.dumps(state))
+            yield _frame([last], names)
+
+    return run
 
 
 def fold(df: DataFrame, axis: Axis, step: Step, schema: T.StructType) -> DataFrame:
     """Run a sequential state machine along the axis.
 
     ``step(state, rows)`` receives the state left by earlier rows (``None`` at the
-    start of a key) and a sorted slice, and returns the new state (anything JSON can
-    hold exactly) with the output rows.  It must not depend on where slices end.
+    start of a key) and some next rows as named tuples, and returns the new state
+    (anything JSON can hold exactly) with the output tuples.  It must not depend on
+    where the rows are split.
 
     Beyond the checked bound, chunks run in parallel from assumed states.  A chunk is
     run again only if its assumption proves wrong, so the result is exact; rules that
@@ -309,49 +381,41 @@ def fold(df: DataFrame, axis: Axis, step: Step, schema: T.StructType) -> DataFra
     """
     keys, order = list(axis.keys), list(axis.order)
     if not axis.chunked:
-
-        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-            return step(None, pdf.sort_values(order, ignore_index=True))[1]
-
-        return df.groupBy(*keys).applyInPandas(whole, schema)
+        placed = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+        return placed.mapInPandas(_folding(keys, step, schema.names, False), schema)
 
     by = [*keys, "_c"]
     cut = materialize(df.withColumn("_c", axis.chunk()).repartition(*by))
-    key_fields = [f for f in cut.schema.fields if f.name in by]
+    key_fields = [f for k in by for f in cut.schema.fields if f.name == k]
     state_schema = T.StructType(
         key_fields
-        + [T.StructField("_given", T.StringType()), T.StructField("_left", T.StringType())]
+        + [T.StructField("given_state", T.StringType()), T.StructField("left_state", T.StringType())]
     )
 
-    def advance(pdf: pd.DataFrame) -> pd.DataFrame:
-        given = pdf["_given"].iloc[0]
-        rows = pdf.drop(columns=["_c", "_given"]).sort_values(order, ignore_index=True)
-        state, _ = step(None if given is None else json.loads(given), rows)
-        head = pdf.loc[:, by].iloc[:1].copy()
-        return head.assign(_given=given, _left=None if state is None else json.dumps(state))
-
-    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
-        given = pdf["_given"].iloc[0]
-        rows = pdf.drop(columns=["_c", "_given"]).sort_values(order, ignore_index=True)
-        return step(None if given is None else json.loads(given), rows)[1]
+    def started(states: DataFrame) -> DataFrame:
+        # The chunk's rows with the state they start from; already placed by chunk.
+        return cut.join(states, by).repartition(*by).sortWithinPartitions(*by, *order)
 
     over_key = Window.partitionBy(*keys).orderBy("_c")
-    todo = cut.select(*by).distinct().withColumn("_given", F.lit(None).cast("string"))
+    todo = cut.select(*by).distinct().withColumn("given_state", F.lit(None).cast("string"))
     known = None
     while True:
-        ran = cut.join(todo, by).groupBy(*by).applyInPandas(advance, state_schema)
+        ran = started(todo).mapInPandas(
+            _folding(by, step, state_schema.names, True), state_schema
+        )
         if known is not None:
             ran = known.join(todo.select(*by), by, "left_anti").unionByName(ran)
         known = materialize(ran)
-        linked = known.withColumn("_want", F.lag("_left").over(over_key))
+        linked = known.withColumn("want", F.lag("left_state").over(over_key))
         todo = materialize(
-            linked.filter(~F.col("_want").eqNullSafe(F.col("_given"))).select(
-                *by, F.col("_want").alias("_given")
+            linked.filter(~F.col("want").eqNullSafe(F.col("given_state"))).select(
+                *by, F.col("want").alias("given_state")
             )
         )
         if todo.isEmpty():
             break
-    return cut.join(known.select(*by, "_given"), by).groupBy(*by).applyInPandas(emit, schema)
+    final = started(known.select(*by, "given_state"))
+    return final.mapInPandas(_folding(by, step, schema.names, False), schema)
 
 
 # --- joins along an order -------------------------------------------------------------
@@ -413,7 +477,6 @@ def overlap_join(
     keys: tuple[str, ...],
     left_span: tuple[str, str],
     right_span: tuple[str, str],
-    how: str = "inner",
 ) -> DataFrame:
     """Pairs (``l``, ``r``) of rows whose closed spans meet; points are spans of length zero.
 
@@ -421,19 +484,23 @@ def overlap_join(
     length, so a pair is met at the larger of the two powers by an equi-join on
     (key, power, cell).  Work grows with rows and pairs, never with interval length.
     """
-    ls, le, rs, re = *left_span, *right_span
-    sides = []
-    for df, start, end in ((left, ls, le), (right, rs, re)):
-        sides.append(
-            df.select(
-                *keys,
-                F.struct(*df.columns).alias("row"),
-                F.col(start).cast("double").alias("a"),
-                F.col(end).cast("double").alias("b"),
-                _level(F.col(start), F.col(end)).alias("own"),
-            ).filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") <= F.col("b")))
-        )
-    levels = [_present(side, "own") for side in sides]
+    sides, levels = [], []
+    for df, (start, end) in ((left, left_span), (right, right_span)):
+        side = df.select(
+            *keys,
+            F.struct(*df.columns).alias("row"),
+            F.col(start).cast("double").alias("a"),
+            F.col(end).cast("double").alias("b"),
+            _level(F.col(start), F.col(end)).alias("own"),
+        ).filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") <= F.col("b")))
+        if start == end:
+            levels.append([_MIN_LEVEL])
+        else:
+            # Intervals are few beside the rows they come from; keeping them spares a
+            # second run of their whole lineage.
+            side = materialize(side)
+            levels.append(_present(side, "own"))
+        sides.append(side)
 
     def placed(side: DataFrame, others: list[int]) -> DataFrame:
         higher = F.filter(
@@ -448,7 +515,6 @@ def overlap_join(
     lp = placed(sides[0], levels[1]).alias("l")
     rp = placed(sides[1], levels[0]).alias("r")
     meet = F.greatest(F.col("l.a"), F.col("r.a"))
-    same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]
     size = F.pow(F.lit(2.0), F.col("l.power"))
     condition = (
         (F.col("l.power") == F.col("r.power"))
@@ -457,10 +523,9 @@ def overlap_join(
         & (F.col("l.cell") == F.floor(meet / size).cast("long"))
         & (meet <= F.least(F.col("l.b"), F.col("r.b")))
     )
-    for term in same:
-        condition = term & condition
-    pairs = lp.join(rp, condition).select(F.col("l.row").alias("l"), F.col("r.row").alias("r"))
-    return pairs
+    for key in keys:
+        condition = (F.col(f"l.{key}") == F.col(f"r.{key}")) & condition
+    return lp.join(rp, condition).select(F.col("l.row").alias("l"), F.col("r.row").alias("r"))
 
 
 # --- exact quantiles ------------------------------------------------------------------
@@ -474,7 +539,8 @@ def quantiles(
     Equal values are counted before the shuffle.  Keys with many distinct values are
     ranked by a chunked running count, so that no task holds a whole key.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).count()
+    # Distinct values with counts; kept, since their number is checked before they are used.
+    counted = materialize(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).count())
     if _largest(counted, *keys) <= group_rows(df.sparkSession):
         exact = [
             F.percentile(value, F.lit(f), F.col("count")).alias(n) for n, f in fractions.items()

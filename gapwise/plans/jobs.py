@@ -12,7 +12,7 @@ from gapwise.operators import (
     align, aggregates, checks, episodes, fusion, geometry, joins, odometry, runs, scoring,
 )
 from gapwise.operators.runs import EventSettings
-from gapwise.ordered import Axis, asof, overlap_join
+from gapwise.ordered import Axis, asof, materialize, overlap_join
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -186,7 +186,7 @@ def evaluate_events(
     near = scoring.match_classes(truth, predictions, nobody, axis, window)
     near = near.filter((F.col("side") == "prediction") & (F.col("class") == "duplicate"))
     inside = predictions.join(near.select(*keys, "id"), [*keys, "id"], "left_semi")
-    matches = scoring.match_events(truth, inside, axis, window)
+    matches = materialize(scoring.match_events(truth, inside, axis, window))
     classes = scoring.match_classes(truth, inside, matches, axis, window)
     metrics = scoring.match_metrics(classes, matches, keys)
     seen = observable_truth(truth, frames, keys, window)

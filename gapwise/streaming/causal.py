@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gapwise.operators.fusion import FUSED, FUSE_INPUT, FusionSettings, fuse_step
 from gapwise.operators.runs import TIME_SLACK, EventSettings
+from gapwise.ordered import Step
 
 
 def observation_stream(
@@ -31,14 +32,11 @@ def observation_stream(
     return reader.format(form).load(path)
 
 
-Step = Callable[[object, pd.DataFrame], tuple[object, pd.DataFrame]]
-
-
 class _Causal(StatefulProcessor):
     """Runs ``step(state, rows)`` per session and keeps the state as JSON."""
 
-    def __init__(self, step: Step, order: list[str]):
-        self.step, self.order = step, order
+    def __init__(self, step: Step, order: list[str], names: list[str]):
+        self.step, self.order, self.names = step, order, names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         body = T.StructType([T.StructField("body", T.StringType())])
@@ -48,9 +46,10 @@ class _Causal(StatefulProcessor):
         state = json.loads(self.kept.get()[0]) if self.kept.exists() else None
         # Rows of one session in one micro-batch; the trigger bounds their number.
         batch = pd.concat(list(rows), ignore_index=True)
-        state, out = self.step(state, batch.sort_values(self.order, ignore_index=True))
+        ordered = batch.sort_values(self.order).itertuples(index=False, name="Row")
+        state, out = self.step(state, list(ordered))
         self.kept.update((json.dumps(state),))
-        yield out
+        yield pd.DataFrame(out, columns=self.names, dtype=object)
 
     def close(self) -> None:
         pass
@@ -58,7 +57,7 @@ class _Causal(StatefulProcessor):
 
 def causal(stream: DataFrame, keys: list[str], step: Step, schema: T.StructType, order: list[str]):
     return stream.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_Causal(step, order),
+        statefulProcessor=_Causal(step, order, schema.names),
         outputStructType=schema,
         outputMode="Append",
         timeMode="None",
@@ -82,13 +81,13 @@ def stream_labels(stream: DataFrame, label: str, n: int) -> DataFrame:
         "confirmed_label bigint, label_quality string, confidence double, label_reason string, "
         "is_boundary boolean",
     )
-    names = [f.name for f in schema.fields]
 
-    def step(state, rows: pd.DataFrame):
+    def step(state, rows):
         confirmed, pending, count = state or [None, None, 0]
         out = []
-        for head, raw in zip(rows[names[:3]].itertuples(index=False), rows[label]):
-            raw = None if _given(raw) is None else int(raw)
+        for row in rows:
+            head, raw = (row.session_id, row.frame, row.time_s), _given(getattr(row, label))
+            raw = None if raw is None else int(raw)
             reason, sure, boundary = None, 1.0, False
             counts = raw is not None and (confirmed is None or raw == confirmed + 1)
             if counts:
@@ -110,7 +109,7 @@ def stream_labels(stream: DataFrame, label: str, n: int) -> DataFrame:
             else:
                 quality = "observed" if raw == confirmed else "held"
             out.append((*head, confirmed, quality, sure, reason, boundary))
-        return [confirmed, pending, count], pd.DataFrame(out, columns=names, dtype=object)
+        return [confirmed, pending, count], out
 
     return causal(stream, keys, step, schema, ["frame"])
 
@@ -124,14 +123,12 @@ def stream_admission(
         stream, [*keys, "frame", "time_s"],
         "admitted double, admitted_quality string, admission_reason string",
     )
-    names = [f.name for f in schema.fields]
 
-    def step(state, rows: pd.DataFrame):
+    def step(state, rows):
         last, out = state, []
-        for head, t, v, q in zip(
-            rows[names[:3]].itertuples(index=False), rows["time_s"], rows[value], rows[quality]
-        ):
-            reason, v = None, _given(v)
+        for row in rows:
+            head, t = (row.session_id, row.frame, row.time_s), row.time_s
+            reason, v, q = None, _given(getattr(row, value)), getattr(row, quality)
             if q != "observed" or v is None:
                 last = None
                 out.append((*head, v, q, None))
@@ -149,7 +146,7 @@ def stream_admission(
                         reason = "speed_rate_exceeded"
             last = None if reason else [float(t), float(v)]
             out.append((*head, None, "anomalous", reason) if reason else (*head, v, q, None))
-        return last, pd.DataFrame(out, columns=names, dtype=object)
+        return last, out
 
     return causal(stream, keys, step, schema, ["frame"])
 
@@ -164,15 +161,13 @@ def stream_events(
         "type string, frame bigint, time_s double, confirmed_frame bigint, confirmed_at_s double, "
         "previous_evidence_time_s double, value double",
     )
-    names = [f.name for f in schema.fields]
 
-    def step(state, rows: pd.DataFrame):
+    def step(state, rows):
         active, pending, last_t = state or [None, None, None]
         out = []
-        for key, f, t, v, q in zip(
-            rows["session_id"], rows["frame"], rows["time_s"], rows[value], rows[quality]
-        ):
-            v = _given(v)
+        for row in rows:
+            key, f, t = row.session_id, row.frame, row.time_s
+            v, q = _given(getattr(row, value)), getattr(row, quality)
             if q != "observed" or v is None or not 0 <= v <= 100:
                 active = pending = last_t = None
                 continue
@@ -192,7 +187,7 @@ def stream_events(
             else:
                 pending = None
             last_t = float(t)
-        return [active, pending, last_t], pd.DataFrame(out, columns=names)
+        return [active, pending, last_t], out
 
     return causal(stream, keys, step, schema, ["frame"])
 
@@ -201,16 +196,13 @@ def stream_last_observed(stream: DataFrame) -> DataFrame:
     """Newest observed time per field (batch twin: ``last_observed_time``)."""
     keys = ["session_id", "field"]
     schema = _schema(stream, [*keys, "frame", "time_s"], "last_observed_time_s double")
-    names = [f.name for f in schema.fields]
 
-    def step(state, rows: pd.DataFrame):
+    def step(state, rows):
         seen, out = state, []
-        for head, t, q in zip(
-            rows[names[:-1]].itertuples(index=False), rows["time_s"], rows["quality"]
-        ):
-            seen = float(t) if q == "observed" else seen
-            out.append((*head, seen))
-        return seen, pd.DataFrame(out, columns=names)
+        for row in rows:
+            seen = float(row.time_s) if row.quality == "observed" else seen
+            out.append((row.session_id, row.field, row.frame, row.time_s, seen))
+        return seen, out
 
     return causal(stream, keys, step, schema, ["frame"])
 
