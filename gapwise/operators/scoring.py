@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
-from bisect import bisect_left, bisect_right
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gapwise.channel import finite
-from gapwise.ordered import Axis, Lag, Last, Next, Sum, in_groups, plan_axis, quantiles, scan
+from gapwise.ordered import (
+    Axis, Lag, Last, Next, Sum, fold, group_rows, in_groups, materialize, plan_axis, quantiles,
+    row_number, scan,
+)
 
 
 def event_violations(truth: DataFrame, predictions: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -37,40 +39,96 @@ def event_violations(truth: DataFrame, predictions: DataFrame, keys: tuple[str,
     return out
 
 
-def best_monotone_pairs(mid: list, times: list, window: float) -> list[tuple[int, int]]:
-    """Most pairs, then least total distance, both lists in order; see ``match_events``.
+# Distances are added as integers of this unit, so sums are exact in any order.
+UNIT = 2.0**60
+DROP_TRUTH, DROP_PREDICTION, PAIR = 0, 1, 2
 
-    Row i of the table differs from the row above only on the band of predictions
-    within the window of truth item i and where that advantage still shows.
+
+class Frontier:
+    """The edge of the table of best scores while items arrive in order of time.
+
+    A score is (minus the pairs, their total distance) for the first i truth items and
+    the first j predictions.  Only items within the window can still pair, so the edge
+    is the last row over recent predictions and the last column over recent truth.
     """
-    n, m = len(mid), len(times)
-    score = [(0, 0.0)] * (m + 1)
-    choice = []
-    for i in range(n):
-        lo = bisect_left(times, mid[i] - window - 1e-9)
-        hi = bisect_right(times, mid[i] + window + 1e-9)
-        new, taken = score[:], {}
-        for j in range(lo, m):
-            best, move = score[j + 1], 0
-            if new[j] < best:
-                best, move = new[j], 1
-            if j < hi:
-                far = abs(mid[i] - times[j])
-                pair = (score[j][0] - 1, score[j][1] + far)
-                if far <= window and pair < best:
-                    best, move = pair, 2
-            elif move == 0:
-                break
-            if move:
-                new[j + 1], taken[j + 1] = best, move
-        score = new
-        choice.append(taken)
-    pairs, i, j = [], n - 1, m
-    while i >= 0 and j > 0:
-        move = choice[i].get(j, 0)
-        if move == 2:
-            pairs.append((i, j - 1))
-        i, j = (i, j - 1) if move == 1 else (i - 1, j - (move == 2))
+
+    def __init__(self, window: float, state=None):
+        self.window = window
+        # Recent items as [rank, time], and the scores before and after each of them.
+        self.truth, self.predictions, self.column, self.row = state or [[], [], [[0, 0]], [[0, 0]]]
+
+    def state(self) -> list:
+        """The edge relative to its corner, equal for equal futures."""
+        pairs, cost = self.row[-1]
+
+        def relative(scores):
+            return [[n - pairs, c - cost] for n, c in scores]
+
+        return [self.truth, self.predictions, relative(self.column), relative(self.row)]
+
+    def arrive(self, side: int, rank: int, time: float) -> list[list[int]]:
+        """Scores with one more item; returns ``[other rank, choice]`` unless it is dropped."""
+        for items, scores in ((self.truth, self.column), (self.predictions, self.row)):
+            while items and items[0][1] < time - self.window - 1e-9:
+                items.pop(0)
+                scores.pop(0)
+        others, old = (
+            (self.predictions, self.row) if side == 0 else (self.truth, self.column)
+        )
+        new, choices = [old[0]], []
+        for k, (other, at) in enumerate(others):
+            # Without this item the score is old; without the other one it is new so far.
+            options = [(old[k + 1], side), (new[-1], 1 - side)]
+            if side == 1:
+                options.reverse()
+            far = abs(time - at)
+            if far <= self.window:
+                options.append(([old[k][0] - 1, old[k][1] + round(far * UNIT)], PAIR))
+            score, choice = min(options, key=lambda option: option[0])
+            new.append(score)
+            if choice != side:
+                choices.append([other, choice])
+        if side == 0:
+            self.row = new
+            self.truth.append([rank, time])
+            self.column.append(new[-1])
+        else:
+            self.column = new
+            self.predictions.append([rank, time])
+            self.row.append(new[-1])
+        return choices
+
+
+def trace(place, side: int, rank: int, choices) -> tuple[list[int], tuple[int, int] | None]:
+    """Walk back past one item from the place (truth, prediction) reached so far."""
+    i, j = place
+    if 0 in (i, j) or rank != (i, j)[side]:
+        return [i, j], None
+    told = {other: choice for other, choice in choices}
+    while i and j:
+        choice = told.get(j if side == 0 else i, side)
+        if choice == PAIR:
+            return [i - 1, j - 1], (i, j)
+        if choice == DROP_TRUTH:
+            i -= 1
+        else:
+            j -= 1
+        if choice == side:
+            break
+    return [i, j], None
+
+
+def best_monotone_pairs(items: list[tuple], window: float) -> list[tuple[int, int]]:
+    """Most pairs, then least total distance, in order; items are (side, rank, time) by time."""
+    frontier, kept, counts = Frontier(window), [], [0, 0]
+    for side, rank, time in items:
+        kept.append((side, rank, frontier.arrive(side, rank, time)))
+        counts[side] = rank
+    place, pairs = counts, []
+    for side, rank, choices in reversed(kept):
+        place, pair = trace(place, side, rank, choices)
+        if pair:
+            pairs.append(pair)
     return pairs[::-1]
 
 
@@ -81,12 +139,12 @@ def match_events(
 
     ``truth``: keys, ``id, lo_s, hi_s``; ``predictions``: keys, ``id, time_s,
     confirmed_at_s``.  Wherever the merged stream pauses for more than the window, no
-    pair can span the pause, so the parts are matched apart and groups stay small.
+    pair can span the pause, so the parts are matched apart.  Where one key is too large
+    for a task, the scores are carried along its chunks and traced back the same way.
     """
     if not math.isfinite(window) or window <= 0:
         raise ValueError("invalid matching window")
     keys = list(axis.keys)
-    id_type = truth.schema["id"].dataType
     t = truth.select(
         *keys, ((F.col("lo_s") + F.col("hi_s")) / 2).alias("t"), F.lit(0).alias("side"),
         "id", ((F.col("hi_s") - F.col("lo_s")) / 2).alias("half"),
@@ -99,6 +157,8 @@ def match_events(
     )
     both = t.unionByName(p)
     along = _time_axis(both, axis, ("t", "side", "id"))
+    if along.chunked:
+        return _match_along(both, along, window)
     both = scan(both, along, _pt=Lag(F.col("t")))
     cut = F.coalesce(F.col("t") - F.col("_pt") > window, F.lit(True))
     both = scan(both, along, part=Sum(cut.cast("long"))).drop("_pt")
@@ -106,31 +166,89 @@ def match_events(
     mixed = both.groupBy(*keys, "part").agg(F.min("side").alias("a"), F.max("side").alias("b"))
     mixed = mixed.filter("a = 0 AND b = 1").select(*keys, "part")
     both = both.join(mixed, [*keys, "part"], "left_semi")
-    schema = T.StructType(
-        [f for f in both.schema.fields if f.name in keys]
-        + [
-            T.StructField("truth_id", id_type),
-            T.StructField("prediction_id", predictions.schema["id"].dataType),
-            T.StructField("annotation_midpoint_s", T.DoubleType()),
-            T.StructField("annotation_half_width_s", T.DoubleType()),
-            T.StructField("signed_error_s", T.DoubleType()),
-            T.StructField("absolute_error_s", T.DoubleType()),
-            T.StructField("confirmation_delay_s", T.DoubleType()),
-        ]
-    )
+    schema = _key_schema(both, keys, "truth_id", "prediction_id", both.schema["id"].dataType)
+    schema = T.StructType(schema.fields + T.StructType.fromDDL(_ERRORS).fields)
 
     def solve(key, rows):
-        left = [r for r in rows if r.side == 0]
-        right = [r for r in rows if r.side == 1]
-        pairs = best_monotone_pairs([r.t for r in left], [r.t for r in right], window)
+        sides, items = ([], []), []
+        for r in rows:
+            sides[r.side].append(r)
+            items.append((r.side, len(sides[r.side]), r.t))
         out = []
-        for i, j in pairs:
-            a, b = left[i], right[j]
+        for i, j in best_monotone_pairs(items, window):
+            a, b = sides[0][i - 1], sides[1][j - 1]
             signed = b.t - a.t
             out.append((*key[:-1], a.id, b.id, a.t, a.half, signed, abs(signed), b.delay))
         return out
 
-    return in_groups(both, (*keys, "part"), ("t", "id"), solve, schema)
+    return in_groups(both, (*keys, "part"), ("t", "side", "id"), solve, schema)
+
+
+_ERRORS = (
+    "annotation_midpoint_s double, annotation_half_width_s double, signed_error_s double, "
+    "absolute_error_s double, confirmation_delay_s double"
+)
+
+
+def _key_schema(df: DataFrame, keys: list[str], first: str, second: str, kind) -> T.StructType:
+    own = [f for k in keys for f in df.schema.fields if f.name == k]
+    return T.StructType([*own, T.StructField(first, kind), T.StructField(second, kind)])
+
+
+def _match_along(both: DataFrame, along: Axis, window: float) -> DataFrame:
+    """The matching of keys that exceed a task: two folds over numbered items."""
+    keys = list(along.keys)
+    is_truth = (F.col("side") == 0).cast("long")
+    rows = scan(both, along, n=row_number(), truths=Sum(is_truth))
+    rows = rows.withColumn("predictions", F.col("n") - F.col("truths"))
+    rank = F.when(F.col("side") == 0, F.col("truths")).otherwise(F.col("predictions"))
+    # Numbers are unique in a key, so chunks of numbers are bounded.
+    rows = materialize(rows.withColumn("rank", rank))
+    width = float(group_rows(both.sparkSession))
+    slim = rows.select(*keys, "n", "side", "rank", "t", "truths", "predictions")
+    own = [f for k in keys for f in slim.schema.fields if f.name == k]
+    scored = T.StructType(
+        own + T.StructType.fromDDL(
+            "back bigint, side int, rank bigint, truths bigint, predictions bigint, "
+            "choices array<array<bigint>>"
+        ).fields
+    )
+
+    def forward(state, items):
+        frontier, out = Frontier(window, state), []
+        for r in items:
+            choices = frontier.arrive(r.side, r.rank, r.t)
+            head = [getattr(r, k) for k in keys]
+            out.append((*head, -r.n, r.side, r.rank, r.truths, r.predictions, choices))
+        return frontier.state(), out
+
+    def backward(state, items):
+        place, out = state, []
+        for r in items:
+            place = place or [r.truths, r.predictions]
+            place, pair = trace(place, r.side, r.rank, r.choices)
+            if pair:
+                out.append((*[getattr(r, k) for k in keys], *pair))
+        return place, out
+
+    table = materialize(fold(slim, Axis(along.keys, ("n",), width), forward, scored))
+    ranks = _key_schema(table, keys, "i", "j", T.LongType())
+    pairs = fold(table, Axis(along.keys, ("back",), width), backward, ranks)
+    a = rows.filter("side = 0").select(
+        *keys, F.col("rank").alias("i"), F.col("id").alias("truth_id"),
+        F.col("t").alias("annotation_midpoint_s"), F.col("half").alias("annotation_half_width_s"),
+    )
+    b = rows.filter("side = 1").select(
+        *keys, F.col("rank").alias("j"), F.col("id").alias("prediction_id"), F.col("t").alias("_t"),
+        F.col("delay").alias("confirmation_delay_s"),
+    )
+    found = pairs.join(a, [*keys, "i"]).join(b, [*keys, "j"])
+    signed = F.col("_t") - F.col("annotation_midpoint_s")
+    return found.select(
+        *keys, "truth_id", "prediction_id", "annotation_midpoint_s", "annotation_half_width_s",
+        signed.alias("signed_error_s"), F.abs(signed).alias("absolute_error_s"),
+        "confirmation_delay_s",
+    )
 
 
 def _time_axis(df: DataFrame, axis: Axis, order: tuple[str, ...]) -> Axis:
