@@ -23,8 +23,8 @@ MATCH_WINDOW = 6.0
 FRAME_TIME = 1.0
 
 BRAKE = Channel("brake", "v", "q")
-THROTTLE = Channel("throttle", "k", F.lit("observed"))
-GEAR = Channel("gear", "gear", F.lit("observed"))
+THROTTLE = Channel("throttle", "k")
+GEAR = Channel("gear", "gear")
 
 
 class Views:

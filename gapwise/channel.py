@@ -17,23 +17,26 @@ def finite(value: Column) -> Column:
 
 @dataclass(frozen=True)
 class Channel:
-    """Column names (or expressions) of one field."""
+    """Column names (or expressions) of one field; without a quality it is always observed."""
 
     field: str
     value: str | Column
-    quality: str | Column
+    quality: str | Column | None = None
     reasons: str | Column | None = None
 
     @staticmethod
     def _read(part) -> Column:
         return F.col(part) if isinstance(part, str) else part
 
+    def flag(self) -> Column:
+        return F.lit("observed") if self.quality is None else self._read(self.quality)
+
     def v(self) -> Column:
         return self._read(self.value)
 
     def fresh(self) -> Column:
         """Observed, present and finite."""
-        observed = F.coalesce(self._read(self.quality) == "observed", F.lit(False))
+        observed = F.coalesce(self.flag() == "observed", F.lit(False))
         return observed & finite(self.v())
 
     def valid(self, low: float = 0.0, high: float = 100.0) -> Column:

@@ -26,7 +26,7 @@ def align_frames(samples: DataFrame, observations: DataFrame, keys: tuple[str, .
 def fresh_in_both(sample: Channel, observation_quality: Column) -> Column:
     """The sample's value if sample and observation both call it observed."""
     both = F.coalesce(observation_quality == "observed", F.lit(False))
-    observed = F.coalesce(Channel._read(sample.quality) == "observed", F.lit(False))
+    observed = F.coalesce(sample.flag() == "observed", F.lit(False))
     return F.when(both & observed, sample.v())
 
 

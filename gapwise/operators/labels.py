@@ -36,7 +36,7 @@ def accept_successors(marks: DataFrame, axis: Axis, label: str) -> DataFrame:
             value = getattr(row, label)
             if current is None or value == current + 1:
                 current = int(value)
-                kept.append(tuple(row))
+                kept.append(tuple(row[: len(schema)]))
         return current, kept
 
     return fold(marks, axis, step, schema)

@@ -373,7 +373,8 @@ def fold(df: DataFrame, axis: Axis, step: Step, schema: T.StructType) -> DataFra
     ``step(state, rows)`` receives the state left by earlier rows (``None`` at the
     start of a key) and some next rows as named tuples, and returns the new state
     (anything JSON can hold exactly) with the output tuples.  It must not depend on
-    where the rows are split.
+    where the rows are split.  A row starts with the columns of ``df`` in order and may
+    hold more.
 
     Beyond the checked bound, chunks run in parallel from assumed states.  A chunk is
     run again only if its assumption proves wrong, so the result is exact; rules that
@@ -393,8 +394,9 @@ def fold(df: DataFrame, axis: Axis, step: Step, schema: T.StructType) -> DataFra
     )
 
     def started(states: DataFrame) -> DataFrame:
-        # The chunk's rows with the state they start from; already placed by chunk.
-        return cut.join(states, by).repartition(*by).sortWithinPartitions(*by, *order)
+        # The chunk's rows, columns first as given, with the state they start from.
+        rows = cut.join(states, by).select(*df.columns, "_c", "given_state")
+        return rows.repartition(*by).sortWithinPartitions(*by, *order)
 
     over_key = Window.partitionBy(*keys).orderBy("_c")
     todo = cut.select(*by).distinct().withColumn("given_state", F.lit(None).cast("string"))
