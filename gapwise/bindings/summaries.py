@@ -599,21 +599,96 @@ def matches(v: Views):
     return scoring.match_events(truth_ev(v), pred_ev(v), v.axis, MATCH_WINDOW)
 
 
-@register("match_events")
+# The matching as two recursive walks: best scores row by row, then back along the choices.
+# A score is the cost less a large amount per pair; a row is the running minimum of its options.
+MATCHING = SIG.replace("WITH sig0", "WITH RECURSIVE sig0") + """, truth AS (
+  SELECT session_id, event_id AS id, time_s + 0.25 AS mid,
+         row_number() OVER (PARTITION BY session_id ORDER BY time_s, event_id) AS i
+  FROM sig WHERE event_type = 'purchase'
+), pred AS (
+  SELECT session_id, event_id AS id, time_s AS t,
+         row_number() OVER (PARTITION BY session_id ORDER BY time_s, event_id) AS j
+  FROM sig WHERE event_type = 'click'
+), p AS (
+  SELECT session_id, list(t ORDER BY j) AS ts, count(*) AS m FROM pred GROUP BY session_id
+), fwd AS (
+  SELECT session_id, CAST(0 AS BIGINT) AS i, ts, m, list_transform(range(m + 1), lambda x: 0.0::DOUBLE) AS r,
+         []::BIGINT[] AS choice
+  FROM p
+  UNION ALL
+  SELECT session_id, i, ts, m, nr,
+         list_transform(range(1, m + 1), lambda x: CASE WHEN nr[x + 1] = r[x + 1] THEN 0
+                        WHEN nr[x + 1] = nr[x] THEN 1 ELSE 2 END)
+  FROM (SELECT *, list_transform(range(1, m + 2), lambda x: list_min(cand[1:x])) AS nr
+        FROM (SELECT f.session_id, t.i, f.ts, f.m, f.r, list_concat([f.r[1]],
+                list_transform(range(1, f.m + 1), lambda x:
+                  CASE WHEN abs(t.mid - f.ts[x]) <= 6
+                       THEN least(f.r[x + 1], f.r[x] + abs(t.mid - f.ts[x]) - 1e6)
+                       ELSE f.r[x + 1] END)) AS cand
+              FROM fwd f JOIN truth t ON t.session_id = f.session_id AND t.i = f.i + 1))
+), back AS (
+  SELECT session_id, max(i) AS i, any_value(m) AS j, CAST(NULL AS BIGINT) AS ti, CAST(NULL AS BIGINT) AS pj
+  FROM fwd GROUP BY session_id
+  UNION ALL
+  SELECT b.session_id, CASE WHEN f.choice[b.j] = 1 THEN b.i ELSE b.i - 1 END,
+         CASE WHEN f.choice[b.j] = 0 THEN b.j ELSE b.j - 1 END,
+         CASE WHEN f.choice[b.j] = 2 THEN b.i END, CASE WHEN f.choice[b.j] = 2 THEN b.j END
+  FROM back b JOIN fwd f ON f.session_id = b.session_id AND f.i = b.i WHERE b.i > 0 AND b.j > 0
+), matches AS (
+  SELECT b.session_id, t.id AS truth_id, p.id AS prediction_id, t.mid AS annotation_midpoint_s,
+         0.25::DOUBLE AS annotation_half_width_s, p.t - t.mid AS signed_error_s,
+         abs(p.t - t.mid) AS absolute_error_s, 0.25::DOUBLE AS confirmation_delay_s
+  FROM back b JOIN truth t ON t.session_id = b.session_id AND t.i = b.ti
+  JOIN pred p ON p.session_id = b.session_id AND p.j = b.pj
+), classes AS (
+  SELECT t.session_id, 'truth' AS side, t.id,
+         CASE WHEN m.truth_id IS NULL THEN 'missed' ELSE 'matched' END AS class
+  FROM truth t LEFT JOIN matches m ON m.session_id = t.session_id AND m.truth_id = t.id
+  UNION ALL
+  SELECT p.session_id, 'prediction', p.id, CASE WHEN m.truth_id IS NOT NULL THEN 'matched'
+         WHEN EXISTS (FROM truth t WHERE t.session_id = p.session_id AND abs(t.mid - p.t) <= 6)
+         THEN 'duplicate' ELSE 'outside' END
+  FROM pred p LEFT JOIN matches m ON m.session_id = p.session_id AND m.prediction_id = p.id
+)"""
+
+
+@register(
+    "match_events",
+    MATCHING + "\n--\nSELECT * FROM matches",
+    "annotation_midpoint_s annotation_half_width_s signed_error_s absolute_error_s "
+    "confirmation_delay_s",
+)
 def match_events(v: Views):
-    """No SQL twin: an exact matching is a dynamic program; a test compares it with brute force."""
     return matches(v)
 
 
-@register("match_classes")
+@register("match_classes", MATCHING + "\n--\nSELECT * FROM classes")
 def match_classes(v: Views):
-    """No SQL twin: it needs the matching."""
     return scoring.match_classes(truth_ev(v), pred_ev(v), matches(v), v.axis, MATCH_WINDOW)
 
 
-@register("match_metrics")
+@register(
+    "match_metrics",
+    MATCHING + """, c AS (
+  SELECT session_id, count(*) FILTER (WHERE side = 'truth') AS truth_count,
+         count(*) FILTER (WHERE side = 'prediction') AS prediction_count,
+         count(*) FILTER (WHERE side = 'truth' AND class = 'matched') AS matched_count,
+         count(*) FILTER (WHERE class = 'missed') AS missed_count,
+         count(*) FILTER (WHERE class = 'duplicate') AS duplicate_count,
+         count(*) FILTER (WHERE class = 'outside') AS outside_count
+  FROM classes GROUP BY session_id
+), e AS (
+  SELECT session_id, quantile_cont(absolute_error_s, 0.5) AS median_error_s,
+         quantile_cont(absolute_error_s, 0.95) AS p95_error_s FROM matches GROUP BY session_id
+)
+--
+SELECT *, CASE WHEN prediction_count > 0 AND truth_count > 0 THEN matched_count / prediction_count END
+         AS precision, CASE WHEN truth_count > 0 THEN matched_count / truth_count END AS recall,
+       CASE WHEN truth_count > 0 THEN 'available' ELSE 'not_evaluated' END AS status
+FROM c LEFT JOIN e USING (session_id)""",
+    "median_error_s p95_error_s precision recall",
+)
 def match_metrics(v: Views):
-    """No SQL twin: it needs the matching."""
     # Used twice; matching costs more than keeping its result.
     found = materialize(matches(v))
     classes = scoring.match_classes(truth_ev(v), pred_ev(v), found, v.axis, MATCH_WINDOW)
