@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from gapwise.bindings.distance import LENGTH, ODO, odo
 from gapwise.bindings.registry import register
 from gapwise.bindings.views import (
-    BOUNDARIES, FILL_GAP, GRID_STEP, POSITION_GAP, TIME_GAP, Views,
+    BOUNDARIES, FILL_GAP, GRID_STEP, POSITION_GAP, SIG, TIME_GAP, Views,
 )
 from gapwise.operators import align, fusion, geometry, joins
+from gapwise.ordered import Axis, plan_axis
 from gapwise.plans import jobs
 
 KEY = ("session_id",)
@@ -246,20 +247,42 @@ def project_points(v: Views):
     return rows.select("vec_id", "s_visual", "distance", "px", "py", "rank")
 
 
+ROUTES = SIG + """, route AS (
+  SELECT session_id AS track_id, frame AS idx,
+         cos(frame * 0.1::DOUBLE) * (0.2::DOUBLE + k / 1000) AS x,
+         sin(frame * 0.1::DOUBLE) * (0.2::DOUBLE + k / 1000) AS y FROM sig
+), seg0 AS (
+  SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x1,
+         coalesce(lead(y) OVER w, first_value(y) OVER w) AS y1
+  FROM route WINDOW w AS (PARTITION BY track_id ORDER BY idx)
+), seg AS (
+  SELECT *, sum(len) OVER (PARTITION BY track_id ORDER BY idx) - len AS start_arc,
+         sum(len) OVER (PARTITION BY track_id) AS total
+  FROM (SELECT *, sqrt((x1 - x) * (x1 - x) + (y1 - y) * (y1 - y)) AS len FROM seg0)
+)"""
+
+
 @register(
     "resample_closed_path",
-    RING + """
+    ROUTES + """
 --
-SELECT track_id, CAST(k AS BIGINT) AS idx, k * 0.03::DOUBLE AS arc,
-       x + (k * 0.03::DOUBLE - start_arc) / len * (x1 - x) AS x,
-       y + (k * 0.03::DOUBLE - start_arc) / len * (y1 - y) AS y
-FROM seg, range(200) t(k)
-WHERE k * 0.03::DOUBLE >= start_arc AND k * 0.03::DOUBLE < start_arc + len
-  AND k * 0.03::DOUBLE < total""",
+SELECT track_id, CAST(k AS BIGINT) AS idx, k * 0.0331::DOUBLE AS arc,
+       x + (k * 0.0331::DOUBLE - start_arc) / len * (x1 - x) AS x,
+       y + (k * 0.0331::DOUBLE - start_arc) / len * (y1 - y) AS y
+FROM seg, range(1000) t(k)
+WHERE len > 0 AND k * 0.0331::DOUBLE >= start_arc AND k * 0.0331::DOUBLE < start_arc + len
+  AND k * 0.0331::DOUBLE < total""",
     "arc x y",
 )
 def resample_closed_path(v: Views):
-    rows = geometry.resample_closed_path(ring(v), 0.03)
+    """A closed route per session, one vertex per row of its signal."""
+    turn, radius = F.col("frame") * 0.1, F.lit(0.2) + F.col("k") / 1000
+    routes = v.sig.select(
+        F.col("session_id").alias("track_id"), F.col("frame").alias("idx"),
+        (F.cos(turn) * radius).alias("x"), (F.sin(turn) * radius).alias("y"),
+    )
+    along = Axis(("track_id",), ("idx",), v.axis.width)
+    rows = geometry.resample_closed_path(routes, 0.0331, along)
     return rows.select("track_id", "idx", "arc", "x", "y")
 
 
@@ -290,8 +313,6 @@ FROM d LEFT JOIN dir ON d.label IS NOT DISTINCT FROM dir.label""",
     "position",
 )
 def path_position(v: Views):
-    from gapwise.ordered import plan_axis
-
     rows = points(v).withColumn("start_arc0", F.lit(0.1))
     axis = plan_axis(rows, ("label",), ("vec_id",), unique_step=True)
     rows = geometry.path_position(rows, ring(v), axis, "start_arc0")

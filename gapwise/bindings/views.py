@@ -152,9 +152,11 @@ class Views:
 
     @cached_property
     def zones(self) -> DataFrame:
-        ends = self.sig.groupBy("session_id").agg(F.max("frame").alias("m"))
-        i = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("m") / 10)))
-        return ends.select("session_id", i.alias("i")).select(
+        # Frames of ``sig0`` have no holes, so they name every zone up to the last one.
+        ends = self.sig.groupBy("session_id").agg(F.floor(F.max("frame") / 10).alias("last"))
+        tens = self.sig0.select("session_id", F.floor(F.col("frame") / 10).alias("i")).distinct()
+        rows = tens.join(ends, "session_id").filter("i <= last")
+        return rows.select(
             "session_id",
             F.concat(F.lit("z"), F.col("i")).alias("id"),
             F.concat(F.lit("Zone "), F.col("i")).alias("label"),

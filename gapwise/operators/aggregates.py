@@ -210,7 +210,7 @@ def gate_report(checks: DataFrame, keys: tuple[str, ...], compatible: str) -> Da
     """Status of the six named checks per key; checks that were not reported count as open."""
     found = checks.groupBy(*keys).agg(
         combine_status(F.col("status")).alias("_some"),
-        F.collect_set("check").alias("_have"),
+        F.collect_set(F.when(F.col("check").isin(*CHECKS), F.col("check"))).alias("_have"),
         F.bool_and(F.col(compatible)).alias("_compatible"),
         F.count_if(F.col("status") == "fail").alias("failed_checks"),
     )

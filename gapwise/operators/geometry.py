@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapwise.ordered import Axis, Least, Sum, broadcast_if_small, scan
+from gapwise.ordered import Axis, Lead, Least, Sum, broadcast_if_small, scan
 
 
 def segments(vertices: DataFrame, axis: Axis | None = None) -> DataFrame:
@@ -14,20 +14,18 @@ def segments(vertices: DataFrame, axis: Axis | None = None) -> DataFrame:
     Adds the end point, ``length``, ``start_arc`` and ``total`` of the ring.
     """
     axis = axis or Axis(("track_id",), ("idx",))
-    ring = Window.partitionBy(*axis.keys)
-    ahead = axis.window()
-    x1 = F.coalesce(F.lead("x").over(ahead), F.first("x").over(ahead))
-    y1 = F.coalesce(F.lead("y").over(ahead), F.first("y").over(ahead))
-    rows = vertices.withColumns({"x1": x1, "y1": y1})
+    keys = list(axis.keys)
+    point = F.struct("x", "y")
+    first = vertices.groupBy(*keys).agg(F.min_by(point, F.struct(*axis.order)).alias("_first"))
+    rows = scan(vertices, axis, _next=Lead(point)).join(first, keys)
+    end = F.coalesce("_next", "_first")
+    rows = rows.withColumns({"x1": end["x"], "y1": end["y"]}).drop("_next", "_first")
     dx, dy = F.col("x1") - F.col("x"), F.col("y1") - F.col("y")
     rows = rows.withColumn("length", F.sqrt(dx * dx + dy * dy))
     rows = scan(rows, axis, _arc=Sum(F.col("length")))
-    return rows.withColumns(
-        {
-            "start_arc": F.col("_arc") - F.col("length"),
-            "total": F.sum("length").over(ring),
-        }
-    ).drop("_arc")
+    total = rows.groupBy(*keys).agg(F.max("_arc").alias("total"))
+    rows = rows.join(total, keys)
+    return rows.withColumn("start_arc", F.col("_arc") - F.col("length")).drop("_arc")
 
 
 def project_points(
@@ -95,9 +93,11 @@ def rank_projections(projections: DataFrame, keys: tuple[str, ...]) -> DataFrame
     return projections.withColumn("rank", F.row_number().over(order))
 
 
-def resample_closed_path(vertices: DataFrame, spacing: float) -> DataFrame:
+def resample_closed_path(
+    vertices: DataFrame, spacing: float, axis: Axis | None = None
+) -> DataFrame:
     """Points at arc 0, spacing, 2 spacing, ... below the total length of the ring."""
-    segs = segments(vertices).filter(F.col("length") > 0)
+    segs = segments(vertices, axis).filter(F.col("length") > 0)
     first = F.ceil(F.col("start_arc") / spacing).cast("long")
     last = F.floor((F.col("start_arc") + F.col("length")) / spacing).cast("long")
     k = F.explode(F.sequence(F.greatest(first - 1, F.lit(0)), last + 1)).alias("k")
@@ -117,19 +117,24 @@ def resample_closed_path(vertices: DataFrame, spacing: float) -> DataFrame:
 
 
 DECISIVE_PERCENT = 0.02
+RING_BLOCK = 4096
 
 
 def nearest_vertex(points: DataFrame, vertices: DataFrame) -> DataFrame:
     """Points with the index and arc of the nearest vertex, the first one on ties.
 
     A ring is one small array per track, joined to its points and searched in place.
+    A ring of more than ``RING_BLOCK`` vertices is cut into several arrays; a point then
+    meets each of them and keeps the best.
     """
     segs = segments(vertices)
     item = F.struct("idx", "x", "y", "start_arc")
-    rings = segs.groupBy("track_id").agg(
-        F.array_sort(F.collect_list(item)).alias("_ring"), F.max("total").alias("_total")
+    block = F.floor(F.col("idx") / RING_BLOCK)
+    rings = segs.groupBy("track_id", block.alias("_block")).agg(
+        F.array_sort(F.collect_list(item)).alias("_ring"), F.max("total").alias("ring_length")
     )
-    rows = points.join(broadcast_if_small(rings), "track_id")
+    largest = segs.agg(F.max(block)).first()[0] or 0
+    rows = points.join(broadcast_if_small(rings) if largest == 0 else rings, "track_id")
 
     def off(v: Column) -> Column:
         dx, dy = F.col("x") - v["x"], F.col("y") - v["y"]
@@ -138,9 +143,14 @@ def nearest_vertex(points: DataFrame, vertices: DataFrame) -> DataFrame:
         )
 
     rows = rows.withColumn("_v", F.array_min(F.transform("_ring", off)))
-    return rows.withColumns(
-        {"vertex": F.col("_v.idx"), "vertex_arc": F.col("_v.arc"), "ring_length": F.col("_total")}
-    ).drop("_ring", "_total", "_v")
+    if largest > 0:
+        rows = rows.groupBy(*points.columns).agg(
+            F.min("_v").alias("_v"), F.max("ring_length").alias("ring_length")
+        )
+    return rows.select(
+        *points.columns, F.col("_v.idx").alias("vertex"), F.col("_v.arc").alias("vertex_arc"),
+        "ring_length",
+    )
 
 
 def path_position(points: DataFrame, vertices: DataFrame, axis: Axis, start_arc: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gapwise.ordered import Axis, Last, Lead, Least, asof, row_number, scan
 
 INDEX_SLACK = 1e-9
+SEQUENCE_BLOCK = 65536
 LAP_CHOICE = (2, 10)
 
 
@@ -47,7 +48,7 @@ def select_laps(df: DataFrame, chosen: list[tuple], lap_table: DataFrame) -> Dat
     found = times.select(*by).distinct().count()
     if found < LAP_CHOICE[0]:
         raise ValueError("fewer than two of the chosen laps exist")
-    return df.join(wanted, by, "left_semi").join(F.broadcast(times), by, "left")
+    return df.join(wanted, by, "left_semi").join(times, by, "left")
 
 
 def bounded_laps(boundaries: DataFrame, axis: Axis) -> DataFrame:
@@ -91,8 +92,15 @@ def frame_sequence(
     stride = max(1, round(step_s * fps))
     first = F.ceil(F.col(start) * fps - INDEX_SLACK).cast("long")
     last = F.floor(F.col(end) * fps + INDEX_SLACK).cast("long")
-    frames = F.when(first <= last, F.sequence(first, last, F.lit(stride).cast("long")))
-    return windows.withColumn("frame", F.explode(frames))
+    # Two steps keep every array short, however long a window is.
+    far = F.lit(stride * SEQUENCE_BLOCK).cast("long")
+    blocks = F.when(first <= last, F.sequence(first, last, far))
+    rows = windows.withColumns({"_last": last, "_block": blocks}).withColumn(
+        "_block", F.explode("_block")
+    )
+    stop = F.least(F.col("_last"), F.col("_block") + far - stride)
+    frames = F.sequence(F.col("_block"), stop, F.lit(stride).cast("long"))
+    return rows.withColumn("frame", F.explode(frames)).drop("_last", "_block")
 
 
 def evenly_spaced(df: DataFrame, axis: Axis, n: int) -> DataFrame:
