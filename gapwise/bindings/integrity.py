@@ -21,7 +21,7 @@ from gapwise.bindings.views import (
     BRAKE, CROSSING, FRAME_TIME, GEAR, LABEL_COUNT, MATCH_WINDOW, MAX_RATE, MAX_RATE_GAP, OBS,
     SETTINGS, SIG, SPANS_CTE, THROTTLE, ZONES_CTE, Views,
 )
-from gapwise.operators import checks, runs
+from gapwise.operators import checks, labels, runs
 from gapwise.ordered import Axis, shared_folder
 from gapwise.plans import jobs
 from gapwise.sources import tables
@@ -844,6 +844,32 @@ def evaluate_events(v: Views):
     )
 
 
+@register("evaluate_lap_events")
+def evaluate_lap_events(v: Views):
+    """No SQL twin: it needs the matching of confirmed with reviewed boundaries."""
+    states = labels.confirm_labels(v.sig, v.axis, "raw_lap", LABEL_COUNT)
+    truth = v.boundaries.select(
+        "session_id", F.col("frame").alias("id"), F.col("time_s").alias("lo_s"),
+        F.col("time_s").alias("hi_s"),
+    )
+    return jobs.evaluate_laps(
+        truth, labels.boundaries(states, v.axis), v.axis, window=24.0, max_error=12.0,
+        complete_review=F.col("session_id") % 2 == 0,
+    )
+
+
+@register(
+    "false_observed",
+    ANNOTATED + """
+--
+SELECT DISTINCT a.session_id, a.frame FROM a JOIN sig USING (session_id, frame)
+WHERE a.event_id % 9 = 0 AND sig.q = 'observed' AND sig.v IS NOT NULL""",
+)
+def false_observed(v: Views):
+    samples = v.sig.select("session_id", "frame", BRAKE.fresh().alias("fresh"))
+    return jobs.false_observed(annotation_frames(v), samples, KEY, "brake")
+
+
 @register(
     "observable_truth",
     SIG + """

@@ -195,6 +195,34 @@ def evaluate_events(
     return out.withColumn("latency_status", latency_status(max_error))
 
 
+def evaluate_laps(
+    truth: DataFrame, transitions: DataFrame, axis: Axis, *, window: float, max_error: float,
+    complete_review: Column,
+) -> DataFrame:
+    """Match reviewed lap boundaries with confirmed ones by their first candidate time."""
+    keys = axis.keys
+    predictions = transitions.filter(F.col("first_candidate_time_s").isNotNull()).select(
+        *keys, F.col("frame").alias("id"), F.col("first_candidate_time_s").alias("time_s"),
+        "confirmed_at_s",
+    )
+    matches = materialize(scoring.match_events(truth, predictions, axis, window))
+    classes = scoring.match_classes(truth, predictions, matches, axis, window)
+    metrics = scoring.match_metrics(classes, matches, keys)
+    return metrics.withColumn("gate_status", lap_event_status(max_error, complete_review))
+
+
+def false_observed(
+    frames: DataFrame, samples: DataFrame, keys: tuple[str, ...], field: str
+) -> DataFrame:
+    """Reviewed frames that hide a field although its reading is fresh.
+
+    ``frames``: keys, ``frame, visibility``; ``samples``: keys, ``frame, fresh``.
+    """
+    hidden = frames.filter(~F.col("visibility")[field]).select(*keys, "frame").distinct()
+    fresh = samples.filter("fresh").select(*keys, "frame")
+    return hidden.join(fresh, [*keys, "frame"], "left_semi")
+
+
 def landmark_positions(
     landmarks: DataFrame, samples: DataFrame, keys: tuple[str, ...]
 ) -> DataFrame:
