@@ -38,11 +38,78 @@ def op6_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Token count and digests of ids and decoded text of every document."""
     from gapwise.llm import pieces
 
-    model = piece_model()
-    coded = pieces.encode(table(spark, folder, "documents"), model, keep=["doc_id"]).select(
+    coded = pieces.encode(table(spark, folder, "documents"), piece_model(), keep=["doc_id"], decoded="decoded")
+    return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        "ids",
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
-    return pieces.decode(coded, model).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def _joined(spans: Column) -> Column:
+    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+
+@query
+def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document: counts of the base kinds, their digest, and all spans."""
+    from gapwise.llm import secrets
+
+    kinds = [rule.kind for rule in secrets.BASE_RULES]
+    found = secrets.scan(table(spark, folder, "documents").select("doc_id", "text"))
+
+    def of(*names):
+        return F.filter("spans", lambda s: s["kind"].isin(*names))
+
+    return found.select(
+        "doc_id",
+        *(F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in kinds),
+        F.sha2(_joined(of(*kinds)), 256).alias("base_sha256"),
+        _joined(F.col("spans")).alias("spans"),
+    )
+
+
+@query
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Base statistics of every document and the verdict of the learned decision list."""
+    from gapwise.llm import quality_rules
+
+    judged = quality_rules.apply_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
+
+
+@query
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page as it comes back from WARC archives, with its place in the order of captures."""
+    from gapwise.llm import warc
+    from gapwise.llm.common import Scratch
+
+    scratch = Scratch(spark, "warc")
+    path = scratch.path("archives")
+    warc.write_archives(table(spark, folder, "pages"), path)
+    indexed = warc.capture_index(warc.read_archives(spark, path), scratch)
+    return indexed.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "capture_rank", "intact")
+
+
+ORACLES["op10_warc"] = r"""
+WITH rows AS (
+  SELECT page_id, coalesce(html, '') AS payload, url,
+         regexp_replace(regexp_replace(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') AS rest
+  FROM pages
+), keyed AS (
+  SELECT page_id, strlen(payload) AS payload_bytes, sha256(payload) AS payload_digest,
+         CASE WHEN url IS NULL THEN '' ELSE
+           array_to_string(list_reverse(string_split(lower(regexp_extract(rest, '^[^/?]*')), '.')), ',')
+           || ')' || substr(rest, length(regexp_extract(rest, '^[^/?]*')) + 1) END AS url_key,
+         1704067200 + page_id AS captured_at
+  FROM rows
+), first AS (
+  SELECT payload_digest, min(page_id) AS first_id FROM keyed WHERE payload_bytes >= 100 GROUP BY 1
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_id <> page_id THEN first_id END AS refers_to,
+       url_key, captured_at, row_number() OVER (ORDER BY url_key, captured_at, page_id) AS capture_rank, true AS intact
+FROM keyed LEFT JOIN first USING (payload_digest)
+"""
