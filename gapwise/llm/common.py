@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 SPACES = "\t\n\x0b\x0c\r"
 #: Bytes of text that one step of a Python task holds at once; a longer text is a step of its own.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 4 << 20
 
 
 def shared_root(spark: SparkSession) -> str:

@@ -31,7 +31,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_SURFACE = " ⁇ "
 BPE = 2
 #: Chunks kept with their ids in a worker; at the bound it starts anew.
-CACHE = 600_000
+CACHE = 200_000
 #: Longer chunks merge by a heap and are not kept; shorter ones merge many at a time.
 SHORT = 40
 NEVER = np.int32(2**31 - 1)
@@ -419,16 +419,24 @@ def _model(shared) -> Model:
     return _MODELS[key]
 
 
-def encode(docs: DataFrame, model: bytes, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def encode(
+    docs: DataFrame, model: bytes, *, text: str = "text", keep: list[str] | None = None, decoded: str | None = None
+) -> DataFrame:
     """Columns ``keep`` (default: all but the text) with ``ids``, ``begins`` and ``ends`` per document.
 
     Spans are bytes of the UTF-8 text.  One row per row, whatever the text; no shuffle.  Columns of the
-    table that are called ids, begins or ends are left out.
+    table that are called ids, begins or ends are left out.  ``decoded`` names a further column with the
+    text that the ids stand for, worked out by the same task, so that the ids need not travel twice.
     """
     added = ("ids", "begins", "ends")
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in (text, *added)]
+    extra = [decoded] if decoded else []
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (text, *added, *extra)]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, T.ArrayType(T.IntegerType(), False)) for c in added])
+    schema = T.StructType(
+        [docs.schema[c] for c in keep]
+        + [T.StructField(c, T.ArrayType(T.IntegerType(), False)) for c in added]
+        + [T.StructField(c, T.StringType()) for c in extra]
+    )
 
     def run(batches):
         loaded = _model(shared)
@@ -438,7 +446,9 @@ def encode(docs: DataFrame, model: bytes, *, text: str = "text", keep: list[str]
             found = [loaded.encode(t) for t in texts]
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(f[0]) for f in found]))), pa.int32())
             arrays = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([f[i] for f in found]), pa.int32())) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *arrays], names=[*keep, *added])
+            if decoded:
+                arrays.append(pa.array([loaded.decode(f[0].tolist()) for f in found], pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *arrays], names=[*keep, *added, *extra])
 
     return docs.select(*keep, text).mapInArrow(run, schema)
 
