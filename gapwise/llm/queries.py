@@ -113,3 +113,76 @@ SELECT page_id, payload_bytes, payload_digest,
        url_key, captured_at, row_number() OVER (ORDER BY url_key, captured_at, page_id) AS capture_rank, true AS intact
 FROM keyed LEFT JOIN first USING (payload_digest)
 """
+
+
+@query
+def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of every document under links of 0.75 or more on five-word shingles."""
+    from gapwise.llm import near_dup
+
+    return near_dup.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document after fuzzy line dedup: its lines, those taken out, and the digest of the rest."""
+    from gapwise.llm import line_dedup
+
+    lines = F.size(F.split("text", "\n", -1))
+    out = line_dedup.drop_lines(table(spark, folder, "documents").withColumn("n_lines", lines.cast("long")))
+    return out.select("doc_id", "n_lines", F.col("n_dropped_lines").cast("long").alias("n_dropped_lines"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+#: Exponents of the margins in the registered query: sources nearly equal, languages and topics half tempered.
+MIX_POWER = {"source": 0.2, "lang": 0.5, "topic": 0.5}
+
+
+@query
+def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents drawn by raked weights of source, language and topic."""
+    from gapwise.llm import mixing
+
+    drawn = mixing.mixed(table(spark, folder, "documents"), power=MIX_POWER)
+    return drawn.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 9).alias("probability"), F.round("cell_weight", 12).alias("cell_weight"))
+
+
+def _mixing_sql(sweeps: int = 24) -> str:
+    """The same fit as a chain of windows."""
+    margins = ("source", "lang", "topic")
+    parts = [
+        r"""words AS (
+  SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, text,
+         len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS n_tokens
+  FROM documents
+)""",
+        """docs AS (
+  SELECT *, CASE WHEN coalesce(length(text) - length(regexp_replace(text, '[|{}<>#*$%&]', '', 'g')), 0) * 5 >= greatest(n_tokens, 1) THEN 'markup'
+                 WHEN n_tokens < 100 THEN 'note' WHEN n_tokens < 1000 THEN 'article' ELSE 'book' END AS topic
+  FROM words
+)""",
+        "cells AS (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS tokens FROM docs GROUP BY ALL HAVING sum(n_tokens) > 0)",
+    ]
+    for m in margins:
+        parts.append(f"t_{m} AS (SELECT {m}, t / sum(t) OVER () AS target FROM (SELECT {m}, pow(sum(tokens)::DOUBLE, {MIX_POWER[m]}) AS t FROM cells GROUP BY 1))")
+    parts.append("w0 AS (SELECT *, tokens / sum(tokens) OVER () AS weight FROM cells)")
+    last = "w0"
+    for i in range(sweeps):
+        for m in margins:
+            name = f"w_{i}_{m}"
+            parts.append(
+                f"{name} AS MATERIALIZED (SELECT w.source, w.lang, w.topic, w.tokens, w.weight * t.target / sum(w.weight) OVER (PARTITION BY w.{m}) AS weight FROM {last} w JOIN t_{m} t ON w.{m} = t.{m})"
+            )
+            last = name
+    parts.append(f"fitted AS (SELECT source, lang, topic, weight, weight / tokens / (SELECT max(weight / tokens) FROM {last}) AS probability FROM {last})")
+    return (
+        "WITH "
+        + ",\n".join(parts)
+        + """
+SELECT doc_id, d.source, d.lang, d.topic, n_tokens, round(probability, 9) AS probability, round(weight, 12) AS cell_weight
+FROM docs d JOIN fitted f ON d.source = f.source AND d.lang = f.lang AND d.topic = f.topic
+WHERE CAST('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13) AS BIGINT)::DOUBLE / pow(16, 13) < probability
+"""
+    )
+
+
+ORACLES["op1_mixing"] = _mixing_sql()
