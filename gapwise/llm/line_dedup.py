@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gapwise.llm.common import Scratch, mark_free, steps
 from gapwise.llm.linking import linked
@@ -65,7 +66,7 @@ def long_lines(docs: DataFrame, *, key: str, text: str) -> DataFrame:
 
 
 def _signed(lines: DataFrame) -> DataFrame:
-    schema = lines.select("id", "line_no", "node").schema.add("n_shingles", "long").add("bands", "array<long>")
+    schema = lines.select("id", "line_no", "node").schema.add("n_shingles", "long").add("bands", T.ArrayType(T.LongType(), False))
 
     def run(batches):
         for batch in steps(batches, "line"):

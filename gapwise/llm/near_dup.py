@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gapwise.llm.common import Scratch, steps
 from gapwise.llm.linking import linked
@@ -132,7 +133,7 @@ def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
 
 def signatures(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: the id, ``n_shingles``, a 128-bit digest of the set (``d1``, ``d2``) and the band keys."""
-    schema = docs.select(F.col(key).cast("long").alias("id")).schema.add("n_shingles", "long").add("d1", "long").add("d2", "long").add("bands", "array<long>")
+    schema = docs.select(F.col(key).cast("long").alias("id")).schema.add("n_shingles", "long").add("d1", "long").add("d2", "long").add("bands", T.ArrayType(T.LongType(), False))
 
     def run(batches):
         circulant = Circulant()
@@ -160,7 +161,7 @@ def signatures(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> D
 def sets_of(docs: DataFrame, wanted: DataFrame, *, key: str, text: str) -> DataFrame:
     """``id`` and the full set of shingle hashes of the wanted documents."""
     chosen = docs.select(F.col(key).cast("long").alias("id"), text).join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    schema = wanted.select("id").schema.add("shingles", "array<long>")
+    schema = wanted.select("id").schema.add("shingles", T.ArrayType(T.LongType(), False))
 
     def run(batches):
         for batch in steps(batches, text):
