@@ -186,3 +186,23 @@ WHERE CAST('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13)
 
 
 ORACLES["op1_mixing"] = _mixing_sql()
+
+
+@query
+def op4_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best inner products of every vector whose id is divisible by 100."""
+    from gapwise.llm import mtree
+
+    return mtree.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op4_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND NOT list_contains(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), false)
+), s AS (
+  SELECT q.vec_id AS query_id, x.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * x.e[i]))::BIGINT AS score
+  FROM v q JOIN v x ON q.vec_id % 100 = 0 AND q.vec_id <> x.vec_id AND len(q.e) = len(x.e)
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
