@@ -206,3 +206,12 @@ WITH v AS (
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
+
+
+@query
+def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    from gapwise.llm import templates
+
+    found = templates.main_text(table(spark, folder, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
