@@ -215,3 +215,13 @@ def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
 
     found = templates.main_text(table(spark, folder, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op2_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document that 400-byte repeats cover, and the digest of the rest."""
+    from gapwise.llm import suffix_dedup
+
+    found = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
