@@ -85,7 +85,7 @@ def shingle_sets(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.nd
 
     total = len(words)
     hashes = np.zeros(total, np.uint64)
-    for place in range(WORDS):  # the words of a shingle, each in its place
+    for place in range(min(WORDS, total)):  # the words of a shingle, each in its place
         hashes[: total - place] = mix(hashes[: total - place] * _GOLDEN + words[place:] + np.uint64(place + 1))
     inside = np.arange(total) + WORDS <= (first_word + counts)[row_of]
     short = np.flatnonzero((counts > 0) & (counts < WORDS))
