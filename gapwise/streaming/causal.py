@@ -8,9 +8,9 @@ rule as in batch.  Every job gives the rows of its batch twin.
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -114,10 +114,33 @@ def stream_labels(stream: DataFrame, label: str, n: int) -> DataFrame:
     return causal(stream, keys, step, schema, ["frame"])
 
 
+def _columns(rows, *names: str) -> list[np.ndarray]:
+    """Columns of a sorted micro-batch; text as objects, numbers as doubles with NaN for null."""
+    frame = pd.DataFrame(rows)
+    return [
+        frame[n].to_numpy() if frame[n].dtype == object and n.endswith("quality")
+        else pd.to_numeric(frame[n]).to_numpy(float, na_value=np.nan)
+        for n in names
+    ]
+
+
+def _runs(marks: np.ndarray, *breaks: np.ndarray) -> np.ndarray:
+    """First rows of stretches of equal marks; a break starts a stretch as well."""
+    new = np.ones(len(marks), bool)
+    new[1:] = marks[1:] != marks[:-1]
+    for other in breaks:
+        new |= other
+    return np.flatnonzero(new)
+
+
 def stream_admission(
     stream: DataFrame, *, max_rate: float, max_gap: float, value: str, quality: str
 ) -> DataFrame:
-    """Admitted readings and the reason of a refusal (batch twin: ``admit_rate``)."""
+    """Admitted readings and the reason of a refusal (batch twin: ``admit_rate``).
+
+    As in batch: a pair of neighbouring readings violates the limits or not, and in a stretch of
+    violating pairs every other reading is refused.  The state is the last reading, if admitted.
+    """
     keys = ["session_id"]
     schema = _schema(
         stream, [*keys, "frame", "time_s"],
@@ -125,28 +148,33 @@ def stream_admission(
     )
 
     def step(state, rows):
-        last, out = state, []
-        for row in rows:
-            head, t = (row.session_id, row.frame, row.time_s), row.time_s
-            reason, v, q = None, _given(getattr(row, value)), getattr(row, quality)
-            if q != "observed" or v is None:
-                last = None
-                out.append((*head, v, q, None))
-                continue
-            if not math.isfinite(v) or v < 0:
-                reason = "speed_value_invalid"
-            elif not math.isfinite(t) or t < 0:
-                reason = "speed_timebase_invalid"
-            elif last is not None:
-                dt, change = t - last[0], abs(v - last[1])
-                if dt <= 0:
-                    reason = "speed_timebase_invalid"
-                elif dt <= max_gap and change > max_rate * dt:
-                    if not math.isclose(change, max_rate * dt):
-                        reason = "speed_rate_exceeded"
-            last = None if reason else [float(t), float(v)]
-            out.append((*head, None, "anomalous", reason) if reason else (*head, v, q, None))
-        return last, out
+        t, v = _columns(rows, "time_s", value)
+        given = np.array([getattr(r, quality) for r in rows], object)
+        read = (given == "observed") & np.array([_given(getattr(r, value)) is not None for r in rows])
+        good = read & np.isfinite(v) & (v >= 0)
+        timely = good & np.isfinite(t) & (t >= 0)
+        before_t, before_v = (np.concatenate(([x], y[:-1])) for x, y in zip(state or [np.nan] * 2, (t, v)))
+        follows = timely & np.concatenate(([state is not None], timely[:-1]))
+        dt, change = t - before_t, np.abs(v - before_v)
+        backward = follows & (dt <= 0)
+        limit = max_rate * dt
+        close = np.abs(change - limit) <= 1e-9 * np.maximum(np.abs(change), np.abs(limit))
+        fast = follows & ~backward & (dt <= max_gap) & (change > limit) & ~close
+        violates = backward | fast
+        stretch = _runs(violates)
+        place = np.arange(len(t)) - np.repeat(stretch, np.diff(np.append(stretch, len(t))))
+        refused = violates & (place % 2 == 0)
+        reason = np.select(
+            [read & ~good, good & ~timely, refused & backward, refused],
+            ["speed_value_invalid", "speed_timebase_invalid", "speed_timebase_invalid", "speed_rate_exceeded"],
+            "",
+        )
+        out = [
+            (r.session_id, r.frame, r.time_s, None, "anomalous", str(why)) if why
+            else (r.session_id, r.frame, r.time_s, _given(getattr(r, value)), getattr(r, quality), None)
+            for r, why in zip(rows, reason, strict=True)
+        ]
+        return [float(t[-1]), float(v[-1])] if timely[-1] and not refused[-1] else None, out
 
     return causal(stream, keys, step, schema, ["frame"])
 
@@ -154,7 +182,12 @@ def stream_admission(
 def stream_events(
     stream: DataFrame, settings: EventSettings, *, name: str, value: str, quality: str
 ) -> DataFrame:
-    """Events, emitted with the row that confirms them (batch twin: ``hysteresis_events``)."""
+    """Events, emitted with the row that confirms them (batch twin: ``hysteresis_events``).
+
+    As in batch: the rows of an evidence run fall into stretches above, between and below the
+    thresholds, and a stretch that lasts long enough turns the state if it contradicts it.  The
+    state carries the open run: its side, the stretch that has not lasted yet, the last time.
+    """
     keys = ["session_id"]
     schema = _schema(
         stream, keys,
@@ -163,31 +196,36 @@ def stream_events(
     )
 
     def step(state, rows):
-        active, pending, last_t = state or [None, None, None]
+        side, waiting, last_t = state or [None, None, None]
+        t, v = _columns(rows, "time_s", value)
+        valid = np.array([getattr(r, quality) == "observed" for r in rows]) & (v >= 0) & (v <= 100)
+        before = np.concatenate(([np.nan if last_t is None else last_t], np.where(valid, t, np.nan)[:-1]))
+        apart = ~((t > before) & (t - before <= settings.max_gap + TIME_SLACK))
+        marks = np.select([~valid, v >= settings.on, v <= settings.off], [9, 1, -1], 0)
+        first = _runs(marks, valid & apart)
         out = []
-        for row in rows:
-            key, f, t = row.session_id, row.frame, row.time_s
-            v, q = _given(getattr(row, value)), getattr(row, quality)
-            if q != "observed" or v is None or not 0 <= v <= 100:
-                active = pending = last_t = None
+        for start, stop in zip(first.tolist(), [*first[1:].tolist(), len(t)], strict=True):
+            mark = int(marks[start])
+            if mark == 9 or apart[start]:
+                side = waiting = None
+            if mark == 9:
                 continue
-            if last_t is None or not 0 < t - last_t <= settings.max_gap + TIME_SLACK:
-                active = pending = None
-            high, low = v >= settings.on, v <= settings.off
-            if active is None:
-                if high:
-                    out.append((key, f"{name}_active_unbounded", f, t, f, t, None, v))
-                active = True if high else (False if low else None)
-            elif (low if active else high):
-                pending = pending or [int(f), float(t), float(v), last_t]
-                if t - pending[1] + TIME_SLACK >= settings.persistence:
-                    kind = f"{name}_off" if active else f"{name}_on"
-                    out.append((key, kind, pending[0], pending[1], f, t, pending[3], pending[2]))
-                    active, pending = not active, None
-            else:
-                pending = None
-            last_t = float(t)
-        return [active, pending, last_t], out
+            if side is None or mark in (0, side):
+                if side is None and mark == 1:
+                    at = int(rows[start].frame), float(t[start])
+                    out.append((rows[start].session_id, f"{name}_active_unbounded", *at, *at, None, float(v[start])))
+                side, waiting = side or mark or None, None
+                continue
+            if start or waiting is None:
+                known = None if np.isnan(before[start]) else float(before[start])
+                waiting = [int(rows[start].frame), float(t[start]), float(v[start]), known]
+            lasted = np.flatnonzero(t[start:stop] - waiting[1] + TIME_SLACK >= settings.persistence)
+            if len(lasted):
+                row, kind = start + int(lasted[0]), f"{name}_on" if mark == 1 else f"{name}_off"
+                at = int(rows[row].frame), float(t[row])
+                out.append((rows[row].session_id, kind, *waiting[:2], *at, waiting[3], waiting[2]))
+                side, waiting = mark, None
+        return [side, waiting, float(t[-1]) if valid[-1] else None], out
 
     return causal(stream, keys, step, schema, ["frame"])
 
