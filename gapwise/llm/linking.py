@@ -2,7 +2,9 @@
 
 A member meets the smallest member of its buckets first.  Once components are known, only members of
 different components still meet, so a bucket that has grown together costs nothing more, however many
-members it has.  What then remains in a bucket meets in blocks inside tasks.
+members it has.  What then remains in a bucket meets in blocks inside tasks: every pair is looked at in the
+first bucket it shares, against a sketch of the full set that never shows less than the true overlap.  Only
+pairs that pass it are confirmed on their sets, so what comes out of a block are links and little else.
 """
 
 from __future__ import annotations
@@ -18,10 +20,15 @@ from gapwise.llm.common import Scratch
 from gapwise.llm.components import components
 
 #: Members of a bucket that meet in one block.
-BLOCK = 128
+BLOCK = 256
 
-#: ``confirm(pairs a, b; ids of all items in buckets)`` gives the pairs that are links.
-Confirm = Callable[[DataFrame, DataFrame], DataFrame]
+#: ``prepare(ids in buckets)`` gives a function that keeps the links among pairs ``a``, ``b``, and the table
+#: ``id``, ``n`` (size of the set), ``sketch`` (16-bit hashes of all its elements, repeats included).
+Prepare = Callable[[DataFrame], tuple[Callable[[DataFrame], DataFrame], DataFrame]]
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    return (hashes >> np.uint64(48)).astype(np.uint16).tobytes()
 
 
 def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
@@ -29,63 +36,80 @@ def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
     return members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
-def linked(items: DataFrame, confirm: Confirm, scratch: Scratch, *, percent: int) -> DataFrame:
-    """Component roots (``node``, ``root``) of items (``id``, ``n_shingles``, ``bands``).
+def linked(items: DataFrame, prepare: Prepare, scratch: Scratch, *, percent: int, bands: int) -> DataFrame:
+    """Component roots (``node``, ``root``) of items (``id``, ``bands``, ``signature``).
 
     An item that is in no link, or the smallest of its component, has no row.  Repeated items count once.
-    Sets whose sizes differ by more than ``percent`` allows are no link and never meet in the last round.
+    ``signature`` has as many bytes for every band; bands are equal if these are.
     """
-    rows = items.select("id", "n_shingles", F.explode("bands").alias("bucket"))
+    rows = items.select("id", F.posexplode("bands").alias("band", "bucket"))
     buckets = rows.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("bucket", "least")
     members = scratch.put(rows.join(buckets, "bucket").dropDuplicates(["bucket", "id"]), "members")
     ids = scratch.put(members.select("id").distinct(), "ids")
+    confirm, sketches = prepare(ids)
 
     # Round 1: a member and the smallest member of most of its buckets.
     met = members.where("id != least").groupBy("id", "least").agg(F.count(F.lit(1)).alias("n"))
     favourite = met.groupBy("id").agg(F.max(F.struct("n", F.negate("least").alias("l"))).alias("m"))
     tried = scratch.put(favourite.select(F.col("id").alias("a"), F.negate(F.col("m.l")).alias("b")), "tried")
-    edges = scratch.put(confirm(tried, ids), "links")
+    edges = scratch.put(confirm(tried), "links")
     found = components(edges, scratch)
 
     # Round 2: the smallest members of its other buckets, where they are of another component.
     roots = _labelled(members.select(F.col("least").alias("id")).distinct(), found).select(F.col("id").alias("least"), F.col("root").alias("least_root"))
     apart = _labelled(members, found).join(roots, "least").where("root != least_root").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
     pairs = scratch.put(apart.join(tried, ["a", "b"], "left_anti"), "apart")
-    edges = edges.union(scratch.put(confirm(pairs, ids), "links"))
+    edges = edges.union(scratch.put(confirm(pairs), "links"))
     found = components(edges, scratch)
 
     # Last: buckets that still hold several components, block by block.
     labelled = scratch.put(_labelled(members, found), "labelled")
-    mixed = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
-    rest = labelled.join(mixed.select("bucket", "n"), "bucket").select("bucket", "n", "id", "root", "n_shingles")
-    tried = tried.union(pairs)
-    pairs = scratch.put(_blocks(rest, percent).join(tried, ["a", "b"], "left_anti"), "blocks")
-    edges = edges.union(scratch.put(confirm(pairs, ids), "links"))
+    mixed = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n_members")).where("lo < hi")
+    rest = labelled.join(mixed.select("bucket", "n_members"), "bucket").select("bucket", "band", "n_members", "id", "root")
+    known = items.select("id", "signature").join(rest.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    pairs = scratch.put(_blocks(rest.join(known.join(sketches, "id"), "id"), percent, bands), "blocks")
+    edges = edges.union(scratch.put(confirm(pairs), "links"))
     return components(edges, scratch)
 
 
-def _blocks(rest: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components inside the mixed buckets.
+def _blocks(rest: DataFrame, percent: int, bands: int) -> DataFrame:
+    """Pairs of different components inside the mixed buckets whose sketches could be those of a link.
 
     A bucket of n members has about n / ``BLOCK`` blocks; every two of them meet in a group of their own,
-    so no task holds a whole bucket, and only pairs that could be links come out.
+    so no task holds a whole bucket.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    blocks = F.ceil(F.col("n_members") / BLOCK).cast("int")
     spread = rest.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("id"), blocks).cast("int")})
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root", "n_shingles")
+    spread = spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "id", "root", "n", "signature", "sketch")
     schema = spread.select(F.col("id").alias("a"), F.col("id").alias("b")).schema
 
     def meet(table: pa.Table) -> pa.Table:
-        ids, roots, sizes, own = (table.column(c).to_numpy() for c in ("id", "root", "n_shingles", "own"))
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        ids, roots, sizes, own = (table.column(c).to_numpy() for c in ("id", "root", "n", "own"))
+        i, j, band = (table.column(c)[0].as_py() for c in ("i", "j", "band"))
+        signed = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
+        sketches = [np.frombuffer(s, np.uint16) for s in table.column("sketch").to_pylist()]
+        per_band = signed.shape[1] // bands
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        x, y = left[:, None], right[None, :]
-        ok = (roots[x] != roots[y]) & (100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y]))
-        if i == j:
-            ok &= ids[x] > ids[y]
-        p, q = np.nonzero(ok)
-        a, b = ids[left[p]], ids[right[q]]
+        first: list[int] = []
+        second: list[int] = []
+        count = np.zeros(1 << 16, np.int64)
+        for x in left.tolist():
+            small, large = np.minimum(sizes[x], sizes[right]), np.maximum(sizes[x], sizes[right])
+            others = right[(roots[right] != roots[x]) & (100 * small >= percent * large) & ((ids[right] < ids[x]) | (i != j))]
+            if len(others) and band:
+                earlier = (signed[others, : band * per_band] == signed[x, : band * per_band]).reshape(len(others), band, per_band).all(2).any(1)
+                others = others[~earlier]
+            if not len(others):
+                continue
+            count[sketches[x]] = 1
+            for y in others.tolist():
+                shared = min(int(count[sketches[y]].sum()), int(sizes[x]))
+                if 100 * shared >= percent * (sizes[x] + sizes[y] - shared):
+                    first.append(x)
+                    second.append(y)
+            count[sketches[x]] = 0
+        a, b = ids[np.array(first, np.int64)], ids[np.array(second, np.int64)]
         return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
     return spread.groupBy("bucket", "i", "j").applyInArrow(meet, schema).distinct()
