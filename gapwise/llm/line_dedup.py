@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gapwise.llm.common import Scratch, mark_free, steps
-from gapwise.llm.linking import linked, sketch
+from gapwise.llm.linking import linked, short_hashes
 from gapwise.llm.near_dup import band_keys, mix, text_bytes
 
 LEAST_BYTES = 40
@@ -66,34 +66,23 @@ def long_lines(docs: DataFrame, *, key: str, text: str) -> DataFrame:
 
 
 def _signed(lines: DataFrame) -> DataFrame:
-    schema = lines.select("id", "line_no", "node").schema.add("bands", T.ArrayType(T.LongType(), False)).add("signature", "binary")
+    schema = lines.select("id", "line_no", "node").schema.add("bands", T.ArrayType(T.LongType(), False))
 
     def run(batches):
         for batch in steps(batches, "line"):
             data, edges = text_bytes(batch.column("line"))
-            signed = signatures(data, edges)
-            keys = band_keys(signed, ROWS).view(np.int64)
-            low = pa.array([x.tobytes() for x in (signed >> np.uint32(1)).astype(np.uint8)], pa.binary())
+            keys = band_keys(signatures(data, edges), ROWS).view(np.int64)
             offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("id", "line_no", "node")), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())), low],
-                names=["id", "line_no", "node", "bands", "signature"],
+                [*(batch.column(c) for c in ("id", "line_no", "node")), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))],
+                names=["id", "line_no", "node", "bands"],
             )
 
     return lines.mapInArrow(run, schema)
 
 
-def _sketched(lines: DataFrame) -> DataFrame:
-    schema = lines.select("id", "line").schema.add("n", "long").add("sketch", "binary")
-
-    def run(batches):
-        for whole in batches:
-            for batch in steps([whole], "line"):
-                sets = [mix(np.unique(_windows(np.frombuffer(x.as_py().encode(), np.uint8)))) for x in batch.column("line")]
-                more = [pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("line"), *more], names=["id", "line", "n", "sketch"])
-
-    return lines.select("id", "line").mapInArrow(run, schema)
+def _short_windows(line: str) -> np.ndarray:
+    return short_hashes(mix(_windows(np.frombuffer(line.encode(), np.uint8))))
 
 
 def similar(left: bytes, right: bytes) -> bool:
@@ -124,11 +113,11 @@ def duplicate_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
 
     def prepare(ids: DataFrame):
         wanted = lines.select(F.col("node").alias("id"), "line").join(ids, "id", "left_semi")
-        texts = scratch.put(_sketched(wanted.dropDuplicates(["id"])), "texts")
-        return lambda pairs: _confirmed(pairs, texts), texts.select("id", "n", "sketch")
+        texts = scratch.put(wanted.dropDuplicates(["id"]), "texts")
+        return lambda pairs: _confirmed(pairs, texts), texts.select("id", F.col("line").alias("payload"))
 
-    items = signed.select(F.col("node").alias("id"), "bands", "signature")
-    found = linked(items, prepare, scratch, percent=PERCENT, bands=BANDS)
+    items = signed.select(F.col("node").alias("id"), "bands")
+    found = linked(items, prepare, _short_windows, scratch, percent=PERCENT)
     places = signed.select("id", "line_no", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     place = F.struct("id", "line_no")
     keepers = places.groupBy("root").agg(F.min(place).alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")

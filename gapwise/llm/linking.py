@@ -3,8 +3,8 @@
 A member meets the smallest member of its buckets first.  Once components are known, only members of
 different components still meet, so a bucket that has grown together costs nothing more, however many
 members it has.  What then remains in a bucket meets in blocks inside tasks: every pair is looked at in the
-first bucket it shares, against a sketch of the full set that never shows less than the true overlap.  Only
-pairs that pass it are confirmed on their sets, so what comes out of a block are links and little else.
+first bucket it shares, against short hashes of the full sets, which never show less than the true overlap.
+Only pairs that pass are confirmed on their sets, so what comes out of a block are links and little else.
 """
 
 from __future__ import annotations
@@ -22,13 +22,14 @@ from gapwise.llm.components import components
 #: Members of a bucket that meet in one block.
 BLOCK = 256
 
-#: ``prepare(ids in buckets)`` gives a function that keeps the links among pairs ``a``, ``b``, and the table
-#: ``id``, ``n`` (size of the set), ``sketch`` (16-bit hashes of all its elements, repeats included).
+#: ``prepare(ids in buckets)`` gives a function that keeps the links among pairs ``a``, ``b``, and a table of
+#: ``id`` and ``payload``, from which ``hashes_of`` makes 16-bit hashes of all elements of the set.
 Prepare = Callable[[DataFrame], tuple[Callable[[DataFrame], DataFrame], DataFrame]]
+HashesOf = Callable[[bytes], np.ndarray]
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    return (hashes >> np.uint64(48)).astype(np.uint16).tobytes()
+def short_hashes(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(48)).astype(np.uint16)
 
 
 def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
@@ -36,17 +37,16 @@ def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
     return members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
-def linked(items: DataFrame, prepare: Prepare, scratch: Scratch, *, percent: int, bands: int) -> DataFrame:
-    """Component roots (``node``, ``root``) of items (``id``, ``bands``, ``signature``).
+def linked(items: DataFrame, prepare: Prepare, hashes_of: HashesOf, scratch: Scratch, *, percent: int) -> DataFrame:
+    """Component roots (``node``, ``root``) of items (``id``, ``bands``).
 
     An item that is in no link, or the smallest of its component, has no row.  Repeated items count once.
-    ``signature`` has as many bytes for every band; bands are equal if these are.
     """
-    rows = items.select("id", F.posexplode("bands").alias("band", "bucket"))
+    rows = items.select("id", F.explode("bands").alias("bucket"))
     buckets = rows.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("bucket", "least")
     members = scratch.put(rows.join(buckets, "bucket").dropDuplicates(["bucket", "id"]), "members")
     ids = scratch.put(members.select("id").distinct(), "ids")
-    confirm, sketches = prepare(ids)
+    confirm, payloads = prepare(ids)
 
     # Round 1: a member and the smallest member of most of its buckets.
     met = members.where("id != least").groupBy("id", "least").agg(F.count(F.lit(1)).alias("n"))
@@ -65,51 +65,82 @@ def linked(items: DataFrame, prepare: Prepare, scratch: Scratch, *, percent: int
     # Last: buckets that still hold several components, block by block.
     labelled = scratch.put(_labelled(members, found), "labelled")
     mixed = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n_members")).where("lo < hi")
-    rest = labelled.join(mixed.select("bucket", "n_members"), "bucket").select("bucket", "band", "n_members", "id", "root")
-    known = items.select("id", "signature").join(rest.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    pairs = scratch.put(_blocks(rest.join(known.join(sketches, "id"), "id"), percent, bands), "blocks")
+    rest = labelled.join(mixed.select("bucket", "n_members"), "bucket").select("bucket", "n_members", "id", "root")
+    known = items.join(rest.select("id").distinct(), "id", "left_semi").select("id", "bands").dropDuplicates(["id"])
+    pairs = scratch.put(_blocks(rest.join(known.join(payloads, "id"), "id"), hashes_of, percent), "blocks")
     edges = edges.union(scratch.put(confirm(pairs), "links"))
     return components(edges, scratch)
 
 
-def _blocks(rest: DataFrame, percent: int, bands: int) -> DataFrame:
-    """Pairs of different components inside the mixed buckets whose sketches could be those of a link.
+def _blocks(rest: DataFrame, hashes_of: HashesOf, percent: int) -> DataFrame:
+    """Pairs of different components inside the mixed buckets whose hashes could be those of a link.
 
     A bucket of n members has about n / ``BLOCK`` blocks; every two of them meet in a group of their own,
-    so no task holds a whole bucket.
+    so no task holds a whole bucket.  Groups come sorted, many to a task.
     """
     blocks = F.ceil(F.col("n_members") / BLOCK).cast("int")
     spread = rest.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("id"), blocks).cast("int")})
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "id", "root", "n", "signature", "sketch")
+    spread = spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root", "bands", "payload")
     schema = spread.select(F.col("id").alias("a"), F.col("id").alias("b")).schema
+    group = ["bucket", "i", "j"]
 
-    def meet(table: pa.Table) -> pa.Table:
-        ids, roots, sizes, own = (table.column(c).to_numpy() for c in ("id", "root", "n", "own"))
-        i, j, band = (table.column(c)[0].as_py() for c in ("i", "j", "band"))
-        signed = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
-        sketches = [np.frombuffer(s, np.uint16) for s in table.column("sketch").to_pylist()]
-        per_band = signed.shape[1] // bands
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        first: list[int] = []
-        second: list[int] = []
-        count = np.zeros(1 << 16, np.int64)
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows = pa.Table.from_batches(held).combine_chunks()
+            edges = _group_edges(rows, group)
+            if len(edges) > 2:
+                yield _met(rows, edges[:-1], hashes_of, percent)
+            held = rows.slice(edges[-2]).to_batches()  # the last group may go on
+        if held:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            yield _met(rows, _group_edges(rows, group), hashes_of, percent)
+
+    return spread.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, schema).distinct()
+
+
+def _group_edges(rows: pa.Table, group: list[str]) -> list[int]:
+    new = np.ones(rows.num_rows, bool)
+    columns = [rows.column(c).to_numpy() for c in group]
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return [*np.flatnonzero(new).tolist(), rows.num_rows]
+
+
+def _met(rows: pa.Table, edges: list[int], hashes_of: HashesOf, percent: int) -> pa.RecordBatch:
+    """The pairs that groups of rows (cut at the edges) give."""
+    ids, roots, own, buckets, at_i, at_j = (rows.column(c).to_numpy() for c in ("id", "root", "own", "bucket", "i", "j"))
+    flat = rows.column("bands").chunk(0)
+    bands = flat.flatten().to_numpy().reshape(len(ids), -1)
+    payloads = rows.column("payload").to_pylist()
+    # Counting every element whose hash is known never shows less than the overlap, and distinct hashes
+    # are never more than the elements; so no link is missed.
+    hashes = [hashes_of(p) for p in payloads]
+    sizes = np.array([len(np.unique(h)) for h in hashes])
+    known = np.zeros(1 << 16, bool)
+    pairs: list[tuple[int, int]] = []
+    for start, stop in zip(edges[:-1], edges[1:], strict=True):
+        place = np.arange(start, stop)
+        left, right = place[own[start:stop] == at_i[start]], place[own[start:stop] == at_j[start]]
+        alone = at_i[start] == at_j[start]
         for x in left.tolist():
-            small, large = np.minimum(sizes[x], sizes[right]), np.maximum(sizes[x], sizes[right])
-            others = right[(roots[right] != roots[x]) & (100 * small >= percent * large) & ((ids[right] < ids[x]) | (i != j))]
-            if len(others) and band:
-                earlier = (signed[others, : band * per_band] == signed[x, : band * per_band]).reshape(len(others), band, per_band).all(2).any(1)
-                others = others[~earlier]
+            near = roots[right] != roots[x]
+            if alone:
+                near &= ids[right] < ids[x]
+            others = right[near]
+            if len(others):
+                # A pair is looked at in the first bucket that it shares.
+                others = others[bands[x][(bands[others] == bands[x]).argmax(1)] == buckets[start]]
             if not len(others):
                 continue
-            count[sketches[x]] = 1
+            known[hashes[x]] = True
             for y in others.tolist():
-                shared = min(int(count[sketches[y]].sum()), int(sizes[x]))
+                shared = min(int(known[hashes[y]].sum()), len(hashes[x]), len(hashes[y]))
                 if 100 * shared >= percent * (sizes[x] + sizes[y] - shared):
-                    first.append(x)
-                    second.append(y)
-            count[sketches[x]] = 0
-        a, b = ids[np.array(first, np.int64)], ids[np.array(second, np.int64)]
-        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
-
-    return spread.groupBy("bucket", "i", "j").applyInArrow(meet, schema).distinct()
+                    pairs.append((max(ids[x], ids[y]), min(ids[x], ids[y])))
+            known[hashes[x]] = False
+    a, b = zip(*pairs, strict=True) if pairs else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])

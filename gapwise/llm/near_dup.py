@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gapwise.llm.common import Scratch, steps
-from gapwise.llm.linking import linked, sketch
+from gapwise.llm.linking import linked, short_hashes
 
 WORDS = 5
 #: Links: 100 * shared >= PERCENT * union.
@@ -132,9 +132,8 @@ def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: the id, ``n_shingles``, a 128-bit digest of the set (``d1``, ``d2``), the band keys and the
-    low byte of every coordinate."""
-    schema = docs.select(F.col(key).cast("long").alias("id")).schema.add("n_shingles", "long").add("d1", "long").add("d2", "long").add("bands", T.ArrayType(T.LongType(), False)).add("signature", "binary")
+    """Per row: the id, ``n_shingles``, a 128-bit digest of the set (``d1``, ``d2``) and the band keys."""
+    schema = docs.select(F.col(key).cast("long").alias("id")).schema.add("n_shingles", "long").add("d1", "long").add("d2", "long").add("bands", T.ArrayType(T.LongType(), False))
 
     def run(batches):
         circulant = Circulant()
@@ -143,38 +142,38 @@ def signatures(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> D
             full = np.flatnonzero(counts)
             digests = np.zeros((2, len(counts)), np.uint64)
             keys, sizes = np.zeros(0, np.uint64), np.zeros(len(counts), np.int64)
-            low = [None] * len(counts)
             if len(full):
                 some = counts[full]
                 starts = np.cumsum(some) - some
                 digests[0, full] = np.add.reduceat(mix(hashes), starts)
                 digests[1, full] = np.add.reduceat(mix(hashes ^ _M2), starts)
-                signed = circulant.signatures(hashes, some)
-                keys = band_keys(signed, ROWS).ravel()
-                for row, value in zip(full.tolist(), signed.astype(np.uint8), strict=True):
-                    low[row] = value.tobytes()
+                keys = band_keys(circulant.signatures(hashes, some), ROWS).ravel()
                 sizes[full] = BANDS
             offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(counts, pa.int64()), *(pa.array(d.view(np.int64)) for d in digests), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64))), pa.array(low, pa.binary())],
-                names=["id", "n_shingles", "d1", "d2", "bands", "signature"],
+                [batch.column("id"), pa.array(counts, pa.int64()), *(pa.array(d.view(np.int64)) for d in digests), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64)))],
+                names=["id", "n_shingles", "d1", "d2", "bands"],
             )
 
     return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(run, schema)
 
 
+def _read_short(payload: bytes) -> np.ndarray:
+    return np.frombuffer(payload, np.uint16)
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, *, key: str, text: str) -> DataFrame:
-    """``id``, the full set of shingle hashes and its sketch, of the wanted documents."""
+    """``id``, the full set of shingle hashes and short hashes of it, of the wanted documents."""
     chosen = docs.select(F.col(key).cast("long").alias("id"), text).join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    schema = wanted.select("id").schema.add("shingles", T.ArrayType(T.LongType(), False)).add("sketch", "binary")
+    schema = wanted.select("id").schema.add("shingles", T.ArrayType(T.LongType(), False)).add("short", "binary")
 
     def run(batches):
         for batch in steps(batches, text):
             hashes, counts = shingle_sets(*text_bytes(batch.column(text)))
             edges = np.concatenate(([0], np.cumsum(counts)))
-            sketches = [sketch(hashes[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+            short = [short_hashes(hashes[a:b]).tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
             sets = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), sets, pa.array(sketches, pa.binary())], names=["id", "shingles", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), sets, pa.array(short, pa.binary())], names=["id", "shingles", "short"])
 
     return chosen.mapInArrow(run, schema)
 
@@ -192,14 +191,14 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     scratch = Scratch(docs.sparkSession, "near")
     signed = scratch.put(signatures(docs, key=key, text=text), "signatures")
     real = signed.where("n_shingles > 0 AND id IS NOT NULL")
-    first = real.groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("id"), F.min_by(F.struct("bands", "signature"), "id").alias("s"))
+    first = real.groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands"))
     first = scratch.put(first, "classes")
 
     def prepare(ids: DataFrame):
         sets = scratch.put(sets_of(docs, ids, key=key, text=text), "sets")
-        return lambda pairs: confirmed(pairs, sets), sets.select("id", F.size("shingles").cast("long").alias("n"), "sketch")
+        return lambda pairs: confirmed(pairs, sets), sets.select("id", F.col("short").alias("payload"))
 
-    found = linked(first.select("id", "s.*"), prepare, scratch, percent=PERCENT, bands=BANDS)
+    found = linked(first.select("id", "bands"), prepare, _read_short, scratch, percent=PERCENT)
     roots = first.select("d1", "d2", "n_shingles", F.col("id").alias("node")).join(found, "node", "left")
     roots = roots.select("d1", "d2", "n_shingles", F.coalesce("root", "node").alias("root"))
     out = signed.select("id", "n_shingles", "d1", "d2").join(roots, ["d1", "d2", "n_shingles"], "left")
