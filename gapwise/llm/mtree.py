@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 
 from gapwise.llm.common import Scratch
 
-PAGE = 32
+PAGE = 128
 TREE_ROWS = 8_192
 QUERY_BLOCK = 256
-SLACK = 1e-6
+#: Of distances in units of 1 / 1024, far above their rounding.
+SLACK = 1e-3
 UNIT = 1024.0
 
 
@@ -55,6 +56,7 @@ class MTree:
         # Of every page: routing vectors, radii, distances to the parent, and children (pages or rows).
         self.pages: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]] = []
         self.root = self._build(np.arange(len(points)), None)[0] if len(points) else -1
+        self.norms = [(centres**2).sum(1) for centres, *_ in self.pages]
 
     def _distances(self, rows: np.ndarray, centre: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(((self.points[rows] - centre) ** 2).sum(1), 0.0))
@@ -97,7 +99,7 @@ class MTree:
         if self.root < 0:
             return []
         heap: list[tuple[float, int, float | None]] = [(0.0, self.root, None)]
-        bound = np.inf
+        bound, length = np.inf, float(query @ query)
         self.computed = 0
         while heap:
             low, number, to_centre = heapq.heappop(heap)
@@ -109,7 +111,9 @@ class MTree:
                 open_ = np.flatnonzero(np.abs(to_centre - to_parent) - radii <= bound + SLACK)
             if not len(open_):
                 continue
-            distances = np.sqrt(((centres[open_] - query) ** 2).sum(1))
+            some = centres if len(open_) == len(radii) else centres[open_]
+            norms = self.norms[number][open_]
+            distances = np.sqrt(np.maximum(norms - 2.0 * (some @ query) + length, 0.0))
             self.computed += len(open_)
             if leaf:
                 near = distances <= bound + SLACK

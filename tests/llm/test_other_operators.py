@@ -186,7 +186,7 @@ def test_tree_spares_distances():
         best = np.lexsort((np.arange(len(scores)), -scores))[:10]
         assert [r for _, r in mtree.search(tree, vectors, vectors[q], 10, np.array([q]))] == best.tolist()
         computed += tree.computed
-    assert computed < 20 * len(vectors) / 2
+    assert computed < 20 * len(vectors) / 2  # half of all distances at most
 
 
 def test_archives_of_awkward_pages(spark):
