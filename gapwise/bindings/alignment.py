@@ -150,16 +150,18 @@ def time_delta(v: Views):
 --
 SELECT session_id, lap_a, lap_b, position, delta_s, throttle_a, throttle_b, brake_a, brake_b,
        steering_a, steering_b, speed_a, speed_b
-FROM lap_pairs WHERE lap_a BETWEEN 0 AND 9 AND lap_b BETWEEN 0 AND 9""",
+FROM lap_pairs
+WHERE lap_b = (SELECT min(l.lap_number) FROM laps l
+               WHERE l.session_id = lap_pairs.session_id AND l.lap_number > lap_a)""",
     "position delta_s throttle_a throttle_b brake_a brake_b steering_a steering_b speed_a speed_b",
 )
 def compare_laps_by_position(v: Views):
-    """All pairs of the ten laps that may be chosen at most, in every session."""
+    """Every lap of every session against the next one."""
     laps = marked_laps(v)
     rows = jobs.compare_laps_by_position(
         laps,
         v.axis,
-        joins.chosen_pairs(v.laps, KEY, list(range(10))),
+        joins.adjacent_pairs(v.laps, v.axis),
         step=GRID_STEP,
         max_position_gap=POSITION_GAP,
         max_time_gap=TIME_GAP,

@@ -1,6 +1,5 @@
 """Queries on checks, sources, sinks, composite jobs and streams."""
 
-import os
 import uuid
 
 from pyspark.sql import functions as F
@@ -32,7 +31,7 @@ KEY = ("session_id",)
 
 def scratch(v: Views, name: str) -> str:
     """A new folder beside the checkpoints, which all executors can reach."""
-    return os.path.join(shared_folder(v.spark), f"{name}-{uuid.uuid4().hex}")
+    return f"{shared_folder(v.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 # --- checks ---------------------------------------------------------------------------
@@ -875,10 +874,11 @@ def false_observed(v: Views):
     SIG + """
 --
 SELECT t.session_id, t.event_id AS id
-FROM sig t JOIN sig f ON f.session_id = t.session_id
+FROM sig t JOIN sig0 f ON f.session_id = t.session_id
  AND f.time_s BETWEEN t.time_s + 0.25 - 6 AND t.time_s + 0.25 + 6
 WHERE t.event_type = 'purchase' GROUP BY t.session_id, t.event_id
-HAVING count(*) >= 2 AND bool_and(f.q = 'observed' AND f.v IS NOT NULL)""",
+HAVING count(DISTINCT f.time_s) >= 2
+ AND bool_and(f.q = 'observed' AND f.v IS NOT NULL AND f.event_id % 17 <> 0)""",
 )
 def observable_truth(v: Views):
     truth = v.sig.filter(F.col("event_type") == "purchase").select(
@@ -886,7 +886,7 @@ def observable_truth(v: Views):
         (F.col("time_s") + 0.5).alias("hi_s"),
     )
     fresh = v.sig.select("session_id", "time_s", BRAKE.fresh().alias("fresh"))
-    return jobs.observable_truth(truth, fresh, KEY, MATCH_WINDOW)
+    return jobs.observable_truth(truth, fresh, KEY, MATCH_WINDOW, v.sig0)
 
 
 @register(

@@ -237,11 +237,12 @@ SELECT session_id, arg_max(time_s, frame) - arg_min(time_s, frame) AS duration,
        min(steering) AS max_steering_left, max(steering) AS max_steering_right,
        coalesce(avg(speed), 0) AS avg_speed, coalesce(max(speed), 0) AS max_speed,
        CAST(sum(tc) AS BIGINT) AS tc_frames, avg(tc) * 100 AS tc_percentage,
+       CAST(sum(laps.abs) AS BIGINT) AS abs_frames, avg(laps.abs) * 100 AS abs_percentage,
        min(s) AS min_position, max(s) AS max_position, bool_or(s IS NOT NULL) AS position_tracked,
        count(DISTINCT lap_number) AS total_laps
 FROM laps GROUP BY session_id""",
     "duration avg_throttle max_throttle avg_brake max_brake avg_steering_abs max_steering_left "
-    "max_steering_right avg_speed max_speed tc_percentage min_position max_position",
+    "max_steering_right avg_speed max_speed tc_percentage abs_percentage min_position max_position",
 )
 def session_summary(v: Views):
     return aggregates.session_summary(v.laps, KEY)
@@ -427,17 +428,20 @@ def combine_status(v: Views):
     "segment_coverage",
     OBS + PASSAGES_CTE + """
 --
-SELECT o.session_id, count(*) AS denominator_frames,
-       count(*) FILTER (WHERE quality = 'observed') AS observed_frames,
-       count(*) FILTER (WHERE quality = 'observed') / count(*) AS ratio,
-       CASE WHEN count(*) FILTER (WHERE quality = 'observed') / count(*) >= 0.6 THEN 'pass'
-            ELSE 'fail' END AS status
-FROM obs o JOIN segments s ON o.session_id = s.session_id
- AND o.frame BETWEEN s.frame_lo AND s.frame_hi
-WHERE o.field = 'brake' GROUP BY o.session_id""",
+SELECT *, observed_frames / denominator_frames AS ratio,
+       CASE WHEN observed_frames / denominator_frames >= 0.6 THEN 'pass' ELSE 'fail' END AS status
+FROM (
+  SELECT s.session_id, CAST(any_value(s.whole) AS BIGINT) AS denominator_frames,
+         count(*) FILTER (WHERE o.quality = 'observed') AS observed_frames
+  FROM (SELECT *, sum(frame_hi - frame_lo + 1) OVER (PARTITION BY session_id) AS whole FROM segments) s
+  LEFT JOIN obs o ON o.session_id = s.session_id AND o.frame BETWEEN s.frame_lo AND s.frame_hi
+   AND o.field = 'brake'
+  GROUP BY s.session_id
+)""",
     "ratio",
 )
 def segment_coverage(v: Views):
+    """Frames without a row (every 17th event) count as not fresh."""
     frames = v.obs.filter("field = 'brake'").withColumn("fresh", F.col("quality") == "observed")
     return aggregates.segment_coverage(frames, v.segments, KEY, minimum=0.6)
 
@@ -446,20 +450,24 @@ def segment_coverage(v: Views):
     "span_coverage",
     OBS + SPANS_CTE + """
 --
-SELECT o.session_id, count(*) AS denominator_frames,
-       count(*) FILTER (WHERE quality = 'observed') AS observed_frames,
-       count(*) FILTER (WHERE quality = 'observed') / count(*) AS ratio,
-       CASE WHEN count(*) FILTER (WHERE quality = 'observed') / count(*) >= 0.6 THEN 'pass'
-            ELSE 'fail' END AS status
-FROM obs o JOIN spans s ON o.session_id = s.session_id
- AND s.start_s <= o.time_s AND o.time_s < s.end_s
-WHERE o.field = 'brake' GROUP BY o.session_id""",
+SELECT *, CASE WHEN denominator_frames > 0 THEN observed_frames / denominator_frames END AS ratio,
+       CASE WHEN denominator_frames = 0 THEN 'not_evaluated'
+            WHEN observed_frames / denominator_frames >= 0.6 THEN 'pass' ELSE 'fail' END AS status
+FROM (
+  SELECT c.session_id, count(DISTINCT c.time_s) FILTER (WHERE s.start_s IS NOT NULL) AS denominator_frames,
+         count(DISTINCT c.time_s) FILTER (WHERE s.start_s IS NOT NULL AND o.quality = 'observed') AS observed_frames
+  FROM sig0 c LEFT JOIN spans s ON c.session_id = s.session_id AND s.start_s <= c.time_s AND c.time_s < s.end_s
+  LEFT JOIN obs o ON o.session_id = c.session_id AND o.frame = c.frame AND o.field = 'brake'
+  GROUP BY c.session_id
+)""",
     "ratio",
 )
 def span_coverage(v: Views):
+    """All frames of the capture count, also those without a row of their own."""
     frames = v.obs.filter("field = 'brake'").withColumn("fresh", F.col("quality") == "observed")
     return aggregates.segment_coverage(
-        frames, v.spans, KEY, span=("start_s", "end_s"), on="time_s", minimum=0.6, half_open=True
+        frames, v.spans, KEY, span=("start_s", "end_s"), on="time_s", minimum=0.6, half_open=True,
+        capture=v.sig0,
     )
 
 

@@ -95,6 +95,7 @@ class Views:
             ((F.col("k") - 50) / 50).alias("steering"),
             "q",
             F.when(F.col("event_id") % 3 != 0, (F.col("event_id") % 2).cast("int")).alias("tc"),
+            F.when(F.col("event_id") % 5 != 0, (F.col("event_id") % 7 % 2).cast("int")).alias("abs"),
         )
 
     @cached_property
@@ -197,7 +198,8 @@ SIG = """WITH sig0 AS (
 LAPS = SIG + """, laps AS (
   SELECT session_id, event_id, frame, time_s, lap_number, s, k AS throttle, v AS brake,
          value AS speed, (k - 50) / 50 AS steering, q,
-         CASE WHEN event_id % 3 <> 0 THEN event_id % 2 END AS tc
+         CASE WHEN event_id % 3 <> 0 THEN event_id % 2 END AS tc,
+         CASE WHEN event_id % 5 <> 0 THEN event_id % 7 % 2 END AS abs
   FROM sig
 )"""
 

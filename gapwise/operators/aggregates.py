@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapwise.channel import Channel, finite
@@ -13,7 +13,9 @@ def _span(order: str = "frame") -> Column:
     return F.max_by("time_s", order) - F.min_by("time_s", order)
 
 
-def session_summary(df: DataFrame, keys: tuple[str, ...], position: str = "s") -> DataFrame:
+def session_summary(
+    df: DataFrame, keys: tuple[str, ...], position: str = "s", indicators: tuple[str, ...] = ("tc", "abs")
+) -> DataFrame:
     """Duration, means, maxima and indicator shares of a session.
 
     Speeds default to 0.0 when there is none (a legacy rule); indicators that were never
@@ -31,8 +33,8 @@ def session_summary(df: DataFrame, keys: tuple[str, ...], position: str = "s") -
         F.max("steering").alias("max_steering_right"),
         F.coalesce(F.avg("speed"), F.lit(0.0)).alias("avg_speed"),
         F.coalesce(F.max("speed"), F.lit(0.0)).alias("max_speed"),
-        F.sum("tc").cast("long").alias("tc_frames"),
-        (F.avg("tc") * 100).alias("tc_percentage"),
+        *(F.sum(i).cast("long").alias(f"{i}_frames") for i in indicators),
+        *((F.avg(i) * 100).alias(f"{i}_percentage") for i in indicators),
         F.min(position).alias("min_position"),
         F.max(position).alias("max_position"),
         F.max(F.col(position).isNotNull()).alias("position_tracked"),
@@ -234,19 +236,46 @@ def segment_coverage(
     frames: DataFrame, segments: DataFrame, keys: tuple[str, ...], *,
     span: tuple[str, str] = ("frame_lo", "frame_hi"), on: str = "frame",
     fresh: str = "fresh", minimum: float = 0.95, half_open: bool = False,
+    capture: DataFrame | None = None,
 ) -> DataFrame:
-    """Share of fresh frames among those inside the segments, each frame counted once."""
-    pairs = overlap_join(frames.select(*keys, on, fresh), segments, keys, (on, on), span)
-    if half_open:
-        pairs = pairs.filter(F.col(f"l.{on}") < F.col(f"r.{span[1]}"))
-    inside = pairs.select("l.*").groupBy(*keys, on).agg(F.max(fresh).alias("_f"))
-    out = inside.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("denominator_frames"), F.count_if("_f").alias("observed_frames")
-    )
-    ratio = F.col("observed_frames") / F.col("denominator_frames")
-    return out.withColumns(
-        {"ratio": ratio, "status": F.when(ratio >= minimum, "pass").otherwise("fail")}
-    )
+    """Share of fresh frames among all frames of the segments, each frame counted once.
+
+    A frame without a row is not fresh.  ``capture`` lists the frames (keys, ``on``) that the
+    recording has; without it ``on`` counts frames and every number of a segment is one.  A
+    session without segments, or without a frame in them, is not evaluated.
+    """
+    merged = _merged_spans(segments, keys, span, 0 if half_open or capture is not None else 1)
+
+    def inside(rows: DataFrame, name: str) -> DataFrame:
+        pairs = overlap_join(rows.distinct(), merged, keys, (on, on), ("_lo", "_hi"))
+        if half_open:
+            pairs = pairs.filter(F.col(f"l.{on}") < F.col("r._hi"))
+        met = pairs.select("l.*").distinct()
+        return met.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+
+    if capture is None:
+        length = F.col("_hi") - F.col("_lo") + 1
+        whole = merged.groupBy(*keys).agg(F.sum(length).cast("long").alias("denominator_frames"))
+    else:
+        whole = inside(capture.select(*keys, on), "denominator_frames")
+    seen = inside(frames.filter(F.col(fresh)).select(*keys, on), "observed_frames")
+    sessions = (frames if capture is None else capture).select(*keys).union(segments.select(*keys)).distinct()
+    out = sessions.join(whole, list(keys), "left").join(seen, list(keys), "left")
+    out = out.na.fill(0, ["denominator_frames", "observed_frames"])
+    ratio = F.when(F.col("denominator_frames") > 0, F.col("observed_frames") / F.col("denominator_frames"))
+    status = F.when(ratio.isNull(), "not_evaluated").when(ratio >= minimum, "pass").otherwise("fail")
+    return out.withColumns({"ratio": ratio, "status": status})
+
+
+def _merged_spans(segments: DataFrame, keys: tuple[str, ...], span: tuple[str, str], step: int) -> DataFrame:
+    """Spans (``_lo``, ``_hi``) of which none meets another; ``step`` joins neighbouring numbers."""
+    low, high = span
+    order = Window.partitionBy(*keys).orderBy(low, high)
+    rows = segments.select(*keys, low, high).filter(F.col(low) <= F.col(high))
+    reach = F.max(high).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_new", F.coalesce(F.col(low) > reach + step, F.lit(True)).cast("int"))
+    rows = rows.withColumn("_span", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(*keys, "_span").agg(F.min(low).alias("_lo"), F.max(high).alias("_hi")).drop("_span")
 
 
 def source_counts(progress: DataFrame, keys: tuple[str, ...], source: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapwise.ordered import Axis, Lead, Least, Sum, broadcast_if_small, scan
+from gapwise.ordered import Axis, broadcast_if_small, broadcast_rows, Lead, Least, materialize, scan, Sum
 
 
 def segments(vertices: DataFrame, axis: Axis | None = None) -> DataFrame:
@@ -43,11 +43,23 @@ def project_points(
     def square(value: Column) -> Column:
         return F.floor(value / size).cast("long")
 
-    def squares(a: str, b: str) -> Column:
-        low, high = F.least(a, b) - max_distance, F.greatest(a, b) + max_distance
-        return F.explode(F.sequence(square(low), square(high)))
+    def squares(low: Column, high: Column) -> Column:
+        return F.explode(F.sequence(square(low - max_distance), square(high + max_distance)))
 
-    listed = segs.withColumn("_cx", squares("x", "x1")).withColumn("_cy", squares("y", "y1"))
+    # Column by column, only the squares that the part of the segment near this column can reach.
+    listed = segs.withColumn("_cx", squares(F.least("x", "x1"), F.greatest("x", "x1")))
+    run = F.col("x1") - F.col("x")
+
+    def height(edge: Column) -> Column:
+        share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (edge - F.col("x")) / run))
+        return F.col("y") + share * (F.col("y1") - F.col("y"))
+
+    left, right = F.col("_cx") * size - max_distance, (F.col("_cx") + 1) * size + max_distance
+    first = F.when(run == 0, F.col("y")).otherwise(height(left))
+    final = F.when(run == 0, F.col("y1")).otherwise(height(right))
+    listed = listed.withColumns({"_y0": first, "_y1": final})
+    slack = F.lit(float(max_distance) * 1e-6)
+    listed = listed.withColumn("_cy", squares(F.least("_y0", "_y1") - slack, F.greatest("_y0", "_y1") + slack))
     listed = listed.select(
         "track_id", "_cx", "_cy", "idx", F.col("x").alias("ax"), F.col("y").alias("ay"),
         F.col("x1").alias("bx"), F.col("y1").alias("by"), "length", "start_arc", "total",
@@ -133,8 +145,13 @@ def nearest_vertex(points: DataFrame, vertices: DataFrame) -> DataFrame:
     rings = segs.groupBy("track_id", block.alias("_block")).agg(
         F.array_sort(F.collect_list(item)).alias("_ring"), F.max("total").alias("ring_length")
     )
-    largest = segs.agg(F.max(block)).first()[0] or 0
-    rows = points.join(broadcast_if_small(rings) if largest == 0 else rings, "track_id")
+    largest, vertices_in_all = segs.agg(F.max(block), F.count(F.lit(1))).first()
+    cut = (largest or 0) > 0
+    # A row of ``rings`` is an array, so what a broadcast would send is counted in vertices.
+    small = vertices_in_all <= broadcast_rows(points.sparkSession)
+    # Equal points stay apart: each has a number, fixed by a checkpoint.
+    named = materialize(points.withColumn("_row", F.monotonically_increasing_id())) if cut else points
+    rows = named.join(F.broadcast(rings) if small else rings, "track_id")
 
     def off(v: Column) -> Column:
         dx, dy = F.col("x") - v["x"], F.col("y") - v["y"]
@@ -143,10 +160,11 @@ def nearest_vertex(points: DataFrame, vertices: DataFrame) -> DataFrame:
         )
 
     rows = rows.withColumn("_v", F.array_min(F.transform("_ring", off)))
-    if largest > 0:
-        rows = rows.groupBy(*points.columns).agg(
-            F.min("_v").alias("_v"), F.max("ring_length").alias("ring_length")
-        )
+    if cut:
+        point = F.struct(*points.columns)
+        rows = rows.groupBy("_row").agg(
+            F.min("_v").alias("_v"), F.max("ring_length").alias("ring_length"), F.first(point).alias("_p")
+        ).select("_p.*", "_v", "ring_length")
     return rows.select(
         *points.columns, F.col("_v.idx").alias("vertex"), F.col("_v.arc").alias("vertex_arc"),
         "ring_length",

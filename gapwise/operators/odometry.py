@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapwise.ordered import (
-    Axis, Lag, Last, Lead, Next, Sum, asof, materialize, quantiles, row_number, scan,
+    Axis, Lag, Last, Lead, Next, Sum, asof, materialize, medians, row_number, scan,
 )
 
 
@@ -173,9 +173,7 @@ def judge_laps(
     rows = laps.withColumns({"_dur": duration, "_eligible": (duration > 0) & usable})
     eligible = rows.filter("_eligible")
     counts = eligible.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    mid = quantiles(eligible, keys, "distance_m", {"_dm": 0.5})
-    mid_time = quantiles(eligible, keys, "_dur", {"_tm": 0.5})
-    centre = counts.join(mid, list(keys)).join(mid_time, list(keys))
+    centre = counts.join(medians(eligible, keys, {"_dm": "distance_m", "_tm": "_dur"}), list(keys))
     rows = rows.join(centre, list(keys), "left")
     judged = F.col("_eligible") & (F.coalesce(F.col("_n"), F.lit(0)) >= 3)
     far = judged & (F.abs(F.col("distance_m") - F.col("_dm")) / F.col("_dm") > max_deviation)
@@ -202,12 +200,13 @@ def calibrate_length(
     judged: DataFrame, keys: tuple[str, ...], *, max_deviation: float
 ) -> DataFrame:
     """Median distance of the accepted laps with its relative median deviation."""
+    judged = materialize(judged)
     good = judged.filter("accepted")
-    mid = quantiles(good, keys, "distance_m", {"effective_length_m": 0.5})
+    mid = medians(good, keys, {"effective_length_m": "distance_m"})
     spread = good.join(mid, list(keys)).withColumn(
         "_dev", F.abs(F.col("distance_m") - F.col("effective_length_m"))
     )
-    mad = quantiles(spread, keys, "_dev", {"_mad": 0.5})
+    mad = medians(spread, keys, {"_mad": "_dev"})
     counts = judged.groupBy(*keys).agg(
         F.count_if("accepted").alias("accepted_laps"),
         F.count_if(~F.col("accepted")).alias("rejected_laps"),

@@ -17,7 +17,6 @@ summary row per chunk travels along the key.  Both ways give the same rows.
 from __future__ import annotations
 
 import json
-import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
@@ -37,15 +36,11 @@ def group_rows(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints that the cluster names; a local one only in local mode."""
+    """The folder for checkpoints that the cluster names; beside the warehouse where it names none."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-            folder = tempfile.mkdtemp(prefix="gapwise-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
     return context.getCheckpointDir()
 
 
@@ -55,9 +50,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_rows(spark: SparkSession) -> int:
+    return int(spark.conf.get(BROADCAST_ROWS_CONF, str(DEFAULT_BROADCAST_ROWS)))
+
+
 def broadcast_if_small(df: DataFrame) -> DataFrame:
     """Broadcast only a table whose row count was checked; else leave the choice to Spark."""
-    bound = int(df.sparkSession.conf.get(BROADCAST_ROWS_CONF, str(DEFAULT_BROADCAST_ROWS)))
+    bound = broadcast_rows(df.sparkSession)
     counted = df.limit(bound + 1).count()
     return F.broadcast(df) if counted <= bound else df
 
@@ -110,7 +109,8 @@ def plan_axis(
 
     With ``unique_step`` the first order column is a counter that occurs once per
     key, so a chunk of ``bound`` counter values holds at most ``bound`` rows.
-    Otherwise the width shrinks until the fullest chunk fits.
+    Otherwise the width shrinks until the fullest chunk fits, or until a chunk holds
+    hardly more than one value of the first order column, which is never cut.
     """
     bound = group_rows(df.sparkSession)
     largest = _largest(df, *keys)
@@ -121,13 +121,14 @@ def plan_axis(
         return replace(axis, width=float(bound))
     low, high = df.agg(F.min(order[0]), F.max(order[0])).first()
     width = max(float(high) - float(low), 1e-9) * bound / largest
+    ties = _largest(df, *keys, order[0])
     for _ in range(40):
         trial = replace(axis, width=width)
         fullest = _largest(df.select(*keys, trial.chunk().alias("_c")), *keys, "_c")
-        if fullest <= bound:
+        if fullest <= max(bound, ties):
             return trial
         width /= max(2.0, fullest / bound)
-    raise ValueError(f"one value of {order[0]} repeats more than {bound} times inside a key")
+    return trial
 
 
 # --- scan -----------------------------------------------------------------------------
@@ -533,6 +534,17 @@ def overlap_join(
 # --- exact quantiles ------------------------------------------------------------------
 
 
+def medians(df: DataFrame, keys: tuple[str, ...], columns: dict[str, str]) -> DataFrame:
+    """Exact medians of several columns, ``{output: column}``, in one aggregate where keys fit a task."""
+    if _largest(df, *keys) <= group_rows(df.sparkSession):
+        return df.groupBy(*keys).agg(*(F.percentile(c, F.lit(0.5)).alias(n) for n, c in columns.items()))
+    parts = [quantiles(df, keys, c, {n: 0.5}) for n, c in columns.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, list(keys), "outer")
+    return out
+
+
 def quantiles(
     df: DataFrame, keys: tuple[str, ...], value: str, fractions: dict[str, float]
 ) -> DataFrame:

@@ -155,12 +155,18 @@ def lap_event_status(max_error: float, complete_review: Column) -> Column:
 
 
 def observable_truth(
-    truth: DataFrame, frames: DataFrame, keys: tuple[str, ...], window: float
+    truth: DataFrame, frames: DataFrame, keys: tuple[str, ...], window: float,
+    capture: DataFrame | None = None,
 ) -> DataFrame:
     """Truth events around which every frame within the window has a fresh reading.
 
-    ``frames``: keys, ``time_s, fresh``.  Counts per event come from an interval join.
+    ``frames``: keys, ``time_s, fresh``.  ``capture`` (keys, ``time_s``) lists the frames that
+    the recording has; one without a row in ``frames`` is not fresh.
     """
+    if capture is not None:
+        listed = capture.select(*keys, "time_s").distinct()
+        frames = listed.join(frames.select(*keys, "time_s", "fresh"), [*keys, "time_s"], "left")
+        frames = frames.na.fill(False, ["fresh"])
     mid = (F.col("lo_s") + F.col("hi_s")) / 2
     around = truth.select(*keys, "id", (mid - window).alias("a"), (mid + window).alias("b"))
     pairs = overlap_join(

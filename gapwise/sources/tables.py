@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,13 +125,32 @@ def with_envelope(
     )
 
 
+def _holds_non_finite(value: Column, kind: T.DataType) -> Column | None:
+    """Whether a value, or anything inside it, is NaN or an infinity; ``None`` where none can be."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return value.isNotNull() & ~finite(value)
+    if isinstance(kind, T.StructType):
+        inner = [_holds_non_finite(value.getField(f.name), f.dataType) for f in kind.fields]
+        inner = [c for c in inner if c is not None]
+        return F.coalesce(reduce(or_, inner), F.lit(False)) if inner else None
+    if isinstance(kind, T.ArrayType):
+        if _holds_non_finite(value, kind.elementType) is None:
+            return None
+        return F.coalesce(F.exists(value, lambda x: _holds_non_finite(x, kind.elementType)), F.lit(False))
+    if isinstance(kind, T.MapType):
+        parts = ((F.map_keys(value), kind.keyType), (F.map_values(value), kind.valueType))
+        inner = [_holds_non_finite(v, T.ArrayType(t)) for v, t in parts]
+        inner = [c for c in inner if c is not None]
+        return reduce(or_, inner) if inner else None
+    return None
+
+
 def non_finite_rows(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Rows with NaN or an infinity in a floating column, one row per column."""
-    floating = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
+    """Rows with NaN or an infinity in a column, also deep inside it, one row per column."""
+    found = [(f.name, _holds_non_finite(F.col(f"`{f.name}`"), f.dataType)) for f in df.schema.fields]
     items = F.array(
-        *[
-            F.when(F.col(c).isNotNull() & ~finite(F.col(c)), F.lit(c)) for c in floating
-        ] or [F.lit(None).cast("string")]
+        *[F.when(bad, F.lit(name)) for name, bad in found if bad is not None]
+        or [F.lit(None).cast("string")]
     )
     rows = df.select(*keys, F.explode(F.array_compact(items)).alias("key"))
     return rows.withColumn("rule", F.lit("not_finite"))

@@ -260,3 +260,34 @@ def test_settings_are_checked():
     for bad in (dict(on=2, off=5), dict(persistence=0), dict(max_gap=float("nan")), dict(on=101)):
         with pytest.raises(ValueError):
             EventSettings(**bad)
+
+
+def test_lost_frames_are_not_fresh(spark):
+    from gapwise.operators.aggregates import segment_coverage
+
+    frames = spark.createDataFrame([("a", 0, True), ("a", 3, True), ("b", 0, True)], "session_id string, frame long, fresh boolean")
+    segments = spark.createDataFrame([("a", 0, 3), ("a", 2, 3), ("c", 5, 6)], "session_id string, frame_lo long, frame_hi long")
+    rows = {r.session_id: (r.denominator_frames, r.observed_frames, r.status) for r in segment_coverage(frames, segments, ("session_id",)).collect()}
+    assert rows == {"a": (4, 2, "fail"), "b": (0, 0, "not_evaluated"), "c": (2, 0, "fail")}
+
+
+def test_equal_points_stay_apart_on_a_long_ring(spark):
+    from pyspark.sql import functions as F
+
+    from gapwise.operators.geometry import RING_BLOCK, nearest_vertex
+
+    for size in (RING_BLOCK, RING_BLOCK + 1):
+        turn = F.col("id") * (2 * 3.141592653589793 / size)
+        ring = spark.range(size).select(F.lit(0).alias("track_id"), F.col("id").alias("idx"), F.cos(turn).alias("x"), F.sin(turn).alias("y"))
+        points = spark.createDataFrame([(0, 1.0, 0.0), (0, 1.0, 0.0), (0, 0.0, 1.0)], "track_id int, x double, y double")
+        assert [r.vertex for r in nearest_vertex(points, ring).orderBy("vertex").collect()] == [0, 0, round(size / 4)]
+
+
+def test_non_finite_numbers_deep_inside(spark):
+    from gapwise.sources.tables import non_finite_rows
+
+    nan, inf = float("nan"), float("inf")
+    schema = "k int, s struct<a:double,b:array<double>>, m map<string,double>, t string"
+    rows = [(1, (1.0, [1.0]), {"x": 1.0}, "t"), (2, (nan, None), None, None), (3, (1.0, [1.0, inf]), {"x": 1.0}, ""), (4, None, {"x": -inf}, "")]
+    found = {(r.k, r.key) for r in non_finite_rows(spark.createDataFrame(rows, schema), ("k",)).collect()}
+    assert found == {(2, "s"), (3, "s"), (4, "m")}
