@@ -291,3 +291,31 @@ def test_non_finite_numbers_deep_inside(spark):
     rows = [(1, (1.0, [1.0]), {"x": 1.0}, "t"), (2, (nan, None), None, None), (3, (1.0, [1.0, inf]), {"x": 1.0}, ""), (4, None, {"x": -inf}, "")]
     found = {(r.k, r.key) for r in non_finite_rows(spark.createDataFrame(rows, schema), ("k",)).collect()}
     assert found == {(2, "s"), (3, "s"), (4, "m")}
+
+
+def test_anchors_as_columns_equal_the_sequential_choice(spark):
+    """The table form and the tracker's form of the anchor rule on random boundaries."""
+    import random
+
+    from gapwise.operators.fusion import recover_anchors
+
+    rng = random.Random(11)
+
+    def near(t, d):
+        spots = [(rng.random(), rng.choice([0.0, 0.01, 0.04, 0.07]), rng.random(), rng.random()) for _ in range(rng.randrange(3))]
+        return None if rng.random() < 0.3 else (t + rng.uniform(-0.2, 0.2), d + rng.uniform(-0.3, 0.3), spots)
+
+    rows = []
+    for i in range(300):
+        here = [(rng.random(), rng.choice([0.01, 0.03, 0.09]), 1.0 * i, 2.0) for _ in range(rng.choice([0, 0, 1, 2]))]
+        rows.append((0, i, 10.0, 50.0, rng.choice([100.0, None, 0.0, 80.0]), rng.choice([None, 0.25]), here, near(10.0, 50.0), near(10.0, 50.0)))
+    spot = "array<struct<s:double,d:double,x:double,y:double>>"
+    side = f"struct<time_s:double,distance_m:double,projections:{spot}>"
+    schema = f"session_id int, frame int, time_s double, distance_m double, length double, last_raw_s double, projections {spot}, before {side}, after {side}"
+    found = recover_anchors(spark.createDataFrame(rows, schema), ("session_id",), ANCHOR).collect()
+    assert len({r.anchor_kind for r in found}) == 4
+    for r in found:
+        _, _, t, d, length, last, here, before, after = rows[r.frame]
+        want = find_anchor((t, d), here, before, after, length, last, ANCHOR)
+        assert r.anchor_kind == want[4]
+        assert (r.raw_s, r.x, r.y, r.anchor_uncertainty) == tuple(None if v is None else pytest.approx(v) for v in want[:4])
