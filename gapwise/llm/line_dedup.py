@@ -91,6 +91,10 @@ def similar(left: bytes, right: bytes) -> bool:
     return 100 * shared >= PERCENT * (len(a) + len(b) - shared)
 
 
+def _same_lines(left: str, right: str) -> bool:
+    return similar(left.encode(), right.encode())
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.select(F.col("id").alias("a"), F.col("line").alias("_x"))
     right = texts.select(F.col("id").alias("b"), F.col("line").alias("_y"))
@@ -111,13 +115,17 @@ def duplicate_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     lines = long_lines(docs, key=key, text=text)
     signed = scratch.put(_signed(lines), "signed")
 
+    held: list[DataFrame] = []
+
     def prepare(ids: DataFrame):
         wanted = lines.select(F.col("node").alias("id"), "line").join(ids, "id", "left_semi")
         texts = scratch.put(wanted.dropDuplicates(["id"]), "texts")
+        held.append(texts)
         return lambda pairs: _confirmed(pairs, texts), texts.select("id", F.col("line").alias("payload"))
 
     items = signed.select(F.col("node").alias("id"), "bands")
-    found = linked(items, prepare, _short_windows, scratch, percent=PERCENT)
+    found = linked(items, prepare, _short_windows, scratch, percent=PERCENT, exact=_same_lines)
+    scratch.drop(*held)
     places = signed.select("id", "line_no", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     place = F.struct("id", "line_no")
     keepers = places.groupBy("root").agg(F.min(place).alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")

@@ -26,6 +26,8 @@ BLOCK = 256
 #: ``id`` and ``payload``, from which ``hashes_of`` makes 16-bit hashes of all elements of the set.
 Prepare = Callable[[DataFrame], tuple[Callable[[DataFrame], DataFrame], DataFrame]]
 HashesOf = Callable[[bytes], np.ndarray]
+#: Whether two payloads are a link, where they hold the whole sets.
+Exact = Callable[[bytes, bytes], bool]
 
 
 def short_hashes(hashes: np.ndarray) -> np.ndarray:
@@ -37,10 +39,14 @@ def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
     return members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
-def linked(items: DataFrame, prepare: Prepare, hashes_of: HashesOf, scratch: Scratch, *, percent: int) -> DataFrame:
+def linked(
+    items: DataFrame, prepare: Prepare, hashes_of: HashesOf, scratch: Scratch, *, percent: int, exact: Exact | None = None
+) -> DataFrame:
     """Component roots (``node``, ``root``) of items (``id``, ``bands``).
 
     An item that is in no link, or the smallest of its component, has no row.  Repeated items count once.
+    With ``exact`` a block decides its pairs itself and joins components as it goes, so that no more links
+    come out of it than there are components to join.
     """
     rows = items.select("id", F.explode("bands").alias("bucket"))
     buckets = rows.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("bucket", "least")
@@ -67,12 +73,14 @@ def linked(items: DataFrame, prepare: Prepare, hashes_of: HashesOf, scratch: Scr
     mixed = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n_members")).where("lo < hi")
     rest = labelled.join(mixed.select("bucket", "n_members"), "bucket").select("bucket", "n_members", "id", "root")
     known = items.join(rest.select("id").distinct(), "id", "left_semi").select("id", "bands").dropDuplicates(["id"])
-    pairs = scratch.put(_blocks(rest.join(known.join(payloads, "id"), "id"), hashes_of, percent), "blocks")
-    edges = edges.union(scratch.put(confirm(pairs), "links"))
-    return components(edges, scratch)
+    last = scratch.put(_blocks(rest.join(known.join(payloads, "id"), "id"), hashes_of, exact, percent), "blocks")
+    edges = edges.union(last if exact else scratch.put(confirm(last), "links"))
+    found = components(edges, scratch)
+    scratch.drop(members, ids, tried, pairs, labelled)  # nothing reads them any more
+    return found
 
 
-def _blocks(rest: DataFrame, hashes_of: HashesOf, percent: int) -> DataFrame:
+def _blocks(rest: DataFrame, hashes_of: HashesOf, exact: Exact | None, percent: int) -> DataFrame:
     """Pairs of different components inside the mixed buckets whose hashes could be those of a link.
 
     A bucket of n members has about n / ``BLOCK`` blocks; every two of them meet in a group of their own,
@@ -94,11 +102,11 @@ def _blocks(rest: DataFrame, hashes_of: HashesOf, percent: int) -> DataFrame:
             rows = pa.Table.from_batches(held).combine_chunks()
             edges = _group_edges(rows, group)
             if len(edges) > 2:
-                yield _met(rows, edges[:-1], hashes_of, percent)
+                yield _met(rows, edges[:-1], hashes_of, exact, percent)
             held = rows.slice(edges[-2]).to_batches()  # the last group may go on
         if held:
             rows = pa.Table.from_batches(held).combine_chunks()
-            yield _met(rows, _group_edges(rows, group), hashes_of, percent)
+            yield _met(rows, _group_edges(rows, group), hashes_of, exact, percent)
 
     return spread.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, schema).distinct()
 
@@ -110,7 +118,7 @@ def _group_edges(rows: pa.Table, group: list[str]) -> list[int]:
     return [*np.flatnonzero(new).tolist(), rows.num_rows]
 
 
-def _met(rows: pa.Table, edges: list[int], hashes_of: HashesOf, percent: int) -> pa.RecordBatch:
+def _met(rows: pa.Table, edges: list[int], hashes_of: HashesOf, exact: Exact | None, percent: int) -> pa.RecordBatch:
     """The pairs that groups of rows (cut at the edges) give."""
     ids, roots, own, buckets, at_i, at_j = (rows.column(c).to_numpy() for c in ("id", "root", "own", "bucket", "i", "j"))
     flat = rows.column("bands").chunk(0)
@@ -122,6 +130,14 @@ def _met(rows: pa.Table, edges: list[int], hashes_of: HashesOf, percent: int) ->
     sizes = np.array([len(np.unique(h)) for h in hashes])
     known = np.zeros(1 << 16, bool)
     pairs: list[tuple[int, int]] = []
+    joined: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (above := joined.get(x, x)) != x:
+            joined[x] = joined.get(above, above)
+            x = above
+        return x
+
     for start, stop in zip(edges[:-1], edges[1:], strict=True):
         place = np.arange(start, stop)
         left, right = place[own[start:stop] == at_i[start]], place[own[start:stop] == at_j[start]]
@@ -138,9 +154,16 @@ def _met(rows: pa.Table, edges: list[int], hashes_of: HashesOf, percent: int) ->
                 continue
             known[hashes[x]] = True
             for y in others.tolist():
+                if exact and root(int(roots[x])) == root(int(roots[y])):
+                    continue
                 shared = min(int(known[hashes[y]].sum()), len(hashes[x]), len(hashes[y]))
-                if 100 * shared >= percent * (sizes[x] + sizes[y] - shared):
-                    pairs.append((max(ids[x], ids[y]), min(ids[x], ids[y])))
+                if 100 * shared < percent * (sizes[x] + sizes[y] - shared):
+                    continue
+                if exact:
+                    if not exact(payloads[x], payloads[y]):
+                        continue
+                    joined[root(int(roots[x]))] = root(int(roots[y]))
+                pairs.append((max(ids[x], ids[y]), min(ids[x], ids[y])))
             known[hashes[x]] = False
     a, b = zip(*pairs, strict=True) if pairs else ((), ())
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])

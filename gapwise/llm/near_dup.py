@@ -194,11 +194,15 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     first = real.groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands"))
     first = scratch.put(first, "classes")
 
+    held: list[DataFrame] = []
+
     def prepare(ids: DataFrame):
         sets = scratch.put(sets_of(docs, ids, key=key, text=text), "sets")
+        held.append(sets)
         return lambda pairs: confirmed(pairs, sets), sets.select("id", F.col("short").alias("payload"))
 
     found = linked(first.select("id", "bands"), prepare, _read_short, scratch, percent=PERCENT)
+    scratch.drop(*held)
     roots = first.select("d1", "d2", "n_shingles", F.col("id").alias("node")).join(found, "node", "left")
     roots = roots.select("d1", "d2", "n_shingles", F.coalesce("root", "node").alias("root"))
     out = signed.select("id", "n_shingles", "d1", "d2").join(roots, ["d1", "d2", "n_shingles"], "left")
