@@ -9,11 +9,13 @@ from gapwise.bindings.distance import WALK
 from gapwise.bindings.normalization import raw_records
 from gapwise.bindings.registry import ORACLES, register
 from gapwise.bindings.runs import (
+    CROSSINGS_CTE,
     BRAKE_OK, EPISODES, EPISODE_DOUBLES, OVERLAPS_CTE, THROTTLE_OK,
     brake_episodes, episodes_sql, events_sql, throttle_episodes,
 )
 from gapwise.bindings.selections import BOUNDED, bounded
 from gapwise.bindings.summaries import (
+    MATCHING, METRICS_CTE,
     PASSAGES_CTE, POINTS, UNIQUE_CTE, passages, truth_points,
 )
 from gapwise.bindings.views import (
@@ -830,16 +832,49 @@ def _onsets(v: Views):
     return found.select("session_id", "id", "time_s", F.col("time_s").alias("confirmed_at_s"))
 
 
-@register("evaluate_events")
+# The matching of ``match_events`` with onsets near a reviewed event in place of clicks.
+ONSET_MATCHING = MATCHING.replace(", truth AS (", CROSSINGS_CTE + ", truth AS (", 1).replace(
+    """  SELECT session_id, event_id AS id, time_s AS t,
+         row_number() OVER (PARTITION BY session_id ORDER BY time_s, event_id) AS j
+  FROM sig WHERE event_type = 'click'
+""",
+    """  SELECT session_id, id, time_s AS t,
+         row_number() OVER (PARTITION BY session_id ORDER BY time_s, frame) AS j
+  FROM crossings c WHERE direction = 'onset'
+   AND EXISTS (FROM truth t WHERE t.session_id = c.session_id AND abs(t.mid - c.time_s) <= 6)
+""",
+)
+
+
+@register(
+    "evaluate_events",
+    ONSET_MATCHING + METRICS_CTE + """, ob AS (
+  SELECT session_id, count(*) AS observable_count FROM (
+    SELECT t.session_id, t.event_id
+    FROM sig t JOIN sig0 f ON f.session_id = t.session_id
+     AND f.time_s BETWEEN t.time_s + 0.25 - 6 AND t.time_s + 0.25 + 6
+    WHERE t.event_type = 'purchase' GROUP BY t.session_id, t.event_id
+    HAVING count(DISTINCT f.time_s) >= 2
+     AND bool_and(f.q = 'observed' AND f.v IS NOT NULL AND f.event_id % 17 <> 0)
+  ) GROUP BY session_id
+)
+--
+SELECT m.*, coalesce(observable_count, 0) AS observable_count,
+       CASE WHEN coalesce(p95_error_s > 0.1, FALSE) THEN 'fail'
+            WHEN truth_count = 0 OR coalesce(observable_count, 0) < truth_count THEN 'not_evaluated'
+            WHEN missed_count > 0 THEN 'fail' ELSE 'pass' END AS latency_status
+FROM metrics m LEFT JOIN ob USING (session_id)""",
+    "median_error_s p95_error_s precision recall",
+)
 def evaluate_events(v: Views):
-    """No SQL twin: it needs the matching of crossings with reviewed onsets."""
+    """Reviewed events against the onsets near them; lost frames are no evidence."""
     truth = v.sig.filter(F.col("event_type") == "purchase").select(
         "session_id", F.col("event_id").cast("string").alias("id"), F.col("time_s").alias("lo_s"),
         (F.col("time_s") + 0.5).alias("hi_s"),
     )
     fresh = v.sig.select("session_id", "time_s", BRAKE.fresh().alias("fresh"))
     return jobs.evaluate_events(
-        truth, _onsets(v), fresh, v.axis, window=MATCH_WINDOW, max_error=0.1
+        truth, _onsets(v), fresh, v.axis, window=MATCH_WINDOW, max_error=0.1, capture=v.sig0
     )
 
 

@@ -675,9 +675,7 @@ def match_classes(v: Views):
     return scoring.match_classes(truth_ev(v), pred_ev(v), matches(v), v.axis, MATCH_WINDOW)
 
 
-@register(
-    "match_metrics",
-    MATCHING + """, c AS (
+METRICS_CTE = """, c AS (
   SELECT session_id, count(*) FILTER (WHERE side = 'truth') AS truth_count,
          count(*) FILTER (WHERE side = 'prediction') AS prediction_count,
          count(*) FILTER (WHERE side = 'truth' AND class = 'matched') AS matched_count,
@@ -688,12 +686,17 @@ def match_classes(v: Views):
 ), e AS (
   SELECT session_id, quantile_cont(absolute_error_s, 0.5) AS median_error_s,
          quantile_cont(absolute_error_s, 0.95) AS p95_error_s FROM matches GROUP BY session_id
-)
---
-SELECT *, CASE WHEN prediction_count > 0 AND truth_count > 0 THEN matched_count / prediction_count END
-         AS precision, CASE WHEN truth_count > 0 THEN matched_count / truth_count END AS recall,
-       CASE WHEN truth_count > 0 THEN 'available' ELSE 'not_evaluated' END AS status
-FROM c LEFT JOIN e USING (session_id)""",
+), metrics AS (
+  SELECT *, CASE WHEN prediction_count > 0 AND truth_count > 0 THEN matched_count / prediction_count END
+           AS precision, CASE WHEN truth_count > 0 THEN matched_count / truth_count END AS recall,
+         CASE WHEN truth_count > 0 THEN 'available' ELSE 'not_evaluated' END AS status
+  FROM c LEFT JOIN e USING (session_id)
+)"""
+
+
+@register(
+    "match_metrics",
+    MATCHING + METRICS_CTE + "\n--\nSELECT * FROM metrics",
     "median_error_s p95_error_s precision recall",
 )
 def match_metrics(v: Views):

@@ -180,7 +180,7 @@ def observable_truth(
 
 def evaluate_events(
     truth: DataFrame, predictions: DataFrame, frames: DataFrame, axis: Axis, *,
-    window: float, max_error: float,
+    window: float, max_error: float, capture: DataFrame | None = None,
 ) -> DataFrame:
     """Match one kind of reviewed events with crossings near them, and judge the latency.
 
@@ -195,7 +195,7 @@ def evaluate_events(
     matches = materialize(scoring.match_events(truth, inside, axis, window))
     classes = scoring.match_classes(truth, inside, matches, axis, window)
     metrics = scoring.match_metrics(classes, matches, keys)
-    seen = observable_truth(truth, frames, keys, window)
+    seen = observable_truth(truth, frames, keys, window, capture)
     counts = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("observable_count"))
     out = metrics.join(counts, list(keys), "left").na.fill(0, ["observable_count"])
     return out.withColumn("latency_status", latency_status(max_error))
