@@ -19,7 +19,7 @@ from gapwise.bindings.summaries import (
     PASSAGES_CTE, POINTS, UNIQUE_CTE, passages, truth_points,
 )
 from gapwise.bindings.views import (
-    BRAKE, CROSSING, FRAME_TIME, GEAR, LABEL_COUNT, MATCH_WINDOW, MAX_RATE, MAX_RATE_GAP, OBS,
+    BOUNDARIES, BRAKE, CROSSING, FRAME_TIME, GEAR, LABEL_COUNT, MATCH_WINDOW, MAX_RATE, MAX_RATE_GAP, OBS,
     SETTINGS, SIG, SPANS_CTE, THROTTLE, ZONES_CTE, Views,
 )
 from gapwise.operators import checks, labels, runs
@@ -878,9 +878,41 @@ def evaluate_events(v: Views):
     )
 
 
-@register("evaluate_lap_events")
+# The same matching between reviewed boundaries and the first sight of confirmed ones, within a day.
+LAP_MATCHING = WALK + BOUNDARIES.removeprefix(SIG) + MATCHING[MATCHING.index(", truth AS (") :].replace(
+    """  SELECT session_id, event_id AS id, time_s + 0.25 AS mid,
+         row_number() OVER (PARTITION BY session_id ORDER BY time_s, event_id) AS i
+  FROM sig WHERE event_type = 'purchase'
+""",
+    """  SELECT session_id, frame AS id, time_s AS mid,
+         row_number() OVER (PARTITION BY session_id ORDER BY time_s, frame) AS i
+  FROM boundaries
+""",
+).replace(
+    """  SELECT session_id, event_id AS id, time_s AS t,
+         row_number() OVER (PARTITION BY session_id ORDER BY time_s, event_id) AS j
+  FROM sig WHERE event_type = 'click'
+""",
+    """  SELECT session_id, frame AS id, first_t AS t,
+         row_number() OVER (PARTITION BY session_id ORDER BY first_t, frame) AS j
+  FROM walk WHERE before IS NOT NULL AND now <> before AND first_t IS NOT NULL
+""",
+).replace("<= 6", "<= 24")
+
+
+@register(
+    "evaluate_lap_events",
+    LAP_MATCHING + METRICS_CTE + """
+--
+SELECT *, CASE WHEN truth_count = 0 THEN 'not_evaluated'
+               WHEN missed_count > 0 OR coalesce(p95_error_s > 12, FALSE) THEN 'fail'
+               WHEN session_id % 2 <> 0 THEN 'not_evaluated'
+               WHEN duplicate_count + outside_count > 0 THEN 'fail' ELSE 'pass' END AS gate_status
+FROM metrics""",
+    "median_error_s p95_error_s precision recall",
+)
 def evaluate_lap_events(v: Views):
-    """No SQL twin: it needs the matching of confirmed with reviewed boundaries."""
+    """Reviewed lap boundaries against confirmed ones."""
     states = labels.confirm_labels(v.sig, v.axis, "raw_lap", LABEL_COUNT)
     truth = v.boundaries.select(
         "session_id", F.col("frame").alias("id"), F.col("time_s").alias("lo_s"),
