@@ -131,8 +131,15 @@ def test_quantiles_are_exact(spark, group_rows, bound):
         assert r.high == pytest.approx(np.quantile(v, 0.95))
 
 
-def test_plan_axis_refuses_what_cannot_be_cut(spark, group_rows):
+def test_plan_axis_keeps_equal_values_together(spark, group_rows):
+    """One value that repeats beyond the bound stays in one chunk; the rest is cut all the same."""
+    from gapwise.ordered import Sum, scan
+
     group_rows(3)
-    same = spark.createDataFrame([(0, 1.0)] * 9, "k int, t double")
-    with pytest.raises(ValueError):
-        plan_axis(same, ("k",), ("t",))
+    rows = [(0, 1.0, n) for n in range(9)] + [(0, 10.0 + n, 9 + n) for n in range(9)]
+    table = spark.createDataFrame(rows, "k int, t double, n int")
+    axis = plan_axis(table, ("k",), ("t", "n"))
+    assert axis.chunked
+    assert max(r["count"] for r in table.groupBy(axis.chunk()).count().collect()) <= 9
+    got = scan(table, axis, upto=Sum(F.col("n"))).orderBy("t", "n").collect()
+    assert [r.upto for r in got] == [sum(range(i + 1)) for i in range(18)]
