@@ -1,12 +1,13 @@
 """Fuzzy line dedup by MinHash on character shingles, one line kept per component.
 
-Lines of ``LEAST_BYTES`` or more are sets of all their eight-byte shingles.  One-permutation MinHash
+Lines of ``SHINGLE`` bytes or more are sets of all their eight-byte shingles.  One-permutation MinHash
 (every shingle is hashed once and competes in one bin; an empty bin borrows from another) gives the
 signature, bands of it make buckets, candidates are confirmed by the exact Jaccard similarity of the
 sets, and distributed union-find gives the components.  Of each component the line that comes first by
-(id, line number) stays.  Equal lines are one node from the start, named by a 64-bit hash of the line.
+(id, line number) stays.  Equal lines are one node from the start, named by a 64-bit hash of the line;
+that equality is all that links a line too short for a shingle.
 
-Shorter lines and empty ones stay where they are, as do the order of lines and everything else in a
+Lines without a word stay where they are, as do the order of lines and everything else in a
 text.  A null text stays null.  Rows that share an id are taken for the same document.
 """
 
@@ -22,14 +23,16 @@ from gapwise.llm.common import Scratch, mark_free, steps
 from gapwise.llm.linking import linked, short_hashes
 from gapwise.llm.near_dup import band_keys, mix, text_bytes
 
-LEAST_BYTES = 40
 SHINGLE = 8
+#: Lines of so many bytes have shingles; shorter ones are linked by equality alone.
+LEAST_BYTES = SHINGLE
 #: Links: 100 * shared >= PERCENT * union of the shingle sets.
 PERCENT = 80
-#: A pair at the threshold meets in some band with a probability of 0.997.
+#: A pair at the threshold meets in some band with a probability of 0.997 (0.99 with four to eight shingles).
 ROWS, BANDS = 3, 8
 BINS = ROWS * BANDS
 EMPTY = np.uint32(0xFFFFFFFF)
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def _windows(data: np.ndarray) -> np.ndarray:
@@ -59,20 +62,26 @@ def signatures(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return filled
 
 
-def long_lines(docs: DataFrame, *, key: str, text: str) -> DataFrame:
-    """``id``, ``line_no`` from 0, ``line`` and its hash ``node``, of the lines that take part."""
+def word_lines(docs: DataFrame, *, key: str, text: str) -> DataFrame:
+    """``id``, ``line_no`` from 0, ``line`` and its hash ``node``, of all lines with a word."""
     lines = docs.select(F.col(key).alias("id"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
-    return lines.where(F.octet_length("line") >= LEAST_BYTES).withColumn("node", F.xxhash64("line"))
+    return lines.where(F.col("line").rlike(WORD)).withColumn("node", F.xxhash64("line"))
 
 
 def _signed(lines: DataFrame) -> DataFrame:
+    """The lines' places and nodes with their ``bands``, which are empty below ``LEAST_BYTES``."""
     schema = lines.select("id", "line_no", "node").schema.add("bands", T.ArrayType(T.LongType(), False))
 
     def run(batches):
         for batch in steps(batches, "line"):
             data, edges = text_bytes(batch.column("line"))
-            keys = band_keys(signatures(data, edges), ROWS).view(np.int64)
-            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS)
+            sizes = np.diff(edges)
+            long = sizes >= LEAST_BYTES
+            inner = data[np.repeat(long, sizes)]
+            keys = np.zeros((0, BANDS), np.int64)
+            if len(inner):
+                keys = band_keys(signatures(inner, np.concatenate(([0], np.cumsum(sizes[long])))), ROWS).view(np.int64)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(long * BANDS))), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("id", "line_no", "node")), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))],
                 names=["id", "line_no", "node", "bands"],
@@ -112,7 +121,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def duplicate_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``id`` and ``line_no`` of every line that is not the first of its component."""
     scratch = Scratch(docs.sparkSession, "lines")
-    lines = long_lines(docs, key=key, text=text)
+    lines = word_lines(docs, key=key, text=text)
     signed = scratch.put(_signed(lines), "signed")
 
     held: list[DataFrame] = []
@@ -123,7 +132,7 @@ def duplicate_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
         held.append(texts)
         return lambda pairs: _confirmed(pairs, texts), texts.select("id", F.col("line").alias("payload"))
 
-    items = signed.select(F.col("node").alias("id"), "bands")
+    items = signed.where(F.size("bands") > 0).select(F.col("node").alias("id"), "bands")
     found = linked(items, prepare, _short_windows, scratch, percent=PERCENT, exact=_same_lines)
     scratch.drop(*held)
     places = signed.select("id", "line_no", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
