@@ -36,11 +36,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every component; rows that repeat it are one."""
-    verdict = near_dup.near_duplicates(docs.select("doc_id", "text"))
-    kept = verdict.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    rows = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """One document of every component; rows that repeat its id and text are one."""
+    return near_dup.kept_documents(docs).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

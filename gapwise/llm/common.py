@@ -58,6 +58,11 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def document_hash(key: str, text: str) -> tuple[Column, Column]:
+    """128 bits of a row's id and text; a hash leaves nulls out, so the text has two seeds of its own."""
+    return F.xxhash64(key, text), F.xxhash64(F.lit(1), text, key)
+
+
 def words_of(text: Column) -> Column:
     r"""The words ``[^\x20\x09-\x0D]+`` of a text as an array; none of a null."""
     plain = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))

@@ -8,7 +8,8 @@ sets, and distributed union-find gives the components.  Of each component the li
 that equality is all that links a line too short for a shingle.
 
 Lines without a word stay where they are, as do the order of lines and everything else in a
-text.  A null text stays null.  Rows that share an id are taken for the same document.
+text.  A null text stays null.  Rows that share an id and a text, by a 128-bit hash of both, are taken for
+the same document; different texts under one id, or without one, are different documents.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gapwise.llm.common import Scratch, mark_free, steps
+from gapwise.llm.common import Scratch, document_hash, mark_free, steps
 from gapwise.llm.linking import linked, short_hashes
 from gapwise.llm.near_dup import band_keys, mix, text_bytes
 
@@ -62,15 +63,20 @@ def signatures(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return filled
 
 
+#: What names a document: its id and the hash of id and text.
+DOC = ("id", "u1", "u2")
+
+
 def word_lines(docs: DataFrame, *, key: str, text: str) -> DataFrame:
-    """``id``, ``line_no`` from 0, ``line`` and its hash ``node``, of all lines with a word."""
-    lines = docs.select(F.col(key).alias("id"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
+    """``id``, ``u1``, ``u2``, ``line_no`` from 0, ``line`` and its hash ``node``, of all lines with a word."""
+    u1, u2 = document_hash(key, text)
+    lines = docs.select(F.col(key).alias("id"), u1.alias("u1"), u2.alias("u2"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
     return lines.where(F.col("line").rlike(WORD)).withColumn("node", F.xxhash64("line"))
 
 
 def _signed(lines: DataFrame) -> DataFrame:
     """The lines' places and nodes with their ``bands``, which are empty below ``LEAST_BYTES``."""
-    schema = lines.select("id", "line_no", "node").schema.add("bands", T.ArrayType(T.LongType(), False))
+    schema = lines.select(*DOC, "line_no", "node").schema.add("bands", T.ArrayType(T.LongType(), False))
 
     def run(batches):
         for batch in steps(batches, "line"):
@@ -83,8 +89,8 @@ def _signed(lines: DataFrame) -> DataFrame:
                 keys = band_keys(signatures(inner, np.concatenate(([0], np.cumsum(sizes[long])))), ROWS).view(np.int64)
             offsets = pa.array(np.concatenate(([0], np.cumsum(long * BANDS))), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("id", "line_no", "node")), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))],
-                names=["id", "line_no", "node", "bands"],
+                [*(batch.column(c) for c in (*DOC, "line_no", "node")), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))],
+                names=[*DOC, "line_no", "node", "bands"],
             )
 
     return lines.mapInArrow(run, schema)
@@ -119,7 +125,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def duplicate_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id`` and ``line_no`` of every line that is not the first of its component."""
+    """``id``, ``u1``, ``u2`` and ``line_no`` of every line that is not the first of its component."""
     scratch = Scratch(docs.sparkSession, "lines")
     lines = word_lines(docs, key=key, text=text)
     signed = scratch.put(_signed(lines), "signed")
@@ -135,19 +141,19 @@ def duplicate_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     items = signed.where(F.size("bands") > 0).select(F.col("node").alias("id"), "bands")
     found = linked(items, prepare, _short_windows, scratch, percent=PERCENT, exact=_same_lines)
     scratch.drop(*held)
-    places = signed.select("id", "line_no", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    place = F.struct("id", "line_no")
+    places = signed.select(*DOC, "line_no", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    place = F.struct(*DOC, "line_no")
     keepers = places.groupBy("root").agg(F.min(place).alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return places.join(keepers, "root").where(~place.eqNullSafe(F.col("keeper"))).select("id", "line_no")
+    return places.join(keepers, "root").where(~place.eqNullSafe(F.col("keeper"))).select(*DOC, "line_no")
 
 
 def dropped_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document with duplicate lines: ``id`` and the sorted array ``dropped`` of their numbers.
+    """Per document with duplicate lines: ``id``, ``u1``, ``u2`` and the sorted array ``dropped`` of their numbers.
 
     A document's line numbers are no more than its text, so the group is bounded by one row.
     """
     found = duplicate_lines(docs, key=key, text=text)
-    return found.groupBy("id").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
+    return found.groupBy(*DOC).agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
 
 
 def _without(text: str | Column, dropped: Column) -> Column:
@@ -159,7 +165,10 @@ def _without(text: str | Column, dropped: Column) -> Column:
 def drop_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows and columns, with the duplicate lines taken out of the text, and ``n_dropped_lines``."""
     name, marks = mark_free(docs, "n_dropped_lines"), mark_free(docs, "dropped")
-    found = dropped_lines(docs, key=key, text=text).select(F.col("id").alias("_id"), F.col("dropped").alias(marks))
-    joined = docs.join(found, docs[key].eqNullSafe(F.col("_id")), "left").drop("_id")
+    u1, u2 = mark_free(docs, "_u1"), mark_free(docs, "_u2")
+    found = dropped_lines(docs, key=key, text=text).select(F.col("u1").alias(u1), F.col("u2").alias(u2), F.col("dropped").alias(marks))
+    first, second = document_hash(key, text)
+    # The hashes hold the id as well and are never null, so many rows without an id are no hot key.
+    joined = docs.withColumns({u1: first, u2: second}).join(found, [u1, u2], "left").drop(u1, u2)
     changed = F.when(F.col(marks).isNull(), F.col(text)).otherwise(_without(text, F.col(marks)))
     return joined.withColumns({name: F.coalesce(F.size(marks), F.lit(0)), text: changed}).drop(marks)

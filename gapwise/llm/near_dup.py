@@ -7,8 +7,9 @@ buckets; pairs inside buckets are confirmed by the exact Jaccard similarity of t
 Documents with equal sets are one class from the start, so thousands of copies are one row; the rounds
 in which the members of buckets meet are those of ``linking``.
 
-Nulls and texts without words have no shingles and are linked with nothing.  Rows that share an id and
-their set are one document; rows with a null id stay by themselves and are kept.
+Nulls and texts without words have no shingles and are linked with nothing.  Rows that share an id and a
+text, by a 128-bit hash of both, are one document; different texts under one id are different documents.
+Rows with a null id stay by themselves and are kept.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gapwise.llm.common import Scratch, steps
+from gapwise.llm.common import Scratch, document_hash, steps
 from gapwise.llm.linking import linked, short_hashes
 
 WORDS = 5
@@ -132,13 +133,15 @@ def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: the id, ``n_shingles``, a 128-bit digest of the set (``d1``, ``d2``) and the band keys."""
-    schema = docs.select(F.col(key).cast("long").alias("id")).schema.add("n_shingles", "long").add("d1", "long").add("d2", "long").add("bands", T.ArrayType(T.LongType(), False))
+    """Per row: the id, ``u1`` and ``u2`` of id and text, ``n_shingles``, a 128-bit digest of the set (``d1``, ``d2``) and the band keys."""
+    u1, u2 = document_hash(key, text)
+    named = docs.select(F.col(key).cast("long").alias("id"), u1.alias("u1"), u2.alias("u2"), F.col(text).alias("text"))
+    schema = named.drop("text").schema.add("n_shingles", "long").add("d1", "long").add("d2", "long").add("bands", T.ArrayType(T.LongType(), False))
 
     def run(batches):
         circulant = Circulant()
-        for batch in steps(batches, text):
-            hashes, counts = shingle_sets(*text_bytes(batch.column(text)))
+        for batch in steps(batches, "text"):
+            hashes, counts = shingle_sets(*text_bytes(batch.column("text")))
             full = np.flatnonzero(counts)
             digests = np.zeros((2, len(counts)), np.uint64)
             keys, sizes = np.zeros(0, np.uint64), np.zeros(len(counts), np.int64)
@@ -151,11 +154,11 @@ def signatures(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> D
                 sizes[full] = BANDS
             offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(counts, pa.int64()), *(pa.array(d.view(np.int64)) for d in digests), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64)))],
-                names=["id", "n_shingles", "d1", "d2", "bands"],
+                [*(batch.column(c) for c in ("id", "u1", "u2")), pa.array(counts, pa.int64()), *(pa.array(d.view(np.int64)) for d in digests), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64)))],
+                names=["id", "u1", "u2", "n_shingles", "d1", "d2", "bands"],
             )
 
-    return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(run, schema)
+    return named.mapInArrow(run, schema)
 
 
 def _read_short(payload: bytes) -> np.ndarray:
@@ -163,13 +166,15 @@ def _read_short(payload: bytes) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, *, key: str, text: str) -> DataFrame:
-    """``id``, the full set of shingle hashes and short hashes of it, of the wanted documents."""
-    chosen = docs.select(F.col(key).cast("long").alias("id"), text).join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    """``id``, the full set of shingle hashes and short hashes of it, of the wanted documents (``id``, ``u1``, ``u2``)."""
+    u1, u2 = document_hash(key, text)
+    named = docs.select(u1.alias("u1"), u2.alias("u2"), F.col(text).alias("text"))
+    chosen = named.join(wanted, ["u1", "u2"]).select("id", "text").dropDuplicates(["id"])
     schema = wanted.select("id").schema.add("shingles", T.ArrayType(T.LongType(), False)).add("short", "binary")
 
     def run(batches):
-        for batch in steps(batches, text):
-            hashes, counts = shingle_sets(*text_bytes(batch.column(text)))
+        for batch in steps(batches, "text"):
+            hashes, counts = shingle_sets(*text_bytes(batch.column("text")))
             edges = np.concatenate(([0], np.cumsum(counts)))
             short = [short_hashes(hashes[a:b]).tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
             sets = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(hashes.view(np.int64)))
@@ -186,25 +191,46 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * shared >= PERCENT * (F.size("_x") + F.size("_y") - shared)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``n_shingles``, ``component_id`` (smallest id that links reach) and ``kept`` of every row."""
+def verdicts(docs: DataFrame, *, key: str, text: str) -> DataFrame:
+    """``id``, ``u1``, ``u2``, ``n_shingles``, ``component_id`` and ``kept`` of every row.
+
+    The document of a component that comes first by id and hash is kept, in all its copies.
+    """
     scratch = Scratch(docs.sparkSession, "near")
     signed = scratch.put(signatures(docs, key=key, text=text), "signatures")
     real = signed.where("n_shingles > 0 AND id IS NOT NULL")
-    first = real.groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands"))
-    first = scratch.put(first, "classes")
+    document = F.struct("id", "u1", "u2")
+    first = real.groupBy("d1", "d2", "n_shingles").agg(F.min(document).alias("first"), F.min_by("bands", document).alias("bands"))
+    # A class is a node under half the hash of its first document; an id can stand for several texts.
+    first = scratch.put(first.withColumn("node", F.col("first.u1")), "classes")
 
     held: list[DataFrame] = []
 
     def prepare(ids: DataFrame):
-        sets = scratch.put(sets_of(docs, ids, key=key, text=text), "sets")
+        wanted = first.select(F.col("node").alias("id"), "first.u1", "first.u2").join(ids, "id", "left_semi")
+        sets = scratch.put(sets_of(docs, wanted, key=key, text=text), "sets")
         held.append(sets)
         return lambda pairs: confirmed(pairs, sets), sets.select("id", F.col("short").alias("payload"))
 
-    found = linked(first.select("id", "bands"), prepare, _read_short, scratch, percent=PERCENT)
+    found = linked(first.select(F.col("node").alias("id"), "bands"), prepare, _read_short, scratch, percent=PERCENT)
     scratch.drop(*held)
-    roots = first.select("d1", "d2", "n_shingles", F.col("id").alias("node")).join(found, "node", "left")
-    roots = roots.select("d1", "d2", "n_shingles", F.coalesce("root", "node").alias("root"))
-    out = signed.select("id", "n_shingles", "d1", "d2").join(roots, ["d1", "d2", "n_shingles"], "left")
-    component = F.when(F.col("id").isNull() | (F.col("n_shingles") == 0), F.col("id")).otherwise(F.col("root"))
-    return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    roots = first.select("d1", "d2", "n_shingles", "node", "first").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keepers = roots.groupBy("root").agg(F.min("first").alias("keeper"))
+    roots = roots.join(keepers, "root").select("d1", "d2", "n_shingles", "keeper")
+    out = signed.select("id", "u1", "u2", "n_shingles", "d1", "d2").join(roots, ["d1", "d2", "n_shingles"], "left")
+    alone = F.col("id").isNull() | (F.col("n_shingles") == 0)
+    component = F.when(alone, F.col("id")).otherwise(F.col("keeper.id"))
+    return out.select("id", "u1", "u2", "n_shingles", component.alias("component_id"), (alone | document.eqNullSafe(F.col("keeper"))).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, ``n_shingles``, ``component_id`` (smallest id that links reach) and ``kept`` of every row."""
+    return verdicts(docs, key=key, text=text).select(F.col("id").alias(key), "n_shingles", "component_id", "kept")
+
+
+def kept_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The kept rows with all their columns, one of those that share an id and a text; null ids all stay."""
+    kept = verdicts(docs, key=key, text=text).where("kept AND id IS NOT NULL").select("u1", "u2").distinct()
+    u1, u2 = document_hash(key, text)
+    rows = docs.where(F.col(key).isNotNull()).withColumns({"u1": u1, "u2": u2}).join(kept, ["u1", "u2"], "left_semi")
+    return rows.dropDuplicates(["u1", "u2"]).drop("u1", "u2").unionByName(docs.where(F.col(key).isNull()))
