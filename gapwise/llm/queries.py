@@ -225,3 +225,58 @@ def op2_repeats(spark: SparkSession, folder: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op11_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """Damaged conversations, their faults and their cheapest repair."""
+    from gapwise.llm import conversations
+    from gapwise.llm.common import Scratch
+
+    found = conversations.repair(conversations.damaged(table(spark, folder, "conversations")), Scratch(spark, "conversations"))
+    return found.select(F.col("conv").alias("conv_id"), *conversations.COUNTS, "audit", F.col("repaired").alias("repaired_sha256"))
+
+
+@query
+def op12_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from the three quarters that are not held out."""
+    from gapwise.llm import language
+    from gapwise.llm.common import Scratch
+
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang").withColumn("held_out", language.held_out(F.col("doc_id")))
+    model = language.learn(docs.where("NOT held_out"), Scratch(spark, "language"))
+    return language.identify(docs, model, keep=["doc_id", "held_out"])
+
+
+@query
+def op13_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The fifty best documents of every benchmark item."""
+    from gapwise.llm import lexical
+
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+ORACLES["op13_search"] = r"""
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
+  FROM documents WHERE text IS NOT NULL
+), sized AS (SELECT row_number() OVER () AS d, doc_id, w AS words, len(w) AS n FROM words WHERE len(w) > 0
+), total AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS l FROM sized
+), items AS (
+  SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '')) AS term
+  FROM benchmark
+), tf AS (
+  SELECT d, term, count(*)::BIGINT AS tf FROM (SELECT d, unnest(words) AS term FROM sized) SEMI JOIN items USING (term) GROUP BY ALL
+), df AS (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY 1
+), weights AS (SELECT term, floor(1000 * ln((2 * nn + 2) / (2 * df + 1)))::BIGINT AS w FROM df, total
+), scored AS (
+  SELECT item_id, d, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // l))))::BIGINT AS score
+  FROM items JOIN weights USING (term) JOIN tf USING (term) JOIN sized USING (d), total GROUP BY item_id, d
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+  FROM scored JOIN sized USING (d) WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 50
+"""
