@@ -4,7 +4,7 @@ Lines of ``SHINGLE`` bytes or more are sets of all their eight-byte shingles.  O
 (every shingle is hashed once and competes in one bin; an empty bin borrows from another) gives the
 signature, bands of it make buckets, candidates are confirmed by the exact Jaccard similarity of the
 sets, and distributed union-find gives the components.  Of each component the line that comes first by
-(id, line number) stays.  Equal lines are one node from the start, named by a 64-bit hash of the line;
+(id, line number) stays.  Equal lines, by a 128-bit hash, are one node from the start;
 that equality is all that links a line too short for a shingle.
 
 Lines without a word stay where they are, as do the order of lines and everything else in a
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gapwise.llm.common import Scratch, document_hash, mark_free, steps
+from gapwise.llm.common import Scratch, bind, document_hash, mark_free, steps
 from gapwise.llm.linking import linked, short_hashes
 from gapwise.llm.near_dup import band_keys, mix, text_bytes
 
@@ -68,15 +68,16 @@ DOC = ("id", "u1", "u2")
 
 
 def word_lines(docs: DataFrame, *, key: str, text: str) -> DataFrame:
-    """``id``, ``u1``, ``u2``, ``line_no`` from 0, ``line`` and its hash ``node``, of all lines with a word."""
+    """``id``, ``u1``, ``u2``, ``line_no`` from 0, ``line`` and its hash ``h1``, ``h2``, of all lines with a word."""
     u1, u2 = document_hash(key, text)
     lines = docs.select(F.col(key).alias("id"), u1.alias("u1"), u2.alias("u2"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
-    return lines.where(F.col("line").rlike(WORD)).withColumn("node", F.xxhash64("line"))
+    return lines.where(F.col("line").rlike(WORD)).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
 def _signed(lines: DataFrame) -> DataFrame:
-    """The lines' places and nodes with their ``bands``, which are empty below ``LEAST_BYTES``."""
-    schema = lines.select(*DOC, "line_no", "node").schema.add("bands", T.ArrayType(T.LongType(), False))
+    """The lines' places and hashes with their ``bands``, which are empty below ``LEAST_BYTES``."""
+    kept = [*DOC, "line_no", "h1", "h2"]
+    schema = lines.select(*kept).schema.add("bands", T.ArrayType(T.LongType(), False))
 
     def run(batches):
         for batch in steps(batches, "line"):
@@ -89,8 +90,8 @@ def _signed(lines: DataFrame) -> DataFrame:
                 keys = band_keys(signatures(inner, np.concatenate(([0], np.cumsum(sizes[long])))), ROWS).view(np.int64)
             offsets = pa.array(np.concatenate(([0], np.cumsum(long * BANDS))), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in (*DOC, "line_no", "node")), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))],
-                names=[*DOC, "line_no", "node", "bands"],
+                [*(batch.column(c) for c in kept), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))],
+                names=[*kept, "bands"],
             )
 
     return lines.mapInArrow(run, schema)
@@ -129,22 +130,29 @@ def duplicate_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     scratch = Scratch(docs.sparkSession, "lines")
     lines = word_lines(docs, key=key, text=text)
     signed = scratch.put(_signed(lines), "signed")
+    # A number of its own for every different line with shingles; it is written, so it stays.
+    different = signed.where(F.size("bands") > 0).groupBy("h1", "h2").agg(F.first("bands").alias("bands"))
+    different = scratch.put(different.withColumn("node", F.monotonically_increasing_id()), "different")
 
     held: list[DataFrame] = []
 
     def prepare(ids: DataFrame):
-        wanted = lines.select(F.col("node").alias("id"), "line").join(ids, "id", "left_semi")
-        texts = scratch.put(wanted.dropDuplicates(["id"]), "texts")
-        held.append(texts)
-        return lambda pairs: _confirmed(pairs, texts), texts.select("id", F.col("line").alias("payload"))
-
-    items = signed.where(F.size("bands") > 0).select(F.col("node").alias("id"), "bands")
-    found = linked(items, prepare, _short_windows, scratch, percent=PERCENT, exact=_same_lines)
-    scratch.drop(*held)
-    places = signed.select(*DOC, "line_no", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        wanted = different.select("h1", "h2", F.col("node").alias("id")).join(ids, "id", "left_semi")
+        texts = lines.select("h1", "h2", "line").join(wanted, ["h1", "h2"]).groupBy("id").agg(F.first("line").alias("line"))
+        held.append(scratch.put(texts, "texts"))
+        return lambda pairs: _confirmed(pairs, held[0]), held[0].select("id", F.col("line").alias("payload"))
+
+    found = linked(different.select(F.col("node").alias("id"), "bands"), prepare, _short_windows, scratch, percent=PERCENT, exact=_same_lines)
+    names = different.select("node", "h1", "h2")
+    roots = names.select(F.col("node").alias("root"), F.col("h1").alias("r1"), F.col("h2").alias("r2"))
+    moved = scratch.put(names.join(found, "node").join(roots, "root").select("h1", "h2", "r1", "r2"), "moved")
+    scratch.drop(*held, different, found)
+    places = signed.select(*DOC, "line_no", "h1", "h2").join(moved, ["h1", "h2"], "left").select(*DOC, "line_no", F.coalesce("r1", "h1").alias("r1"), F.coalesce("r2", "h2").alias("r2"))
     place = F.struct(*DOC, "line_no")
-    keepers = places.groupBy("root").agg(F.min(place).alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return places.join(keepers, "root").where(~place.eqNullSafe(F.col("keeper"))).select(*DOC, "line_no")
+    keepers = places.groupBy("r1", "r2").agg(F.min(place).alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    out = scratch.put(places.join(keepers, ["r1", "r2"]).where(~place.eqNullSafe(F.col("keeper"))).select(*DOC, "line_no"), "dropped")
+    scratch.drop(signed, moved)
+    return out
 
 
 def dropped_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -157,9 +165,13 @@ def dropped_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
 
 
 def _without(text: str | Column, dropped: Column) -> Column:
-    """The text without the lines of the given numbers."""
-    lines = F.split(text, "\n", -1)
-    return F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(dropped, i)), "\n")
+    """The text without the lines of the given numbers, in time that grows with both."""
+
+    def rest(lines: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dropped)
+        return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+    return bind(F.split(text, "\n", -1), rest)
 
 
 def drop_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,9 +2,10 @@
 
 A member meets the smallest member of its buckets first.  Once components are known, only members of
 different components still meet, so a bucket that has grown together costs nothing more, however many
-members it has.  What then remains in a bucket meets in blocks inside tasks: every pair is looked at in the
-first bucket it shares, against short hashes of the full sets, which never show less than the true overlap.
-Only pairs that pass are confirmed on their sets, so what comes out of a block are links and little else.
+members it has.  In a bucket that still holds several components, the members outside its largest component
+visit all others, in blocks inside tasks: the cost is the few times all, not all times all.  Every pair is
+looked at in the first bucket it shares, against short hashes of the full sets, which never show less than
+the true overlap.  Only pairs that pass are confirmed on their sets.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from gapwise.llm.components import components
 
 #: Members of a bucket that meet in one block.
 BLOCK = 256
+#: Members of a bucket per key of the join with its smallest member.
+SALT = 4096
 
 #: ``prepare(ids in buckets)`` gives a function that keeps the links among pairs ``a``, ``b``, and a table of
 #: ``id`` and ``payload``, from which ``hashes_of`` makes 16-bit hashes of all elements of the set.
@@ -39,18 +42,28 @@ def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
     return members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
+def _merged(found: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """The components once more edges are known: only the roots meet anew."""
+    for end in ("a", "b"):
+        edges = edges.join(found.select(F.col("node").alias(end), F.col("root").alias("_r")), end, "left").withColumn(end, F.coalesce("_r", end)).drop("_r")
+    above = components(edges, scratch)
+    up = above.select(F.col("node").alias("root"), F.col("root").alias("_up"))
+    old = found.join(up, "root", "left").select("node", F.coalesce("_up", "root").alias("root"))
+    return scratch.put(old.unionByName(above), "components")
+
+
 def linked(
     items: DataFrame, prepare: Prepare, hashes_of: HashesOf, scratch: Scratch, *, percent: int, exact: Exact | None = None
 ) -> DataFrame:
-    """Component roots (``node``, ``root``) of items (``id``, ``bands``).
+    """Component roots (``node``, ``root``) of items (``id``, ``bands``; ids are unique).
 
-    An item that is in no link, or the smallest of its component, has no row.  Repeated items count once.
+    An item that is in no link, or the smallest of its component, has no row.
     With ``exact`` a block decides its pairs itself and joins components as it goes, so that no more links
     come out of it than there are components to join.
     """
     rows = items.select("id", F.explode("bands").alias("bucket"))
-    buckets = rows.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("bucket", "least")
-    members = scratch.put(rows.join(buckets, "bucket").dropDuplicates(["bucket", "id"]), "members")
+    buckets = rows.groupBy("bucket").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n_members")).where("n_members > 1")
+    members = scratch.put(rows.join(buckets, "bucket"), "members")
     ids = scratch.put(members.select("id").distinct(), "ids")
     confirm, payloads = prepare(ids)
 
@@ -58,24 +71,26 @@ def linked(
     met = members.where("id != least").groupBy("id", "least").agg(F.count(F.lit(1)).alias("n"))
     favourite = met.groupBy("id").agg(F.max(F.struct("n", F.negate("least").alias("l"))).alias("m"))
     tried = scratch.put(favourite.select(F.col("id").alias("a"), F.negate(F.col("m.l")).alias("b")), "tried")
-    edges = scratch.put(confirm(tried), "links")
-    found = components(edges, scratch)
-
-    # Round 2: the smallest members of its other buckets, where they are of another component.
-    roots = _labelled(members.select(F.col("least").alias("id")).distinct(), found).select(F.col("id").alias("least"), F.col("root").alias("least_root"))
-    apart = _labelled(members, found).join(roots, "least").where("root != least_root").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
+    found = components(scratch.put(confirm(tried), "links"), scratch)
+
+    # Round 2: the smallest members of its other buckets, where they are of another component.  A bucket's
+    # row is repeated for every ``SALT`` of its members, so a large bucket is many keys.
+    salts = F.ceil(F.col("n_members") / SALT).cast("int")
+    heads = _labelled(members.where("id = least"), found).select("bucket", F.col("root").alias("least_root"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    salted = _labelled(members, found).withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int"))
+    apart = salted.join(heads, ["bucket", "salt"]).where("root != least_root").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
     pairs = scratch.put(apart.join(tried, ["a", "b"], "left_anti"), "apart")
-    edges = edges.union(scratch.put(confirm(pairs), "links"))
-    found = components(edges, scratch)
+    found = _merged(found, scratch.put(confirm(pairs), "links"), scratch)
 
     # Last: buckets that still hold several components, block by block.
-    labelled = scratch.put(_labelled(members, found), "labelled")
-    mixed = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n_members")).where("lo < hi")
-    rest = labelled.join(mixed.select("bucket", "n_members"), "bucket").select("bucket", "n_members", "id", "root")
-    known = items.join(rest.select("id").distinct(), "id", "left_semi").select("id", "bands").dropDuplicates(["id"])
+    labelled = scratch.put(_labelled(members, found).select("bucket", "id", "root"), "labelled")
+    sizes = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    most = F.max(F.struct("n", "root"))
+    mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("n_all"), most["n"].alias("n_main"), most["root"].alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
+    rest = labelled.join(mixed, "bucket")
+    known = items.join(rest.select("id").distinct(), "id", "left_semi").select("id", "bands")
     last = scratch.put(_blocks(rest.join(known.join(payloads, "id"), "id"), hashes_of, exact, percent), "blocks")
-    edges = edges.union(last if exact else scratch.put(confirm(last), "links"))
-    found = components(edges, scratch)
+    found = _merged(found, last if exact else scratch.put(confirm(last), "links"), scratch)
     scratch.drop(members, ids, tried, pairs, labelled)  # nothing reads them any more
     return found
 
@@ -83,13 +98,19 @@ def linked(
 def _blocks(rest: DataFrame, hashes_of: HashesOf, exact: Exact | None, percent: int) -> DataFrame:
     """Pairs of different components inside the mixed buckets whose hashes could be those of a link.
 
-    A bucket of n members has about n / ``BLOCK`` blocks; every two of them meet in a group of their own,
-    so no task holds a whole bucket.  Groups come sorted, many to a task.
+    All members of a bucket are dealt into blocks, and so are those outside its largest component; every
+    block of the latter (``i``) meets every block of all (``j``) in a group of its own, so no task holds a
+    whole bucket.  Groups come sorted, many to a task.
     """
-    blocks = F.ceil(F.col("n_members") / BLOCK).cast("int")
-    spread = rest.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("id"), blocks).cast("int")})
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root", "bands", "payload")
+    place = F.xxhash64("id")
+    few = F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK).cast("int")
+    blocks = F.ceil(F.col("n_all") / BLOCK).cast("int")
+    own, mine = F.pmod(place, blocks).cast("int"), F.pmod(place, few).cast("int")
+    minor = F.col("root") != F.col("main")
+    every = F.transform(F.sequence(F.lit(0), few - 1), lambda i: F.struct(i.alias("i"), own.alias("j"), F.lit(False).alias("visits")))
+    visits = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(mine.alias("i"), j.alias("j"), F.lit(True).alias("visits")))
+    spread = rest.withColumn("at", F.explode(F.when(minor, F.concat(every, visits)).otherwise(every)))
+    spread = spread.select("bucket", "at.i", "at.j", "at.visits", minor.alias("minor"), "id", "root", "bands", "payload")
     schema = spread.select(F.col("id").alias("a"), F.col("id").alias("b")).schema
     group = ["bucket", "i", "j"]
 
@@ -120,13 +141,14 @@ def _group_edges(rows: pa.Table, group: list[str]) -> list[int]:
 
 def _met(rows: pa.Table, edges: list[int], hashes_of: HashesOf, exact: Exact | None, percent: int) -> pa.RecordBatch:
     """The pairs that groups of rows (cut at the edges) give."""
-    ids, roots, own, buckets, at_i, at_j = (rows.column(c).to_numpy() for c in ("id", "root", "own", "bucket", "i", "j"))
+    ids, roots, buckets, visits, minor = (rows.column(c).to_numpy() for c in ("id", "root", "bucket", "visits", "minor"))
     flat = rows.column("bands").chunk(0)
     bands = flat.flatten().to_numpy().reshape(len(ids), -1)
     payloads = rows.column("payload").to_pylist()
     # Counting every element whose hash is known never shows less than the overlap, and distinct hashes
     # are never more than the elements; so no link is missed.
     hashes = [hashes_of(p) for p in payloads]
+    counts = np.array([len(h) for h in hashes])
     sizes = np.array([len(np.unique(h)) for h in hashes])
     known = np.zeros(1 << 16, bool)
     pairs: list[tuple[int, int]] = []
@@ -140,30 +162,32 @@ def _met(rows: pa.Table, edges: list[int], hashes_of: HashesOf, exact: Exact | N
 
     for start, stop in zip(edges[:-1], edges[1:], strict=True):
         place = np.arange(start, stop)
-        left, right = place[own[start:stop] == at_i[start]], place[own[start:stop] == at_j[start]]
-        alone = at_i[start] == at_j[start]
-        for x in left.tolist():
-            near = roots[right] != roots[x]
-            if alone:
-                near &= ids[right] < ids[x]
-            others = right[near]
-            if len(others):
+        right = place[~visits[start:stop]]
+        if not len(right):
+            continue
+        together = np.concatenate([hashes[y] for y in right.tolist()])
+        ends = np.cumsum(counts[right])
+        for x in place[visits[start:stop]].tolist():
+            # Two of the few meet once, and no pair whose sizes alone rule a link out is looked at.
+            near = (roots[right] != roots[x]) & ~(minor[right] & (ids[right] >= ids[x]))
+            near &= (100 * counts[right] >= percent * sizes[x]) & (100 * counts[x] >= percent * sizes[right])
+            at = np.flatnonzero(near)
+            if len(at):
                 # A pair is looked at in the first bucket that it shares.
-                others = others[bands[x][(bands[others] == bands[x]).argmax(1)] == buckets[start]]
-            if not len(others):
+                others = bands[right[at]]
+                at = at[bands[x][(others == bands[x]).argmax(1)] == buckets[start]]
+            if not len(at):
                 continue
             known[hashes[x]] = True
-            for y in others.tolist():
-                if exact and root(int(roots[x])) == root(int(roots[y])):
-                    continue
-                shared = min(int(known[hashes[y]].sum()), len(hashes[x]), len(hashes[y]))
-                if 100 * shared < percent * (sizes[x] + sizes[y] - shared):
-                    continue
+            hit = np.concatenate(([0], np.cumsum(known[together])))
+            known[hashes[x]] = False
+            shared = np.minimum(np.minimum(hit[ends[at]] - hit[ends[at] - counts[right[at]]], counts[x]), counts[right[at]])
+            at = at[100 * shared >= percent * (sizes[x] + sizes[right[at]] - shared)]
+            for y in right[at].tolist():
                 if exact:
-                    if not exact(payloads[x], payloads[y]):
+                    if root(int(roots[x])) == root(int(roots[y])) or not exact(payloads[x], payloads[y]):
                         continue
                     joined[root(int(roots[x]))] = root(int(roots[y]))
                 pairs.append((max(ids[x], ids[y]), min(ids[x], ids[y])))
-            known[hashes[x]] = False
     a, b = zip(*pairs, strict=True) if pairs else ((), ())
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])

@@ -1,15 +1,17 @@
 """Near duplicates by circulant MinHash on word shingles, confirmed on full sets.
 
-Signature: a first permutation scatters the shingles over a ring, and a second permutation, shifted by
-one place per coordinate, gives every coordinate: two permutations in all.  Bands of coordinates make
-buckets; pairs inside buckets are confirmed by the exact Jaccard similarity of the full shingle sets.
+Signature: a first permutation scatters the shingles over a ring of 2^32 places, and a second permutation of
+the ring, shifted by one place per coordinate, gives every coordinate: two permutations in all.  Bands of
+coordinates make buckets; pairs inside buckets are confirmed by the exact Jaccard similarity of the full
+shingle sets.
 
 Documents with equal sets are one class from the start, so thousands of copies are one row; the rounds
 in which the members of buckets meet are those of ``linking``.
 
 Nulls and texts without words have no shingles and are linked with nothing.  Rows that share an id and a
-text, by a 128-bit hash of both, are one document; different texts under one id are different documents.
-Rows with a null id stay by themselves and are kept.
+text, by a 128-bit hash of both, are one document; different texts under one id are different documents, and
+so are different texts without an id.  A component's documents without an id come last: its id is the
+smallest that there is, and null only if no document of it has one.
 """
 
 from __future__ import annotations
@@ -20,15 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gapwise.llm.common import Scratch, document_hash, steps
+from gapwise.llm.common import Scratch, document_hash, mark_free, steps
 from gapwise.llm.linking import linked, short_hashes
 
 WORDS = 5
 #: Links: 100 * shared >= PERCENT * union.
 PERCENT = 75
 ROWS, BANDS = 4, 32
-#: Places of the ring that the first permutation scatters shingles over.
-RING = 1 << 18
 
 _GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -103,23 +103,37 @@ def shingle_sets(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.nd
     return hashes[new], np.bincount(row_of[new], minlength=rows)
 
 
+def _second(places: np.ndarray) -> np.ndarray:
+    """A bijective scrambling of the ring of 32-bit places, in place."""
+    places ^= places >> np.uint32(16)
+    places *= np.uint32(0x7FEB352D)
+    places ^= places >> np.uint32(15)
+    places *= np.uint32(0x846CA68B)
+    return places
+
+
 class Circulant:
     """All coordinates of a signature from two permutations, the second one shifted."""
 
-    def __init__(self, coordinates: int = ROWS * BANDS, ring: int = RING, seed: int = 1):
-        self.coordinates, self.ring = coordinates, ring
-        second = np.random.default_rng(seed).permutation(ring).astype(np.uint32)
-        self.second = np.concatenate((second, second[:coordinates]))
+    #: Shingles that are taken through all shifts at once, so that they stay near the processor.
+    STRIDE = 1 << 15
+
+    def __init__(self, coordinates: int = ROWS * BANDS):
+        self.coordinates = coordinates
 
     def signatures(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """One row of coordinates per non-empty set (``counts`` of them without zeros)."""
-        places = (mix(hashes ^ _GOLDEN) % np.uint64(self.ring)).astype(np.int64)
-        starts = np.cumsum(counts) - counts
-        out = np.empty((len(counts), self.coordinates), np.uint32)
-        values = np.empty(len(places), np.uint32)
-        for shift in range(self.coordinates):
-            np.take(self.second[shift : shift + self.ring], places, out=values)
-            out[:, shift] = np.minimum.reduceat(values, starts)
+        places = (mix(hashes ^ _GOLDEN) >> np.uint64(32)).astype(np.uint32)
+        out = np.full((len(counts), self.coordinates), 0xFFFFFFFF, np.uint32)
+        ends = np.cumsum(counts)
+        for start in range(0, len(places), self.STRIDE):
+            some = places[start : start + self.STRIDE]
+            first, last = np.searchsorted(ends, [start, start + len(some) - 1], "right")
+            edges = np.maximum(ends[first : last + 1] - counts[first : last + 1] - start, 0)
+            part = out[first : last + 1]
+            for shift in range(self.coordinates):
+                least = np.minimum.reduceat(_second(some + np.uint32(shift)), edges)
+                np.minimum(part[:, shift], least, out=part[:, shift])
         return out
 
 
@@ -198,11 +212,11 @@ def verdicts(docs: DataFrame, *, key: str, text: str) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "near")
     signed = scratch.put(signatures(docs, key=key, text=text), "signatures")
-    real = signed.where("n_shingles > 0 AND id IS NOT NULL")
-    document = F.struct("id", "u1", "u2")
+    real = signed.where("n_shingles > 0")
+    document = F.struct(F.col("id").isNull().alias("none"), "id", "u1", "u2")
     first = real.groupBy("d1", "d2", "n_shingles").agg(F.min(document).alias("first"), F.min_by("bands", document).alias("bands"))
-    # A class is a node under half the hash of its first document; an id can stand for several texts.
-    first = scratch.put(first.withColumn("node", F.col("first.u1")), "classes")
+    # A number of its own for every class; it is written, so it stays.
+    first = scratch.put(first.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     held: list[DataFrame] = []
 
@@ -218,9 +232,10 @@ def verdicts(docs: DataFrame, *, key: str, text: str) -> DataFrame:
     keepers = roots.groupBy("root").agg(F.min("first").alias("keeper"))
     roots = roots.join(keepers, "root").select("d1", "d2", "n_shingles", "keeper")
     out = signed.select("id", "u1", "u2", "n_shingles", "d1", "d2").join(roots, ["d1", "d2", "n_shingles"], "left")
-    alone = F.col("id").isNull() | (F.col("n_shingles") == 0)
+    alone = F.col("n_shingles") == 0
     component = F.when(alone, F.col("id")).otherwise(F.col("keeper.id"))
-    return out.select("id", "u1", "u2", "n_shingles", component.alias("component_id"), (alone | document.eqNullSafe(F.col("keeper"))).alias("kept"))
+    kept = alone | (F.col("u1").eqNullSafe(F.col("keeper.u1")) & F.col("u2").eqNullSafe(F.col("keeper.u2")) & F.col("id").eqNullSafe(F.col("keeper.id")))
+    return out.select("id", "u1", "u2", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -229,8 +244,9 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
 
 
 def kept_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The kept rows with all their columns, one of those that share an id and a text; null ids all stay."""
-    kept = verdicts(docs, key=key, text=text).where("kept AND id IS NOT NULL").select("u1", "u2").distinct()
+    """The kept rows with all their columns, one of those that share an id and a text."""
+    first, second = mark_free(docs, "_u1"), mark_free(docs, "_u2")
+    kept = verdicts(docs, key=key, text=text).where("kept").select(F.col("u1").alias(first), F.col("u2").alias(second)).distinct()
     u1, u2 = document_hash(key, text)
-    rows = docs.where(F.col(key).isNotNull()).withColumns({"u1": u1, "u2": u2}).join(kept, ["u1", "u2"], "left_semi")
-    return rows.dropDuplicates(["u1", "u2"]).drop("u1", "u2").unionByName(docs.where(F.col(key).isNull()))
+    rows = docs.withColumns({first: u1, second: u2}).join(kept, [first, second], "left_semi")
+    return rows.dropDuplicates([first, second]).drop(first, second)

@@ -67,10 +67,10 @@ def near_duplicates(rows):
     return {i: (len(sets[i]), classes.root(i)) for i in ids}
 
 
-def dropped_lines(rows, least, size, percent):
-    """Line places (id, number) that are not the first of their component."""
-    lines = [((i, n), x.encode()) for i, t in rows if t is not None for n, x in enumerate(t.split("\n")) if len(x.encode()) >= least]
-    sets = {place: frozenset(x[k : k + size] for k in range(len(x) - size + 1)) for place, x in lines}
+def dropped_lines(rows, size, percent):
+    """Line places (id, number) that are not the first of their component; lines below ``size`` bytes are linked by equality."""
+    lines = [((i, n), x.encode()) for i, t in rows if t is not None for n, x in enumerate(t.split("\n")) if WORD.search(x)]
+    sets = {p: frozenset(x[k : k + size] for k in range(len(x) - size + 1)) or frozenset([x]) for p, x in lines}
     classes, places = Classes(sets), sorted(sets)
     holders = collections.defaultdict(list)
     for place in places:

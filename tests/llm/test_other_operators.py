@@ -230,7 +230,7 @@ def test_pipeline_stages(spark, model):
     for row in quality:
         n_words, *_, repeated = brute.statistics(row["text"])
         assert n_words >= 50 and 2 * repeated <= n_words
-    gone = brute.dropped_lines([(r["doc_id"], r["text"]) for r in quality], line_dedup.LEAST_BYTES, line_dedup.SHINGLE, line_dedup.PERCENT)
+    gone = brute.dropped_lines([(r["doc_id"], r["text"]) for r in quality], line_dedup.SHINGLE, line_dedup.PERCENT)
     left = {r["doc_id"]: "\n".join(x for n, x in enumerate(r["text"].split("\n")) if (r["doc_id"], n) not in gone) for r in quality}
     assert {r["doc_id"]: r["text"] for r in lines} == {i: t for i, t in left.items() if brute.WORD.search(t)}
     assert all(r["n_chars"] == len(r["text"]) for r in lines)

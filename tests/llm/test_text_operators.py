@@ -106,9 +106,9 @@ def test_near_duplicates(which, request):
     assert got == want
 
 
-def test_near_duplicates_of_null_ids_stay(docs):
-    kept = near_dup.near_duplicates(docs).where("doc_id IS NULL").collect()
-    assert [(r.component_id, r.kept) for r in kept] == [(None, True)]
+def test_near_duplicates_of_null_ids_are_linked(docs):
+    found = near_dup.near_duplicates(docs).where("doc_id IS NULL").collect()
+    assert [(r.component_id, r.kept) for r in found] == [(3, False)]
 
 
 def test_near_duplicates_meet_in_blocks(spark, monkeypatch):
@@ -143,7 +143,7 @@ def test_circulant_signatures_estimate_jaccard():
 def test_line_dedup(which, request):
     table = request.getfixturevalue(which).where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     source = [tuple(r) for r in table.select("doc_id", "text").collect()]
-    want = brute.dropped_lines(source, line_dedup.LEAST_BYTES, line_dedup.SHINGLE, line_dedup.PERCENT)
+    want = brute.dropped_lines(source, line_dedup.SHINGLE, line_dedup.PERCENT)
     got = {(r.id, r.line_no) for r in line_dedup.duplicate_lines(table).collect()}
     assert got == want
     texts = {r.doc_id: r.text for r in line_dedup.drop_lines(table).collect()}
