@@ -81,8 +81,8 @@ def item_terms(items: DataFrame, *, key: str, text: str) -> DataFrame:
 
 
 def postings(docs: DataFrame, vocabulary: dict[bytes, int], *, key: str, text: str) -> DataFrame:
-    """``id``, ``tie`` (a hash of the text), ``n`` (all terms), and of the vocabulary ``terms`` and their ``tfs``."""
-    named = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
+    """``id``, ``tie`` (a hash of text and id), ``n`` (all terms), and of the vocabulary ``terms`` and their ``tfs``."""
+    named = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text, key).alias("tie"), F.col(text).alias("text"))
     numbers = T.ArrayType(T.IntegerType(), False)
     schema = named.drop("text").schema.add("n", "long").add("terms", numbers).add("tfs", numbers)
 
