@@ -142,9 +142,38 @@ def test_parts_that_are_no_article():
     assert templates.extract("<main>in</main>out", set()) == "in"
     assert templates.extract("no markup at all", set()) == "no markup at all"
     assert templates.extract("<article><p>cut off &am", set()) == "cut off &am"
+    # Class words are a hint only, and never against what is or holds the article.
+    assert templates.extract("<article class='post has-sidebar'><p>Text</article>", set()) == "Text"
+    assert templates.extract("<div id='content' class='with-sidebar'><p>Text</div>", set()) == "Text"
+    assert templates.extract("<main><h1>Title</h1><p>Intro<article><p>Rest</article></main>", set()) == "Title\nIntro\nRest"
+    assert templates.extract("<div><p>A long body text stands here</div><article>teaser</article>", set()) == "A long body text stands here\nteaser"
+    assert templates.extract("<p><a href=x>a paragraph that is a link</a>", set()) == "a paragraph that is a link"
+    assert templates.extract("<article>A<div class='social-history'>B</div><p class=share-price>C</article>", set()) == "A\nB\nC"
+    assert templates.extract("<form id=page><div class=sidebar><main>in the form</main></div><input></form>", set()) == "in the form"
+    assert templates.extract("<div class='site-footer'>f</div><div class='cookie-notice'>n</div><div class=ads-2>a</div>kept", set()) == "kept"
     assert templates.extract("", set()) == templates.extract("<", set()).strip("<") == ""
 
 
+def test_a_template_without_article_elements(spark):
+    """Constant words between the slots go, those of single pages stay; a text out of order is no template."""
+    page = "<body><div class=top>Daily paper</div><table><tr><td>Section: {a}<td><p>By staff<p>{b}<p>Read on</table>{c}<div>All rights</div>"
+    rows = []
+    for i in range(24):
+        odd = "<div><p>moves</div><p>here</p>" if i % 2 else "<p>here</p><div><p>moves</div>"
+        rows.append((i, "http://d.example/" + str(i), page.format(a=f"part {i}", b=f"Story {i} " * 3 + "<br>told", c=odd)))
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r.page_id: r.text for r in templates.main_text(table).collect()}
+    assert out[5] == "Section: part 5\n" + "Story 5 " * 3 + "told\nmoves\nhere"
+    assert out[6] == "Section: part 6\n" + "Story 6 " * 3 + "told\nhere\nmoves"
+
+
+def test_templates_met_by_host(spark, monkeypatch):
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet").withColumn("host", F.lit(1)).withColumn("kept", F.lit("x"))
+    want = sorted(map(tuple, templates.main_text(pages).collect()))
+    monkeypatch.setattr(templates, "BROADCAST_TOKENS", -1)
+    assert sorted(map(tuple, templates.main_text(pages).collect())) == want
+
+
 def test_constant_texts_are_the_template(spark):
     rows = [(i, "https://a.example/" + str(i), PAGE.replace("{own}", f"Own words {i}"), "x") for i in range(20)]
     rows += [(100 + i, "https://b.example/" + str(i), PAGE.replace("{own}", "Same"), "x") for i in range(3)]
