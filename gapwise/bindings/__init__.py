@@ -3,7 +3,7 @@
 from importlib import import_module
 from typing import NamedTuple
 
-MODULES = ("runs", "normalization", "selections", "distance", "summaries", "alignment", "integrity")
+MODULES = ("runs", "normalization", "selections", "distance", "summaries", "alignment", "integrity", "sessions")
 
 
 class Registered(NamedTuple):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapwise.channel import Channel, finite
+from gapwise.schema import PROGRESS_SOURCES
 from gapwise.ordered import Axis, Lag, overlap_join, plan_axis, quantiles, scan
 
 
@@ -283,10 +284,11 @@ def source_counts(progress: DataFrame, keys: tuple[str, ...], source: str) -> Da
     return rows.groupBy(*keys, source).agg(F.count(F.lit(1)).alias("n"))
 
 
-def consistency_counters(progress: DataFrame, axis: Axis) -> DataFrame:
+def consistency_counters(progress: DataFrame, axis: Axis, **more: Column) -> DataFrame:
     """Counters of implausible progress: early completion, resets, jumps, unavailability.
 
-    ``progress``: ``frame, time_s, s_fused, s_odometry, is_boundary``.
+    ``progress``: ``frame, time_s, s_fused, s_odometry, is_boundary``.  ``more`` are further
+    aggregates of the same rows.
     """
     rows = scan(
         progress,
@@ -309,9 +311,26 @@ def consistency_counters(progress: DataFrame, axis: Axis) -> DataFrame:
         F.count_if(reset).alias("unconfirmed_reset_count"),
         F.count_if(both & (turn > 0.1)).alias("nonlocal_jump_count"),
         F.coalesce(F.sum(lost), F.lit(0.0)).alias("unavailable_duration_s"),
+        *(column.alias(name) for name, column in more.items()),
     )
 
 
+def diagnosis(progress: DataFrame, axis: Axis) -> DataFrame:
+    """Consistency of progress, one row per key: counters, rows per source, boundaries per anchor, spread.
+
+    ``progress``: as for ``consistency_counters``, and ``lap_number, s_source, anchor_kind``.  The
+    domains of sources and anchors are closed, so all counts are one aggregate of one pass.
+    """
+    counts = {f"source_{n}": F.count_if(F.col("s_source") == n) for n in PROGRESS_SOURCES}
+    counts |= {
+        f"anchor_{n}": F.count_if(F.col("is_boundary") & (F.col("anchor_kind") == n))
+        for n in ("exact", "interpolated", "nearest", "missing")
+    }
+    spread = checkpoint_spread(progress, axis)
+    out = consistency_counters(progress, axis, **counts).join(spread, list(axis.keys), "left")
+    return out.na.fill(0, ["comparable_checkpoint_count"])
+
+
 def checkpoint_spread(progress: DataFrame, axis: Axis) -> DataFrame:
     """Largest difference of fused progress between laps at 99 odometry checkpoints."""
     keys = (*axis.keys, "lap_number")

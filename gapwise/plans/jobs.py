@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from gapwise.channel import Channel, finite
 from gapwise.operators import (
-    align, aggregates, checks, episodes, fusion, geometry, joins, odometry, runs, scoring,
+    align, aggregates, checks, episodes, fusion, geometry, joins, labels, odometry, runs, scoring,
 )
 from gapwise.operators.runs import EventSettings
-from gapwise.ordered import Axis, asof, materialize, overlap_join
+from gapwise.ordered import Axis, Sum, asof, materialize, overlap_join, plan_axis, scan
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -163,19 +163,26 @@ def observable_truth(
     ``frames``: keys, ``time_s, fresh``.  ``capture`` (keys, ``time_s``) lists the frames that
     the recording has; one without a row in ``frames`` is not fresh.
     """
+    read = frames.select(*keys, "time_s", "fresh")
     if capture is not None:
-        listed = capture.select(*keys, "time_s").distinct()
-        frames = listed.join(frames.select(*keys, "time_s", "fresh"), [*keys, "time_s"], "left")
-        frames = frames.na.fill(False, ["fresh"])
+        listed = capture.select(*keys, "time_s").distinct().withColumn("fresh", F.lit(False))
+        read = read.unionByName(listed).groupBy(*keys, "time_s").agg(F.bool_or("fresh").alias("fresh"))
+    # Running counts at both ends of a window say what is inside; no frame meets an event.
     mid = (F.col("lo_s") + F.col("hi_s")) / 2
-    around = truth.select(*keys, "id", (mid - window).alias("a"), (mid + window).alias("b"))
-    pairs = overlap_join(
-        around, frames.select(*keys, "time_s", "fresh"), keys, ("a", "b"), ("time_s", "time_s")
+    ends = F.array(
+        F.struct((mid - window).alias("_t"), F.lit(0).alias("_side")),
+        F.struct((mid + window).alias("_t"), F.lit(2).alias("_side")),
     )
-    per = pairs.groupBy(*[F.col(f"l.{k}").alias(k) for k in keys], F.col("l.id").alias("id")).agg(
-        F.count(F.lit(1)).alias("n"), F.bool_and(F.col("r.fresh")).alias("all_fresh")
+    marks = truth.select(*keys, "id", F.inline(ends))
+    rows = read.select(*keys, F.col("time_s").alias("_t"), F.lit(1).alias("_side"), F.col("fresh").cast("long").alias("_f"))
+    both = marks.unionByName(rows, allowMissingColumns=True)
+    frame = F.when(F.col("_side") == 1, F.lit(1).cast("long"))
+    counted = scan(both, plan_axis(both, keys, ("_t", "_side")), _n=Sum(frame), _m=Sum(F.col("_f")))
+    sign = F.when(F.col("_side") == 0, -1).otherwise(1)
+    counts = counted.filter("_side <> 1").groupBy(*keys, "id").agg(
+        F.sum(sign * F.coalesce("_n", F.lit(0))).alias("n"), F.sum(sign * F.coalesce("_m", F.lit(0))).alias("m")
     )
-    return per.filter((F.col("n") >= 2) & F.col("all_fresh")).select(*keys, "id")
+    return counts.filter("n >= 2 AND n = m").select(*keys, "id")
 
 
 def evaluate_events(
@@ -288,8 +295,8 @@ def compare_annotations(
 def progress_job(
     samples: DataFrame,
     bounds: DataFrame,
-    points: DataFrame,
-    ring: DataFrame,
+    points: DataFrame | None,
+    ring: DataFrame | None,
     axis: Axis,
     *,
     speed: str,
@@ -305,7 +312,8 @@ def progress_job(
 ) -> DataFrame:
     """Integrate, calibrate, project, recover anchors and fuse, one row per sample.
 
-    ``points``: keys, ``frame, track_id, x, y``; several points may share a frame.
+    ``points``: keys, ``frame, track_id, x, y``; several points may share a frame, and without
+    them odometry alone tells the progress.
     """
     keys = axis.keys
     odo = odometry.integrate(samples, axis, speed=speed, quality=quality, max_gap=max_gap)
@@ -318,14 +326,11 @@ def progress_job(
         length = fallback.join(length, list(keys), "left").select(
             *keys, F.coalesce("length", "_fallback").alias("length")
         )
-    item = F.struct(
-        F.col("s_visual").alias("s"), F.col("distance").alias("d"), F.col("x"), F.col("y")
-    )
-    projected = geometry.project_points(points, ring, max_distance, (*keys, "frame"))
-    # Projections of one frame are bounded by the segments of the ring near its points.
-    per_frame = projected.groupBy(*keys, "frame").agg(
-        F.array_sort(F.collect_list(item)).alias("projections")
-    )
+    if points is None:
+        nothing = F.lit(None).cast("array<struct<s:double,d:double,x:double,y:double>>")
+        per_frame = odo.select(*keys, "frame", nothing.alias("projections")).limit(0)
+    else:
+        per_frame = _frame_projections(points, ring, max_distance, keys)
     marks = bounds.select(*keys, "frame", F.lit(True).alias("is_boundary"))
     rows = odo.select(
         *keys, "frame", "time_s", F.col(speed).cast("double").alias("speed"), "distance_m",
@@ -352,6 +357,41 @@ def progress_job(
     return fusion.track_progress(rows, axis, fusion_settings, selection, anchors)
 
 
+def _frame_projections(points: DataFrame, ring: DataFrame, reach: float, keys: tuple[str, ...]) -> DataFrame:
+    """``projections`` of every frame that has any; they are bounded by the segments near its points."""
+    item = F.struct(
+        F.col("s_visual").alias("s"), F.col("distance").alias("d"), F.col("x"), F.col("y")
+    )
+    projected = geometry.project_points(points, ring, reach, (*keys, "frame"))
+    return projected.groupBy(*keys, "frame").agg(
+        F.array_sort(F.collect_list(item)).alias("projections")
+    )
+
+
+def diagnosed_progress(
+    samples: DataFrame, points: DataFrame | None, ring: DataFrame | None, axis: Axis, *,
+    label: str, count: int, **settings,
+) -> dict[str, DataFrame]:
+    """The whole way from label readings to progress and its diagnosis.
+
+    First pass: labels are confirmed after ``count`` equal readings, and their boundaries
+    calibrate the length as aggregates.  Second pass: ``progress_job`` with that length.
+    The diagnosis is one row per session.
+    """
+    keys = axis.keys
+    # One confirmed row per sample, used for the boundaries and for the lap of every row.
+    states = materialize(labels.confirm_labels(samples, axis, label, count))
+    bounds = labels.boundaries(states, axis)
+    told = progress_job(states, bounds, points, ring, axis, **settings)
+    lap = states.select(*keys, "frame", "time_s", F.col("confirmed_label").alias("lap_number"), "is_boundary")
+    progress = materialize(lap.join(told, [*keys, "frame"]))
+    return {
+        "boundaries": bounds,
+        "progress": progress,
+        "diagnosis": aggregates.diagnosis(progress, axis),
+    }
+
+
 def compare_laps_by_position(
     laps: DataFrame, axis: Axis, pairs: DataFrame, *, step: float, max_position_gap: float,
     max_time_gap: float, channels: dict, start_times: DataFrame | None = None,
