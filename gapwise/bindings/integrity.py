@@ -11,7 +11,7 @@ from gapwise.bindings.registry import ORACLES, register
 from gapwise.bindings.runs import (
     CROSSINGS_CTE,
     BRAKE_OK, EPISODES, EPISODE_DOUBLES, OVERLAPS_CTE, THROTTLE_OK,
-    brake_episodes, episodes_sql, events_sql, throttle_episodes,
+    episodes_sql, events_sql,
 )
 from gapwise.bindings.selections import BOUNDED, bounded
 from gapwise.bindings.summaries import (
@@ -22,8 +22,8 @@ from gapwise.bindings.views import (
     BOUNDARIES, BRAKE, CROSSING, FRAME_TIME, GEAR, LABEL_COUNT, MATCH_WINDOW, MAX_RATE, MAX_RATE_GAP, OBS,
     SETTINGS, SIG, SPANS_CTE, THROTTLE, ZONES_CTE, Views,
 )
-from gapwise.operators import checks, labels, runs
-from gapwise.ordered import Axis, shared_folder
+from gapwise.operators import checks, episodes, labels, runs
+from gapwise.ordered import Axis, materialize, shared_folder
 from gapwise.plans import jobs
 from gapwise.sources import tables
 from gapwise.streaming import causal
@@ -993,16 +993,15 @@ ANNOTATION_EVENTS = SIG + episodes_sql("v", BRAKE_OK, "brake") + episodes_sql(
 
 
 def _annotation_parts(v: Views):
-    events = [
-        runs.hysteresis_events(v.sig, v.axis, c, SETTINGS, split_on_frame_jump=True)
-        for c in (BRAKE, THROTTLE)
-    ]
+    marked = episodes.marked_episodes(v.sig, v.axis, [BRAKE, THROTTLE], SETTINGS)
+    events = runs.events_of(marked, v.axis.within("field"))
+    found = materialize(episodes.episodes_of(marked, v.axis))
     points = v.sig.filter(F.col("event_id") % 5 == 0).select(
         "session_id", "frame", F.lit("brake").alias("field"), F.col("value").alias("truth"),
         F.when(BRAKE.valid(), F.col("v")).alias("prediction"),
     )
     return jobs.compare_annotations(
-        events[0].unionByName(events[1]), brake_episodes(v).unionByName(throttle_episodes(v)), points,
+        events, found, points,
         passages(v), v.segments, v.spans.filter("state = 'visible'"), KEY, FRAME_TIME,
     )
 

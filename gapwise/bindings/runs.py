@@ -6,6 +6,7 @@ from gapwise.bindings.registry import register
 from gapwise.bindings.views import (
     BRAKE, CROSSING, FRAME_TIME, GEAR, SETTINGS, SIG, THROTTLE, Views,
 )
+from gapwise.ordered import materialize
 from gapwise.operators import episodes, runs
 
 PREV = SIG + """, prev AS (
@@ -133,9 +134,7 @@ EVENT_COLUMNS = """session_id, type || '-' || frame AS id, type, '{field}' AS fi
     "time_s confirmed_at_s previous_evidence_time_s value",
 )
 def hysteresis_events(v: Views):
-    return runs.hysteresis_events(v.sig, v.axis, BRAKE, SETTINGS).unionByName(
-        runs.hysteresis_events(v.sig, v.axis, THROTTLE, SETTINGS)
-    )
+    return runs.hysteresis_events(v.sig, v.axis, [BRAKE, THROTTLE], SETTINGS)
 
 
 @register(
@@ -235,12 +234,15 @@ EPISODE_DOUBLES = (
 )
 
 
-def brake_episodes(v: Views):
-    return episodes.control_episodes(v.sig, v.axis, BRAKE, SETTINGS)
+def both_episodes(v: Views):
+    """Episodes of both pedals, in one pass."""
+    return episodes.control_episodes(v.sig, v.axis, [BRAKE, THROTTLE], SETTINGS)
 
 
-def throttle_episodes(v: Views):
-    return episodes.control_episodes(v.sig, v.axis, THROTTLE, SETTINGS)
+def kept_episodes(v: Views):
+    """The episodes of each pedal, kept since they are few beside the rows they come from."""
+    both = materialize(both_episodes(v))
+    return [both.filter(F.col("field") == c.field) for c in (BRAKE, THROTTLE)]
 
 
 @register(
@@ -249,7 +251,7 @@ def throttle_episodes(v: Views):
     EPISODE_DOUBLES,
 )
 def control_episodes(v: Views):
-    return brake_episodes(v).unionByName(throttle_episodes(v))
+    return both_episodes(v)
 
 
 @register(
@@ -266,8 +268,7 @@ WHERE next_episode_id IS NOT NULL""",
     "off_time_s on_time_s inactive_interval_s",
 )
 def resumptions(v: Views):
-    both = brake_episodes(v).unionByName(throttle_episodes(v))
-    return episodes.resumptions(both, v.axis)
+    return episodes.resumptions(both_episodes(v), v.axis)
 
 
 OVERLAPS_CTE = """, common AS (
@@ -289,4 +290,4 @@ OVERLAPS_CTE = """, common AS (
     "start_time_s end_time_s observed_duration_s",
 )
 def overlap_intervals(v: Views):
-    return episodes.overlap_intervals(brake_episodes(v), throttle_episodes(v), ("session_id",))
+    return episodes.overlap_intervals(*kept_episodes(v), ("session_id",))

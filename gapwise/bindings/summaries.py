@@ -89,9 +89,7 @@ BOTH_EVENTS = SIG + events_sql("v", BRAKE_OK, "brake", False) + events_sql(
 
 
 def events_x(v: Views):
-    return runs.hysteresis_events(v.sig, v.axis, BRAKE, SETTINGS).unionByName(
-        runs.hysteresis_events(v.sig, v.axis, THROTTLE, SETTINGS)
-    )
+    return runs.hysteresis_events(v.sig, v.axis, [BRAKE, THROTTLE], SETTINGS)
 
 
 @register(

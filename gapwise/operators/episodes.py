@@ -6,81 +6,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapwise.channel import Channel
-from gapwise.operators.runs import EventSettings, hysteresis_events, mark_runs
-from gapwise.ordered import Axis, Last, Lead, overlap_join, scan
+from gapwise.operators.runs import TIME_SLACK, EventSettings, marked_events, stacked
+from gapwise.ordered import Axis, Last, Lead, Next, overlap_join, scan
+
+
+def marked_episodes(df: DataFrame, axis: Axis, channels: list[Channel], settings: EventSettings) -> DataFrame:
+    """The one pass behind episodes and their events: every row of every field with the events around it."""
+    along = axis.within("field")
+    rows = marked_events(stacked(df, axis, channels), along, settings, split_on_frame_jump=True)
+    jumped = F.col("frame") != F.col("_p.frame") + 1
+    broken = F.coalesce(jumped | (F.col("time_s") - F.col("_p.time_s") > settings.max_gap + TIME_SLACK), F.lit(False))
+    starts = F.col("_ok") & ~(F.coalesce(F.col("_p.ok"), F.lit(False)) & ~broken)
+    event, on = F.col("_event"), ~F.col("_event.off")
+    rows = scan(
+        rows,
+        along,
+        _start=Last(F.when(starts, F.struct(F.col("frame").alias("f"), F.col("_p").isNull().alias("edge")))),
+        _nf=Lead(F.lit(True)),
+        _past=Last(event),
+        _past_on=Last(F.when(on, event["frame"])),
+    )
+    # An event holds from the first row of its island, which is before the row that confirms it.
+    rows = scan(rows, along, _next=Next(event), _after=Next(event, here=False))
+    own = F.coalesce(F.col("_next.frame") == F.col("_isl.frame"), F.lit(False))
+    return rows.withColumns(
+        {
+            "_m": F.when(own, F.col("_next")).otherwise(F.col("_past")),
+            "_on": F.when(own & ~F.col("_next.off"), F.col("_next.frame")).otherwise(F.col("_past_on")),
+        }
+    )
 
 
 def control_episodes(
-    df: DataFrame,
-    axis: Axis,
-    channel: Channel,
-    settings: EventSettings,
-    name: str | None = None,
+    df: DataFrame, axis: Axis, channel: Channel | list[Channel], settings: EventSettings
 ) -> DataFrame:
     """Pair each on (or unbounded) event with the next off event of its run.
 
     The table must pass ``check_clock``.  An episode keeps null durations when one of
-    its bounds was not seen.
+    its bounds was not seen.  Several channels are taken in one pass.
     """
-    events = hysteresis_events(
-        df, axis, channel, settings, name=name, split_on_frame_jump=True
-    ).withColumns(
-        {
-            "_off": F.col("type").endswith("_off"),
-            "_unbounded": F.col("type").endswith("_active_unbounded"),
-        }
-    )
-    nxt = F.struct(
-        F.col("frame"), F.col("time_s"), F.col("value"), F.col("confirmed_frame"), F.col("_off")
-    )
-    events = scan(events, axis, _n=Lead(nxt))
-    # Events become marker rows in front of the sample of the same frame; carrying the
-    # newest marker forward assigns every sample to its episode without a range join.
-    mark = F.struct(
-        F.col("frame").alias("start"),
-        F.col("_unbounded").alias("unbounded"),
-        F.col("_off").alias("off"),
-        F.col("confirmed_frame").alias("confirmed"),
-    )
-    markers = events.select(*axis.keys, "frame", F.lit(0).alias("_side"), mark.alias("_mark"))
-    rows = mark_runs(
-        df.withColumns({"_v": channel.v().cast("double"), "_why": channel.why()}),
-        axis,
-        channel,
-        settings.max_gap,
-    )
-    rows = scan(rows, axis, _nf=Lead(F.lit(True)))
-    samples = rows.select(
-        *axis.keys,
-        "frame",
-        F.lit(1).alias("_side"),
-        "time_s",
-        "_v",
-        "_why",
-        "_ok",
-        "run_start",
-        "run_at_session_start",
-        F.col("_nf").isNull().alias("_session_last"),
-    )
-    along = axis.then("_side")
-    both = samples.unionByName(markers, allowMissingColumns=True)
-    both = scan(
-        both,
-        along,
-        _m=Last(F.col("_mark")),
-        _on=Last(F.when(~F.col("_mark.off"), F.col("_mark.start"))),
-    )
-    body = both.filter(
-        (F.col("_side") == 1) & F.col("_ok") & (F.col("_on") >= F.col("run_start"))
-    )
+    channels = [channel] if isinstance(channel, Channel) else channel
+    return episodes_of(marked_episodes(df, axis, channels, settings), axis)
+
+
+def episodes_of(rows: DataFrame, axis: Axis) -> DataFrame:
+    """Episodes from the rows of ``marked_episodes``; a field's rows stay where they are."""
+    by = (*axis.keys, "field")
+    body = rows.filter(F.col("_ok") & (F.col("_on") >= F.col("_start.f")))
     active = ~F.col("_m.off")
-    explains = active | (F.col("frame") <= F.col("_m.confirmed"))
+    explains = active | (F.col("frame") <= F.col("_m.confirmed_frame"))
     point = F.struct(F.col("frame"), F.col("time_s"))
-    spans = (
+    # The row that confirms the event of the episode knows the event after it.
+    heads = F.col("_event.frame") == F.col("_on")
+    head = F.struct(F.col("_event.unbounded").alias("unbounded"), F.col("_after").alias("next"))
+    e = (
         body.filter(explains)
-        .groupBy(*axis.keys, F.col("_on").alias("start_frame"))
+        .groupBy(*by, F.col("_on").alias("start_frame"))
         .agg(
-            F.max(F.when(active, F.col("run_start"))).alias("run_start"),
+            F.max(F.when(active, F.col("_start.f"))).alias("run_start"),
             F.min_by(F.when(active, point), F.when(active, F.col("frame"))).alias("first"),
             F.max_by(F.when(active, point), F.when(active, F.col("frame"))).alias("last"),
             F.max_by(F.col("_v"), F.when(active, F.col("frame"))).alias("last_value"),
@@ -92,44 +75,35 @@ def control_episodes(
                 "last_peak"
             ),
             F.count(F.when(active, 1)).alias("active"),
-            F.max(F.when(active, F.col("run_at_session_start"))).alias("at_start"),
-            F.max(F.when(active, F.col("_session_last"))).alias("at_end"),
+            F.max(F.when(active, F.col("_start.edge"))).alias("at_start"),
+            F.max(F.when(active, F.col("_nf").isNull())).alias("at_end"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("_why")))).alias("reasons"),
+            F.max(F.when(heads, head)).alias("_head"),
         )
+        .filter(F.col("_head").isNotNull())
     )
-    heads = events.filter(~F.col("_off")).select(
-        *axis.keys,
-        F.col("frame").alias("start_frame"),
-        "_unbounded",
-        F.col("_n").alias("_next"),
-    )
-    e = spans.join(heads, [*axis.keys, "start_frame"])
     # The next event closes the episode only if it is the off event of the same run,
     # which is then the first valid frame after the last active one.
-    ended = F.coalesce(
-        F.col("_next._off") & (F.col("_next.frame") == F.col("last.frame") + 1), F.lit(False)
-    )
-    finish_frame = F.when(ended, F.col("_next.frame")).otherwise(F.col("last.frame"))
-    finish_time = F.when(ended, F.col("_next.time_s")).otherwise(F.col("last.time_s"))
-    finish_value = F.when(ended, F.col("_next.value")).otherwise(F.col("last_value"))
-    left = F.col("_unbounded")
+    follower = F.col("_head.next")
+    ended = F.coalesce(follower["off"] & (follower["frame"] == F.col("last.frame") + 1), F.lit(False))
+    left = F.col("_head.unbounded")
     span = F.col("finish_time_s") - F.col("first.time_s")
     tail = F.when(F.col("ended"), F.col("finish_time_s") - F.col("last_peak.time_s"))
     e = e.withColumns(
         {
             "ended": ended,
-            "finish_frame": finish_frame,
-            "finish_time_s": finish_time,
-            "finish_value": finish_value,
+            "finish_frame": F.when(ended, follower["frame"]).otherwise(F.col("last.frame")),
+            "finish_time_s": F.when(ended, follower["time_s"]).otherwise(F.col("last.time_s")),
+            "finish_value": F.when(ended, follower["value"]).otherwise(F.col("last_value")),
         }
     ).withColumn("tail", tail)
     left_reason = F.when(F.col("at_start"), "session_start").otherwise("evidence_gap")
     right_reason = F.when(F.col("at_end"), "session_end").otherwise("evidence_gap")
     return e.select(
         *axis.keys,
-        F.concat(F.lit(channel.field + "-episode-"), F.col("first.frame")).alias("id"),
-        F.lit(channel.field).alias("field"),
-        F.concat(F.lit(channel.field + "-run-"), F.col("run_start")).alias("run_id"),
+        F.concat("field", F.lit("-episode-"), F.col("first.frame")).alias("id"),
+        "field",
+        F.concat("field", F.lit("-run-"), F.col("run_start")).alias("run_id"),
         F.col("first.frame").alias("start_frame"),
         F.col("first.time_s").alias("start_time_s"),
         F.col("finish_frame").alias("end_frame"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapwise.ordered import (
@@ -36,6 +36,14 @@ def fill_bounded(df: DataFrame, axis: Axis, value: str, max_gap: float) -> DataF
     return rows.select(*df.columns, "filled_value", "was_filled")
 
 
+#: Steps are added as whole numbers of 1 / UNIT, so that a sum does not depend on how it is split.
+UNIT = 2.0**60
+
+
+def _whole(value: Column) -> Column:
+    return (value * F.lit(UNIT)).cast("decimal(38,0)")
+
+
 def integrate(
     df: DataFrame,
     axis: Axis,
@@ -106,14 +114,14 @@ def integrate(
     rows = scan(
         rows,
         axis,
-        distance_m=Sum(F.coalesce(F.col("delta_distance_m"), F.lit(0.0))),
-        _u=Sum(F.col("_unc")),
+        _d=Sum(_whole(F.coalesce(F.col("delta_distance_m"), F.lit(0.0)))),
+        _u=Sum(_whole(F.col("_unc"))),
     )
     return rows.select(
         *df.columns,
         "delta_distance_m",
-        "distance_m",
-        F.least(F.lit(1.0), F.col("_u")).alias("odometry_uncertainty"),
+        (F.col("_d").cast("double") / UNIT).alias("distance_m"),
+        F.least(F.lit(1.0), F.col("_u").cast("double") / UNIT).alias("odometry_uncertainty"),
         "odometry_source",
         "odometry_reasons",
     )

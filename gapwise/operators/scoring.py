@@ -252,7 +252,8 @@ def _match_along(both: DataFrame, along: Axis, window: float) -> DataFrame:
 
 
 def _time_axis(df: DataFrame, axis: Axis, order: tuple[str, ...]) -> Axis:
-    return plan_axis(df, axis.keys, order) if axis.chunked else Axis(axis.keys, order)
+    """Planned on the rows themselves: truth and predictions can outnumber the samples."""
+    return plan_axis(df, axis.keys, order)
 
 
 def match_classes(

@@ -469,9 +469,9 @@ def _level(start: Column, end: Column) -> Column:
     return F.least(F.greatest(fits, F.lit(_MIN_LEVEL)), F.lit(_MAX_LEVEL))
 
 
-def _present(df: DataFrame, column: str) -> list[int]:
-    """The distinct levels of one side; at most one per power of two."""
-    return sorted(r[0] for r in df.select(column).distinct().collect())
+def _present(side: DataFrame) -> Column:
+    """The distinct levels of one side as a scalar subquery; at most one per power of two."""
+    return side.agg(F.collect_set("own").alias("levels")).scalar()
 
 
 def overlap_join(
@@ -486,6 +486,8 @@ def overlap_join(
     An interval lies in at most two cells of the power of two that covers its
     length, so a pair is met at the larger of the two powers by an equi-join on
     (key, power, cell).  Work grows with rows and pairs, never with interval length.
+    Nothing runs while the query is built; a side with a costly lineage is best kept by its
+    caller, since its lengths are looked at apart.
     """
     sides, levels = [], []
     for df, (start, end) in ((left, left_span), (right, right_span)):
@@ -496,20 +498,12 @@ def overlap_join(
             F.col(end).cast("double").alias("b"),
             _level(F.col(start), F.col(end)).alias("own"),
         ).filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") <= F.col("b")))
-        if start == end:
-            levels.append([_MIN_LEVEL])
-        else:
-            # Intervals are few beside the rows they come from; keeping them spares a
-            # second run of their whole lineage.
-            side = materialize(side)
-            levels.append(_present(side, "own"))
+        levels.append(F.array(F.lit(_MIN_LEVEL)) if start == end else _present(side))
         sides.append(side)
 
-    def placed(side: DataFrame, others: list[int]) -> DataFrame:
-        higher = F.filter(
-            F.array(*[F.lit(v) for v in others]).cast("array<int>"), lambda v: v > F.col("own")
-        )
-        at = side.withColumn("power", F.explode(F.array_union(F.array("own"), higher)))
+    def placed(side: DataFrame, others: Column) -> DataFrame:
+        told = side.withColumn("levels", F.coalesce(others, F.array().cast("array<int>")))
+        at = told.withColumn("power", F.explode(F.array_union(F.array("own"), "levels"))).filter("power >= own")
         size = F.pow(F.lit(2.0), F.col("power"))
         first = F.floor(F.col("a") / size).cast("long")
         final = F.floor(F.col("b") / size).cast("long")

@@ -39,7 +39,7 @@ def lap_report(
     inside = found.filter(F.col("frame") < F.col("_lap.end_frame"))
     rows = inside.withColumn("lap_number", F.col("_lap.lap_number")).drop("_lap")
     along = axis.within("lap_number")
-    events = [runs.hysteresis_events(rows, along, c, settings) for c in controls]
+    events = [runs.hysteresis_events(rows, along, controls, settings)] if controls else []
     events += [runs.change_events(rows, along, c, settings.max_gap) for c in steps]
     placed = joins.assign_zone(_union(events), zones, axis)
     every = [*controls, *steps]
@@ -60,19 +60,15 @@ def episode_job(
     frame_time: float,
 ) -> dict[str, DataFrame]:
     """Events, episodes, gaps, resumptions and overlaps of two controls, and clock violations."""
-    fields = (first, second)
-    found = [episodes.control_episodes(samples, axis, c, settings) for c in fields]
-    events = [
-        runs.hysteresis_events(samples, axis, c, settings, split_on_frame_jump=True)
-        for c in fields
-    ]
-    gaps = [
-        runs.evidence_gaps(samples, axis, c, settings.max_gap, frame_time) for c in fields
-    ]
-    both = _union(found)
+    fields = [first, second]
+    # Events and episodes of both fields come from the same pass; its few results are kept.
+    marked = episodes.marked_episodes(samples, axis, fields, settings)
+    both = materialize(episodes.episodes_of(marked, axis))
+    found = [both.filter(F.col("field") == c.field) for c in fields]
+    gaps = [runs.evidence_gaps(samples, axis, c, settings.max_gap, frame_time) for c in fields]
     return {
         "clock_violations": checks.check_clock(samples, axis, frame_time),
-        "events": _union(events),
+        "events": runs.events_of(marked, axis.within("field")),
         "episodes": both,
         "gaps": _union(gaps),
         "resumptions": episodes.resumptions(both, axis),
