@@ -271,7 +271,7 @@ ROUTES = SIG + """, route AS (
 SELECT track_id, CAST(k AS BIGINT) AS idx, k * 0.0331::DOUBLE AS arc,
        x + (k * 0.0331::DOUBLE - start_arc) / len * (x1 - x) AS x,
        y + (k * 0.0331::DOUBLE - start_arc) / len * (y1 - y) AS y
-FROM seg, range(1000) t(k)
+FROM (SELECT *, unnest(range(CAST(floor(total / 0.0331::DOUBLE) AS BIGINT) + 2)) AS k FROM seg)
 WHERE len > 0 AND k * 0.0331::DOUBLE >= start_arc AND k * 0.0331::DOUBLE < start_arc + len
   AND k * 0.0331::DOUBLE < total""",
     "arc x y",

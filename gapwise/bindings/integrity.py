@@ -52,7 +52,8 @@ def scratch(v: Views, name: str) -> str:
 ), r AS (
   SELECT session_id, 'not_ordered' AS rule, start_s FROM p WHERE NOT (start_s >= 0 AND start_s < end_s)
   UNION ALL SELECT session_id, 'overlap', start_s FROM p WHERE start_s < pe
-  UNION ALL SELECT session_id, 'after_end', start_s FROM p WHERE end_s > 700
+  UNION ALL SELECT session_id, 'after_end', start_s FROM p JOIN (SELECT session_id, max(time_s) AS m FROM sig GROUP BY ALL)
+    USING (session_id) WHERE end_s > m
   UNION ALL SELECT session_id, 'blank_reviewer', start_s FROM p WHERE trim(reviewer) = ''
   UNION ALL SELECT session_id, 'unknown_state', start_s FROM p WHERE state = 'odd'
 )
@@ -70,7 +71,7 @@ def check_intervals(v: Views):
             "state": F.when(x % 17 == 0, "odd").otherwise(F.col("state")),
         }
     )
-    durations = v.sessions.select("session_id", F.lit(700.0).alias("duration_s"))
+    durations = v.sig.groupBy("session_id").agg(F.max("time_s").alias("duration_s"))
     return checks.check_intervals(spans, KEY, durations)
 
 
@@ -493,15 +494,25 @@ def latest_events(v: Views):
     return checks.latest_events(rows, KEY, "place")
 
 
+#: A case is a stretch of so many frames, as many as a session has.
+CASE_FRAMES = 75
+CASE_KEY = ("session_id", "case_no")
+
+
+def _case_no():
+    return F.floor(F.col("frame") / CASE_FRAMES).alias("case_no")
+
+
 def case_passages(v: Views):
-    """Two or three passages per session from its frame segments, with planted faults."""
+    """Two or three passages per case of a session, with planted faults."""
     s, i = F.col("session_id"), F.col("i")
     n = F.when(s % 6 == 0, 4).when(s % 6 == 1, 2).otherwise(3)
-    rows = v.sessions.select("session_id", F.explode(F.sequence(F.lit(1), n)).alias("i"))
-    base = (i * 15).cast("long")
+    cases = v.sig.select("session_id", _case_no()).distinct()
+    rows = cases.select("session_id", "case_no", F.explode(F.sequence(F.lit(1), n)).alias("i"))
+    base = F.col("case_no") * CASE_FRAMES + (i * 15).cast("long")
     exit_ = F.when(s % 4 != 1, base + 9)
     return rows.select(
-        "session_id", F.concat(F.lit("p"), F.when(s % 10 == 0, 1).otherwise(i)).alias("id"),
+        *CASE_KEY, F.concat(F.lit("p"), F.when(s % 10 == 0, 1).otherwise(i)).alias("id"),
         base.alias("window_lo"), (base + 12).alias("window_hi"), (base + 1).alias("entry_lo"),
         (base + 2).alias("entry_hi"), exit_.alias("exit_lo"),
         F.when(s % 8 == 3, exit_ - 1).otherwise(exit_ + 1).alias("exit_hi"),
@@ -511,58 +522,63 @@ def case_passages(v: Views):
 
 def case_frames(v: Views):
     by = F.sequence(F.col("window_lo"), F.col("window_hi"))
-    rows = case_passages(v).select("session_id", "id", "window_lo", F.explode(by).alias("frame"))
+    rows = case_passages(v).select(*CASE_KEY, "id", "window_lo", F.explode(by).alias("frame"))
     offset = F.col("frame") - F.col("window_lo")
     return rows.filter((F.col("session_id") % 7 != 2) | (offset != 2)).select(
-        "session_id", "id", "frame"
+        *CASE_KEY, "id", "frame"
     ).distinct()
 
 
-CASE = SIG + """, cp AS (
-  SELECT DISTINCT session_id, 'p' || CASE WHEN session_id % 10 = 0 THEN 1 ELSE i END AS id,
-         i * 15 AS window_lo, i * 15 + 12 AS window_hi, i * 15 + 1 AS entry_lo, i * 15 + 2 AS entry_hi,
-         CASE WHEN session_id % 4 <> 1 THEN i * 15 + 9 END AS exit_lo,
-         CASE WHEN session_id % 4 <> 1 THEN i * 15 + CASE WHEN session_id % 8 = 3 THEN 8 ELSE 10 END END
+CASE = SIG + """, bases AS (
+  SELECT DISTINCT session_id, case_no, i, case_no * 75 + i * 15 AS base
+  FROM (SELECT DISTINCT session_id, frame // 75 AS case_no FROM sig), range(1, 5) t(i)
+  WHERE i <= CASE session_id % 6 WHEN 0 THEN 4 WHEN 1 THEN 2 ELSE 3 END
+), cp AS (
+  SELECT DISTINCT session_id, case_no, 'p' || CASE WHEN session_id % 10 = 0 THEN 1 ELSE i END AS id,
+         base AS window_lo, base + 12 AS window_hi, base + 1 AS entry_lo, base + 2 AS entry_hi,
+         CASE WHEN session_id % 4 <> 1 THEN base + 9 END AS exit_lo,
+         CASE WHEN session_id % 4 <> 1 THEN base + CASE WHEN session_id % 8 = 3 THEN 8 ELSE 10 END END
            AS exit_hi,
          CASE WHEN session_id % 9 = 4 THEN 0.0 ELSE 30.0 END AS gap
-  FROM (SELECT DISTINCT session_id FROM sig), range(1, 5) t(i)
-  WHERE i <= CASE session_id % 6 WHEN 0 THEN 4 WHEN 1 THEN 2 ELSE 3 END
+  FROM bases
 ), cf AS (
-  SELECT DISTINCT session_id, id, window_lo + o AS frame FROM cp, range(13) t(o)
+  SELECT DISTINCT session_id, case_no, id, window_lo + o AS frame FROM cp, range(13) t(o)
   WHERE session_id % 7 <> 2 OR o <> 2
 ), timed AS (
   SELECT cf.*, sig.time_s, cp.window_lo, cp.window_hi, cp.entry_lo, cp.exit_hi, cp.gap
-  FROM cf LEFT JOIN sig USING (session_id, frame) JOIN cp USING (session_id, id)
+  FROM cf LEFT JOIN sig USING (session_id, frame) JOIN cp USING (session_id, case_no, id)
 ), sp AS (
-  SELECT session_id, id, time_s - lag(time_s) OVER (PARTITION BY session_id, id ORDER BY frame) AS d, gap
+  SELECT session_id, case_no, id,
+         time_s - lag(time_s) OVER (PARTITION BY session_id, case_no, id ORDER BY frame) AS d, gap
   FROM timed WHERE frame BETWEEN entry_lo AND exit_hi
 )"""
 
+_REVIEWED = "EXISTS (FROM cf WHERE cf.session_id = cp.session_id AND cf.case_no = cp.case_no AND cf.id = cp.id AND cf.frame = {})"
+
 
 @register(
     "check_case",
-    CASE + """, r AS (
-  SELECT session_id, 'passage_count' AS rule, 'case' AS key FROM cp GROUP BY session_id
+    CASE + f""", r AS (
+  SELECT session_id, case_no, 'passage_count' AS rule, 'case' AS key FROM cp GROUP BY session_id, case_no
     HAVING count(*) NOT BETWEEN 2 AND 3
-  UNION ALL SELECT session_id, 'repeated_passage', 'case' FROM cp GROUP BY session_id
+  UNION ALL SELECT session_id, case_no, 'repeated_passage', 'case' FROM cp GROUP BY session_id, case_no
     HAVING count(*) > count(DISTINCT id)
-  UNION ALL SELECT cp.session_id, 'entry_unreviewed', id FROM cp
-    WHERE NOT EXISTS (FROM cf WHERE cf.session_id = cp.session_id AND cf.id = cp.id AND cf.frame = entry_lo)
-       OR NOT EXISTS (FROM cf WHERE cf.session_id = cp.session_id AND cf.id = cp.id AND cf.frame = entry_hi)
-  UNION ALL SELECT cp.session_id, 'exit_unreviewed', id FROM cp WHERE exit_lo IS NOT NULL AND (
-       NOT EXISTS (FROM cf WHERE cf.session_id = cp.session_id AND cf.id = cp.id AND cf.frame = exit_lo)
-       OR NOT EXISTS (FROM cf WHERE cf.session_id = cp.session_id AND cf.id = cp.id AND cf.frame = exit_hi))
-  UNION ALL SELECT session_id, 'exit_order', id FROM cp WHERE exit_lo > exit_hi
-  UNION ALL SELECT session_id, 'invalid_gap', id FROM cp WHERE exit_lo IS NOT NULL AND gap <= 0
-  UNION ALL SELECT DISTINCT session_id, 'review_spacing', id FROM sp WHERE d > gap + 1e-9
-  UNION ALL SELECT session_id, 'frame_outside', CAST(frame AS VARCHAR) FROM timed
+  UNION ALL SELECT session_id, case_no, 'entry_unreviewed', id FROM cp
+    WHERE NOT {_REVIEWED.format("entry_lo")} OR NOT {_REVIEWED.format("entry_hi")}
+  UNION ALL SELECT session_id, case_no, 'exit_unreviewed', id FROM cp WHERE exit_lo IS NOT NULL AND (
+       NOT {_REVIEWED.format("exit_lo")} OR NOT {_REVIEWED.format("exit_hi")})
+  UNION ALL SELECT session_id, case_no, 'exit_order', id FROM cp WHERE exit_lo > exit_hi
+  UNION ALL SELECT session_id, case_no, 'invalid_gap', id FROM cp WHERE exit_lo IS NOT NULL AND gap <= 0
+  UNION ALL SELECT DISTINCT session_id, case_no, 'review_spacing', id FROM sp WHERE d > gap + 1e-9
+  UNION ALL SELECT session_id, case_no, 'frame_outside', CAST(frame AS VARCHAR) FROM timed
     WHERE time_s IS NULL OR frame NOT BETWEEN window_lo AND window_hi
 )
 --
-SELECT session_id, rule, key FROM r""",
+SELECT session_id, case_no, rule, key FROM r""",
 )
 def check_case(v: Views):
-    return checks.check_case(case_passages(v), case_frames(v), v.sig, KEY, axis=v.axis)
+    samples = v.sig.select("session_id", _case_no(), "frame", "time_s")
+    return checks.check_case(case_passages(v), case_frames(v), samples, CASE_KEY, axis=v.axis.within("case_no"))
 
 
 # --- sources and sinks ----------------------------------------------------------------
@@ -691,7 +707,7 @@ UNION ALL
 SELECT CAST(session_id AS VARCHAR), 'passages', count(*) FILTER (WHERE event_type = 'purchase') FROM sig
 GROUP BY ALL HAVING count(*) FILTER (WHERE event_type = 'purchase') > 0
 UNION ALL
-SELECT CAST(session_id AS VARCHAR), 'visibility', 30 FROM sig GROUP BY ALL""",
+SELECT CAST(session_id AS VARCHAR), 'visibility', CAST(floor(max(time_s) / 24) AS BIGINT) + 1 FROM sig GROUP BY session_id""",
 )
 def read_annotations(v: Views):
     frame = F.struct("frame", "time_s", "speed_text", "gear_text", "lap_text", "throttle_pct",
@@ -773,7 +789,7 @@ def lap_report_events(v: Views):
     "case_summary",
     CASE + """
 --
-SELECT cp.session_id, cp.id, d.time_s - b.time_s AS range_lo_s, e.time_s - a.time_s AS range_hi_s
+SELECT cp.session_id, cp.case_no, cp.id, d.time_s - b.time_s AS range_lo_s, e.time_s - a.time_s AS range_hi_s
 FROM cp LEFT JOIN sig a ON a.session_id = cp.session_id AND a.frame = entry_lo
 LEFT JOIN sig b ON b.session_id = cp.session_id AND b.frame = entry_hi
 LEFT JOIN sig d ON d.session_id = cp.session_id AND d.frame = exit_lo
@@ -788,7 +804,7 @@ def case_summary(v: Views):
     "case_speeds",
     CASE + """
 --
-SELECT cf.session_id, cf.id, cf.frame, sig.v AS extracted,
+SELECT cf.session_id, cf.case_no, cf.id, cf.frame, sig.v AS extracted,
        CASE WHEN q = 'observed' AND cf.frame % 3 <> 0 THEN v END AS admitted,
        coalesce(q, 'missing') AS quality, time_s + 5 AS source_time_s
 FROM cf LEFT JOIN sig USING (session_id, frame)""",
@@ -799,12 +815,12 @@ def case_speeds(v: Views):
 
 
 def _case(v: Views):
-    read = v.sig.select("session_id", "frame", "time_s", F.col("v").alias("value"),
+    read = v.sig.select("session_id", _case_no(), "frame", "time_s", F.col("v").alias("value"),
                         F.col("q").alias("quality"))
-    told = case_frames(v).join(read.select("session_id", "frame", "value"), ["session_id", "frame"], "left")
+    told = case_frames(v).join(read.select(*CASE_KEY, "frame", "value"), [*CASE_KEY, "frame"], "left")
     shown = F.when(F.col("frame") % 3 == 0, F.col("value") + 1).otherwise(F.col("value"))
-    reviews = told.select("session_id", "id", "frame", shown.alias("hud_kmh"))
-    return jobs.case_summary(case_passages(v), reviews, read, KEY, start_s=5.0)
+    reviews = told.select(*CASE_KEY, "id", "frame", shown.alias("hud_kmh"))
+    return jobs.case_summary(case_passages(v), reviews, read, CASE_KEY, start_s=5.0)
 
 
 @register(

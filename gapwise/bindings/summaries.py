@@ -8,7 +8,7 @@ from gapwise.bindings.runs import (
 )
 from gapwise.bindings.distance import ODO, odo
 from gapwise.bindings.views import (
-    BOUNDARIES, BRAKE, LAPS, MATCH_WINDOW, OBS, SETTINGS, SIG, SPANS_CTE, THROTTLE, ZONES_CTE,
+    BOUNDARIES, BRAKE, LAPS, MATCH_WINDOW, OBS, SEGMENTS_CTE, SETTINGS, SIG, SPANS_CTE, THROTTLE, ZONES_CTE,
     FRAME_TIME, Views,
 )
 from gapwise.channel import Channel
@@ -111,10 +111,7 @@ PASSAGES_CTE = """, passages AS (
          ELSE 'throttle_active_unbounded' END AS wanted_type,
          greatest(frame - 1, 0) AS frame_lo, frame AS frame_hi
   FROM sig WHERE event_type = 'purchase'
-), segments AS (
-  SELECT session_id, lo AS frame_lo, hi AS frame_hi
-  FROM (SELECT DISTINCT session_id FROM sig), (VALUES (5, 20), (30, 45)) t(lo, hi)
-)"""
+)""" + SEGMENTS_CTE
 
 
 def passages(v: Views):

@@ -140,9 +140,10 @@ class Views:
 
     @cached_property
     def spans(self) -> DataFrame:
-        i = F.explode(F.sequence(F.lit(0), F.lit(29)))
+        # One span a day, as many as the session has days.
+        last = self.sig.groupBy("session_id").agg(F.floor(F.max("time_s") / 24).cast("int").alias("last"))
         state = F.element_at(F.array(*map(F.lit, ("visible", "absent", "unknown"))), F.col("i") % 3 + 1)
-        return self.sessions.select("session_id", i.alias("i")).select(
+        return last.select("session_id", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i")).select(
             "session_id",
             F.lit("brake").alias("field"),
             (F.col("i") * 24.0).alias("start_s"),
@@ -167,11 +168,11 @@ class Views:
 
     @cached_property
     def segments(self) -> DataFrame:
-        pairs = F.array(
-            *[F.struct(F.lit(a).cast("long").alias("frame_lo"), F.lit(b).cast("long").alias("frame_hi"))
-              for a, b in ((5, 20), (30, 45))]
-        )
-        return self.sessions.select("session_id", F.inline(pairs))
+        # Frames 5 to 20 of every 25, to the end of the session.
+        last = self.sig.groupBy("session_id").agg(F.max("frame").alias("last")).filter("last >= 5")
+        first = F.explode(F.sequence(F.lit(5).cast("long"), F.col("last"), F.lit(25).cast("long")))
+        rows = last.select("session_id", "last", first.alias("frame_lo"))
+        return rows.select("session_id", "frame_lo", F.least(F.col("frame_lo") + 15, "last").alias("frame_hi"))
 
 
 # The same views as SQL common table expressions.
@@ -218,11 +219,15 @@ OBS = SIG + """, obs AS (
 SPANS_CTE = """, spans AS (
   SELECT session_id, 'brake' AS field, i * 24.0 AS start_s, i * 24.0 + 12.0 AS end_s,
          CASE i % 3 WHEN 0 THEN 'visible' WHEN 1 THEN 'absent' ELSE 'unknown' END AS state
-  FROM (SELECT DISTINCT session_id FROM sig), range(30) t(i)
+  FROM (SELECT session_id, unnest(range(CAST(floor(max(time_s) / 24) AS BIGINT) + 1)) AS i FROM sig GROUP BY session_id)
 )"""
 
 ZONES_CTE = """, zones AS (
   SELECT session_id, 'z' || i AS id, i * 10 AS start_frame, i * 10 + 10 AS end_frame
-  FROM (SELECT session_id, max(frame) AS m FROM sig GROUP BY session_id), range(1000) t(i)
-  WHERE i <= m // 10
+  FROM (SELECT session_id, unnest(range(max(frame) // 10 + 1)) AS i FROM sig GROUP BY session_id)
+)"""
+
+SEGMENTS_CTE = """, segments AS (
+  SELECT session_id, lo AS frame_lo, least(lo + 15, m) AS frame_hi
+  FROM (SELECT session_id, max(frame) AS m, unnest(range(5, max(frame) + 1, 25)) AS lo FROM sig GROUP BY session_id)
 )"""
