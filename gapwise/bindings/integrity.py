@@ -616,6 +616,42 @@ def read_csv_records(v: Views):
                        "gear", "speed_raw", "quality_hint", "s_reasons")
 
 
+@register(
+    "read_legacy_records",
+    SIG + """
+--
+SELECT session_id, frame, time_s AS time, value AS speed, gear,
+       CASE WHEN session_id % 3 = 1 THEN NULL ELSE v END AS brake,
+       CASE WHEN session_id % 3 = 1 THEN '' WHEN q = 'observed' THEN '' ELSE 's:' || q END AS quality_hint,
+       CASE WHEN session_id % 3 = 2 THEN k END AS s_fused
+FROM sig""",
+    "time speed brake s_fused",
+)
+def read_legacy_records(v: Views):
+    """Files of three headers side by side: with a hint after the legacy columns, without brake, in another order."""
+    q = F.when(F.col("q") == "observed", "").otherwise(F.concat(F.lit("s:"), F.col("q")))
+    columns = {
+        "frame": F.col("frame"), "time": F.col("time_s"), "speed": F.col("value"), "gear": F.col("gear"),
+        "brake": F.col("v"), "quality_hint": q, "s_fused": F.col("k"), "session_id": F.col("session_id"),
+        "unknown_column": F.lit("x"),
+    }
+    rest = [n for n in tables.LEGACY_COLUMNS if n not in columns]
+    forms = (
+        ["session_id", *tables.LEGACY_COLUMNS, "quality_hint"],
+        ["session_id", *(n for n in tables.LEGACY_COLUMNS if n != "brake")],
+        ["unknown_column", "quality_hint", "s_fused", *reversed(tables.LEGACY_COLUMNS), "session_id"],
+    )
+    path = scratch(v, "legacy")
+    for n, names in enumerate(forms):
+        blank = F.lit(None).cast("string")
+        rows = v.sig.filter(F.col("session_id") % 3 == n)
+        rows = rows.select(*[(blank if c in rest else columns[c]).alias(c) for c in names])
+        tables.write_session(rows, f"{path}/form={n}", form="csv", by=())
+    back = tables.read_csv_records(v.spark, f"{path}/*")
+    return back.select(F.col("session_id").cast("long").alias("session_id"), "frame", "time", "speed", "gear",
+                       "brake", "quality_hint", "s_fused")
+
+
 @register(
     "read_samples_jsonl",
     SIG + """
@@ -644,6 +680,13 @@ SELECT CAST(session_id AS VARCHAR) AS session_id, frame, time_s, field, value, q
     "time_s value",
 )
 def read_observations_jsonl(v: Views):
+    path = scratch(v, "observations")
+    tables.write_session(observation_lines(v), path, form="json", by=())
+    rows = tables.read_observations_jsonl(v.spark, path)
+    return rows.select("session_id", "frame", "time_s", "field", "value", "quality")
+
+
+def observation_lines(v: Views):
     def one(value, quality):
         return F.struct(
             value.cast("double").alias("value"), quality.alias("quality"),
@@ -656,14 +699,54 @@ def read_observations_jsonl(v: Views):
         F.lit("brake"), one(F.col("v"), F.col("q")),
         F.lit("throttle"), one(F.col("k"), F.lit("observed")),
     )
-    lines = sample_lines(v).drop("sample", "event_id").join(
+    return sample_lines(v).drop("sample", "event_id").join(
         v.sig.select(F.col("session_id").cast("string").alias("source_id"), "frame",
                      both.alias("observations")), ["source_id", "frame"],
+    )
+
+
+@register(
+    "check_observation_lines",
+    SIG + """, kept AS (SELECT * FROM sig WHERE NOT (session_id % 5 = 0 AND event_id % 31 = 0)
+), r AS (
+  SELECT session_id, 'observation_quality' AS rule, CAST(frame AS VARCHAR) AS key FROM kept WHERE event_id % 23 = 0
+  UNION ALL SELECT session_id, 'observation_reasons', CAST(frame AS VARCHAR) FROM kept WHERE event_id % 27 = 0
+  UNION ALL SELECT session_id, 'source_time', CAST(frame AS VARCHAR) FROM kept WHERE event_id % 21 = 0
+  UNION ALL SELECT session_id, 'foreign_envelope', CAST(frame AS VARCHAR) FROM kept WHERE event_id % 33 = 0
+  UNION ALL SELECT session_id, 'misaligned_rows', CAST(frame AS VARCHAR) FROM sig WHERE session_id % 5 = 0 AND event_id % 31 = 0
+  UNION ALL SELECT session_id, 'row_count', 'rows' FROM sig GROUP BY session_id
+   HAVING session_id % 7 = 3 OR (session_id % 5 = 0 AND count(*) FILTER (WHERE event_id % 31 = 0) > 0)
+)
+--
+SELECT CAST(session_id AS VARCHAR) AS session_id, rule, key FROM r""",
+)
+def check_observation_lines(v: Views):
+    """Observation lines against their manifest, and the rows of samples and observations against each other."""
+    source = F.col("session_id").cast("string")
+    marks = v.sig.select(source.alias("source_id"), "frame", "event_id")
+    e, n = F.col("event_id"), F.col("source_id").cast("long")
+    fused, told = F.create_map(F.lit("brake"), F.lit("fused")), F.create_map(F.lit("brake"), F.array(F.lit("x")))
+    flags = {name: F.transform_values("observations", lambda _, o: o[name]) for name in ("quality", "reasons")}
+    lines = observation_lines(v).join(marks, ["source_id", "frame"]).filter(~((n % 5 == 0) & (e % 31 == 0)))
+    lines = lines.withColumns(
+        {
+            "field_quality": F.when(e % 23 == 0, fused).otherwise(flags["quality"]),
+            "field_reasons": F.when(e % 27 == 0, told).otherwise(flags["reasons"]),
+            "source_time_s": F.when(e % 21 == 0, F.col("source_time_s") + 1).otherwise(F.col("source_time_s")),
+            "profile": F.when(e % 33 == 0, "other").otherwise(F.col("profile")),
+            "session_id": F.col("source_id"),
+        }
+    )
+    counts = v.sig.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+    manifest = counts.select(
+        source.alias("session_id"), source.alias("source_id"), F.lit(tables.SCHEMA_VERSION).alias("schema_version"),
+        F.sha2(source, 256).alias("source_sha256"), F.lit("profile").alias("profile"), F.lit(5.0).alias("start_s"),
+        (F.col("n") + (F.col("session_id") % 7 == 3).cast("int")).alias("frame_count"),
     )
-    path = scratch(v, "observations")
-    tables.write_session(lines, path, form="json", by=())
-    rows = tables.read_observations_jsonl(v.spark, path)
-    return rows.select("session_id", "frame", "time_s", "field", "value", "quality")
+    key = ("session_id",)
+    samples = v.sig.select(source.alias("session_id"), "frame", "time_s")
+    found = checks.check_observation_envelope(lines, key, manifest)
+    return found.unionByName(checks.check_row_counts(samples, lines, manifest, key))
 
 
 def _manifests(v: Views):
@@ -735,6 +818,48 @@ def read_annotations(v: Views):
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
+@register(
+    "read_annotation_values",
+    SIG + """, p AS (
+  SELECT session_id, event_id, 'p' || event_id AS id, frame FROM sig WHERE event_type = 'purchase'
+)
+--
+SELECT CAST(session_id AS VARCHAR) AS session_id, id, CASE WHEN event_id % 2 = 0 THEN 'l' || event_id % 3 END AS landmark_id,
+       CASE WHEN event_id % 3 = 0 THEN event_id % 5.0 END AS threshold_pct, event_id % 7 = 0 AS eligible,
+       frame AS frame_lo, 4 AS segment_lo, session_id % 2 = 0 AS complete
+FROM p""",
+    "threshold_pct",
+)
+def read_annotation_values(v: Views):
+    """Optional fields of passages, target segments and lap reviews, read back from documents by value."""
+    e = F.col("event_id")
+    passage = F.struct(
+        F.concat(F.lit("p"), e).alias("id"), F.lit("landmark").alias("kind"), F.col("frame").alias("frame_lo"),
+        F.col("frame").alias("frame_hi"), F.when(e % 2 == 0, F.concat(F.lit("l"), e % 3)).alias("landmark_id"),
+        F.when(e % 3 == 0, (e % 5).cast("double")).alias("threshold_pct"),
+        (e % 7 == 0).alias("eligible_for_5pct_crossing_latency"),
+    )
+    # A document holds the reviewed part of one session, far fewer rows than its samples.
+    documents = v.sig.filter(F.col("event_type") == "purchase").groupBy("session_id").agg(F.collect_list(passage).alias("passages"))
+    segment = F.struct(F.lit(4).cast("long").alias("frame_lo"), F.lit(9).cast("long").alias("frame_hi"))
+    review = F.struct(
+        F.lit(True).alias("reviewed"), (F.col("session_id") % 2 == 0).alias("complete_real_and_suspect_transitions"),
+        F.lit(0).cast("long").alias("frame_lo"),
+    )
+    documents = documents.select(
+        F.col("session_id").cast("string").alias("source_sha256"), "passages",
+        F.array(segment).alias("evaluation_segments"), review.alias("lap_review"),
+    )
+    path = scratch(v, "documents")
+    tables.write_session(documents, path, form="json", by=())
+    back = tables.read_annotations(v.spark, path)
+    segments = back["evaluation_segments"].select("session_id", F.col("frame_lo").alias("segment_lo"))
+    laps = back["lap_review"].select("session_id", F.col("complete_real_and_suspect_transitions").alias("complete"))
+    rows = back["passages"].join(segments, "session_id").join(laps, "session_id")
+    return rows.select("session_id", "id", "landmark_id", "threshold_pct", F.col("eligible_for_5pct_crossing_latency").alias("eligible"),
+                       "frame_lo", "segment_lo", "complete")
+
+
 @register(
     "write_session",
     SIG + "\n--\nSELECT session_id, frame, time_s, v, q FROM sig",

@@ -181,31 +181,66 @@ def _entries(column: str) -> Column:
     return F.sort_array(F.map_entries(F.col(column)))
 
 
-def check_envelope(lines: DataFrame, keys: tuple[str, ...], manifest: DataFrame) -> DataFrame:
-    """Envelope and inner sample agree with each other and with the manifest."""
+def _against_manifest(lines: DataFrame, keys: tuple[str, ...], manifest: DataFrame) -> tuple[DataFrame, dict]:
+    """Lines beside their manifest, and the rules that every kind of line has to keep."""
     m = manifest.select(
         *keys,
         *[F.col(c).alias(f"_m_{c}") for c in ("schema_version", "source_id", "source_sha256",
                                               "profile", "start_s")],
     )
     rows = lines.join(m, list(keys), "left")
+    foreign = F.lit(False)
+    for c in ("schema_version", "source_id", "source_sha256", "profile"):
+        foreign = foreign | _differs(F.col(c), F.col(f"_m_{c}"))
+    expected = F.col("_m_start_s") + F.col("time_s")
+    return rows, {"foreign_envelope": foreign, "source_time": _differs(F.col("source_time_s"), expected)}
 
-    def differs(a: Column, b: Column) -> Column:
-        return ~a.eqNullSafe(b)
 
-    same = ("schema_version", "source_id", "source_sha256", "profile")
-    foreign = F.lit(False)
-    for c in same:
-        foreign = foreign | differs(F.col(c), F.col(f"_m_{c}"))
-    rules = {
-        "foreign_envelope": foreign,
-        "source_time": differs(F.col("source_time_s"), F.col("_m_start_s") + F.col("time_s")),
-        "frame": differs(F.col("frame"), F.col("sample.frame")),
-        "time": differs(F.col("time_s"), F.col("sample.time_s")),
-        "quality": differs(_entries("field_quality"), _entries("sample.field_quality")),
-        "reasons": differs(_entries("field_reasons"), _entries("sample.field_reasons")),
+def _differs(a: Column, b: Column) -> Column:
+    return ~a.eqNullSafe(b)
+
+
+def check_envelope(lines: DataFrame, keys: tuple[str, ...], manifest: DataFrame) -> DataFrame:
+    """Envelope and inner sample agree with each other and with the manifest."""
+    rows, rules = _against_manifest(lines, keys, manifest)
+    inner = {
+        "frame": _differs(F.col("frame"), F.col("sample.frame")),
+        "time": _differs(F.col("time_s"), F.col("sample.time_s")),
+        "quality": _differs(_entries("field_quality"), _entries("sample.field_quality")),
+        "reasons": _differs(_entries("field_reasons"), _entries("sample.field_reasons")),
     }
-    return _report(rows, keys, F.col("frame"), rules)
+    return _report(rows, keys, F.col("frame"), rules | inner)
+
+
+def check_observation_envelope(lines: DataFrame, keys: tuple[str, ...], manifest: DataFrame) -> DataFrame:
+    """Flags and reasons of an observation line are those of its observations."""
+    rows, rules = _against_manifest(lines, keys, manifest)
+
+    def inner(name: str) -> Column:
+        return F.array_sort(F.map_entries(F.transform_values("observations", lambda _, o: o[name])))
+
+    own = {
+        "observation_quality": _differs(_entries("field_quality"), inner("quality")),
+        "observation_reasons": _differs(_entries("field_reasons"), inner("reasons")),
+    }
+    return _report(rows, keys, F.col("frame"), rules | own)
+
+
+def check_row_counts(samples: DataFrame, observations: DataFrame, manifest: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """As many samples as observations as the manifest says, each at the frame and time of the other.
+
+    Partial counts per frame and side, so neither side meets the other row by row.
+    """
+    sides = [t.select(*keys, "frame", "time_s", F.lit(n).alias("_side")) for n, t in enumerate((samples, observations))]
+    both = sides[0].unionByName(sides[1])
+    frames = both.groupBy(*keys, "frame", "time_s").agg(
+        F.count_if(F.col("_side") == 0).alias("s"), F.count_if(F.col("_side") == 1).alias("o")
+    )
+    alone = _report(frames, keys, F.col("frame"), {"misaligned_rows": F.col("s") != F.col("o")})
+    counts = frames.groupBy(*keys).agg(F.sum("s").alias("s"), F.sum("o").alias("o"))
+    rows = manifest.select(*keys, "frame_count").join(counts, list(keys), "left").na.fill(0, ["s", "o"])
+    wrong = (F.col("s") != F.col("o")) | _differs(F.col("s"), F.col("frame_count"))
+    return alone.unionByName(_report(rows, keys, F.lit("rows"), {"row_count": wrong}))
 
 
 def check_hashes(files: DataFrame, manifest: DataFrame, key: str, payload: str) -> DataFrame:

@@ -41,9 +41,15 @@ ANNOTATIONS = (
     "lap_text:string,throttle_pct:double,brake_pct:double,pedal_tolerance_pct:double,"
     "visibility:map<string,boolean>,degraded:boolean,reviewed:boolean>>, "
     "passages array<struct<id:string,kind:string,event_type:string,field:string,"
-    "frame_lo:bigint,frame_hi:bigint,reviewed:boolean>>, "
+    "frame_lo:bigint,frame_hi:bigint,reviewed:boolean,landmark_id:string,event_window_id:string,"
+    "eligible_for_5pct_crossing_latency:boolean,exclusion_reason:string,"
+    "threshold_crossing_reviewed:boolean,threshold_pct:double,physical_landmark_reviewed:boolean,"
+    "reference:string,definition:string>>, "
     "windows array<struct<frame_lo:bigint,frame_hi:bigint>>, "
-    "visibility array<struct<field:string,start_s:double,end_s:double,reviewer:string>>"
+    "visibility array<struct<field:string,start_s:double,end_s:double,reviewer:string>>, "
+    "evaluation_segments array<struct<frame_lo:bigint,frame_hi:bigint>>, "
+    "lap_review struct<reviewed:boolean,complete_real_and_suspect_transitions:boolean,"
+    "frame_lo:bigint,frame_hi:bigint>"
 )
 
 # Columns of the flat record that stay literal text.
