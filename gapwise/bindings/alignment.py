@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from gapwise.bindings.distance import LENGTH, ODO, odo
 from gapwise.bindings.registry import register
 from gapwise.bindings.views import (
-    BOUNDARIES, FILL_GAP, GRID_STEP, POSITION_GAP, SIG, TIME_GAP, Views,
+    BOUNDARIES, FILL_GAP, GRID_STEP, LABEL_COUNT, POSITION_GAP, SIG, TIME_GAP, Views,
 )
 from gapwise.operators import align, fusion, geometry, joins
 from gapwise.ordered import Axis, plan_axis
@@ -598,11 +598,36 @@ def recover_anchor(v: Views):
     return fusion.recover_anchors(sides, KEY, ANCHORS)
 
 
+CHOSEN = (0, 1, 3)
+
+
+@register(
+    "compare_chosen_laps",
+    DELTA + f"""
+--
+SELECT session_id, lap_a, lap_b, position, delta_s, speed_a, speed_b FROM lap_pairs
+WHERE lap_a IN {CHOSEN} AND lap_b IN {CHOSEN} AND lap_a < lap_b""",
+    "position delta_s speed_a speed_b",
+)
+def compare_chosen_laps(v: Views):
+    """All pairs of three chosen laps; no other lap is resampled."""
+    laps = marked_laps(v)
+    rows = jobs.compare_laps_by_position(
+        laps, v.axis, joins.chosen_pairs(v.laps, KEY, list(CHOSEN)), step=GRID_STEP,
+        max_position_gap=POSITION_GAP, max_time_gap=TIME_GAP, channels=CHANNELS, chosen=True,
+        start_times=align.confirmed_starts(laps, KEY, "s_reasons"),
+    )
+    return rows.select("session_id", "lap_a", "lap_b", "position", "delta_s", "speed_a", "speed_b")
+
+
 @register("progress_job")
 def progress_job(v: Views):
-    """No SQL twin: the chain of choices is recursive over lists of projections."""
-    return jobs.progress_job(
-        v.sig, v.boundaries, ring_points(v), ring(v), v.axis, speed="value", quality="q",
+    """No SQL twin: the chain of choices is recursive over lists of projections.
+
+    Labels are confirmed and the length is calibrated first, then vision and odometry are fused.
+    """
+    return jobs.diagnosed_progress(
+        v.sig, ring_points(v), ring(v), v.axis, label="raw_lap", count=LABEL_COUNT, speed="value", quality="q",
         max_gap=FILL_GAP, max_missing=0.8, max_deviation=0.4, max_distance=MAX_DISTANCE,
         fusion_settings=FUSION,
         selection=fusion.SelectionSettings(
@@ -610,6 +635,6 @@ def progress_job(v: Views):
         ),
         anchors=ANCHORS,
         default_length=v.sessions.select("session_id", F.lit(LENGTH).alias("length")),
-    )
+    )["progress"]
 
 

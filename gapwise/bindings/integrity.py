@@ -898,18 +898,76 @@ def lap_report(v: Views):
     return found["events"].select("session_id", "lap_number", "type", "frame", "zone_id")
 
 
-@register("lap_report_events")
-def lap_report_events(v: Views):
-    """No SQL twin beyond ``hysteresis_events``: the same rule with the lap as one more key."""
-    found = jobs.lap_report(
+# The events rule with the lap as one more key: a lap's rows under a key of their own.
+LAP_KEY = """, keyed AS (
+  SELECT l.* REPLACE (l.session_id * 1000 + b.lap_number AS session_id) FROM sig l JOIN bounded b
+   ON l.session_id = b.session_id AND l.frame >= b.start_frame AND l.frame < b.end_frame
+)"""
+
+
+def _report(v: Views):
+    return jobs.lap_report(
         v.sig, bounded(v), v.zones, v.axis, controls=[BRAKE, THROTTLE], steps=[GEAR],
         settings=SETTINGS, frame_time=FRAME_TIME,
     )
-    return found["events"].select(
+
+
+@register(
+    "lap_report_events",
+    BOUNDED + ZONES_CTE + LAP_KEY
+    + events_sql("v", BRAKE_OK, "brake", False).replace("FROM sig\n", "FROM keyed\n")
+    + events_sql("k", THROTTLE_OK, "throttle", False).replace("FROM sig\n", "FROM keyed\n") + """, every AS (
+  SELECT session_id, type, frame, time_s FROM brake_events
+  UNION ALL SELECT session_id, type, frame, time_s FROM throttle_events
+  UNION ALL SELECT session_id, 'gear_change', frame, time_s FROM (
+    SELECT *, lag(gear) OVER w AS pg, lag(time_s) OVER w AS pt FROM keyed WINDOW w AS (PARTITION BY session_id ORDER BY frame))
+  WHERE gear <> pg AND time_s - pt > 0 AND time_s - pt <= 24 + 1e-12
+)
+--
+SELECT e.session_id // 1000 AS session_id, e.session_id % 1000 AS lap_number, type || '-' || frame AS id, type, frame, time_s,
+       z.id AS zone_id
+FROM every e LEFT JOIN zones z ON z.session_id = e.session_id // 1000 AND e.frame >= z.start_frame AND e.frame < z.end_frame""",
+    "time_s",
+)
+def lap_report_events(v: Views):
+    return _report(v)["events"].select(
         "session_id", "lap_number", "id", "type", "frame", "time_s", "zone_id"
     )
 
 
+@register(
+    "lap_report_missing",
+    BOUNDED + LAP_KEY + """, f AS (
+  SELECT session_id, frame, time_s, 'brake' AS field, q = 'observed' AND v IS NOT NULL AS ok FROM keyed
+  UNION ALL SELECT session_id, frame, time_s, 'throttle', k IS NOT NULL FROM keyed
+  UNION ALL SELECT session_id, frame, time_s, 'gear', gear IS NOT NULL FROM keyed
+), g AS (
+  SELECT *, row_number() OVER (PARTITION BY session_id, field ORDER BY frame)
+          - row_number() OVER (PARTITION BY session_id, field, ok ORDER BY frame) AS island FROM f
+)
+--
+SELECT session_id // 1000 AS session_id, session_id % 1000 AS lap_number, field, min(frame) AS start_frame,
+       max(frame) + 1 AS end_frame_exclusive, min(time_s) AS start_time_s, max(time_s) + 1.0 AS end_time_s, count(*) AS frames
+FROM g WHERE NOT ok GROUP BY session_id, field, island""",
+    "start_time_s end_time_s",
+)
+def lap_report_missing(v: Views):
+    return _report(v)["missing"]
+
+
+@register(
+    "lap_report_available",
+    BOUNDED + LAP_KEY + """
+--
+SELECT session_id // 1000 AS session_id, session_id % 1000 AS lap_number, count(*) AS frames, count(v) AS brake_present,
+       count(*) FILTER (WHERE q = 'observed' AND v IS NOT NULL) AS brake_fresh, count(k) AS throttle_present,
+       count(k) AS throttle_fresh, count(gear) AS gear_present, count(gear) AS gear_fresh
+FROM keyed GROUP BY session_id""",
+)
+def lap_report_available(v: Views):
+    return _report(v)["available"]
+
+
 @register(
     "case_summary",
     CASE + """

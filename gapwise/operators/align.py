@@ -35,7 +35,21 @@ def accepted_position(
     return F.coalesce(plain | derived, F.lit(False)) & ~refused
 
 
-def resample_on_grid(
+def resample_on_grid(df: DataFrame, axis: Axis, *, channels: dict[str, tuple[str, str | None]], **limits) -> DataFrame:
+    """One row per (lap, grid position, channel) with value, quality and run number: ``resample_wide`` in long form."""
+    wide = resample_wide(df, axis, channels=channels, **limits)
+    parts = [
+        F.struct(
+            F.lit(n).alias("channel"), F.col(n).alias("value"), F.col(f"{n}_quality").alias("quality"), F.col(f"{n}_run").alias("run")
+        )
+        for n in channels
+    ]
+    lap = (*axis.keys, "lap_number")
+    long = wide.select(*lap, "k", "position", "lap_start_time_s", F.inline(F.array(*parts)))
+    return long.select(*lap, "channel", "k", "position", "value", "quality", "run", "lap_start_time_s")
+
+
+def resample_wide(
     df: DataFrame,
     axis: Axis,
     *,
@@ -47,7 +61,7 @@ def resample_on_grid(
     start_times: DataFrame | None = None,
     strict: bool = False,
 ) -> DataFrame:
-    """One row per (lap, grid position, channel) with value, quality and run number.
+    """One row per (lap, grid position) with value, ``_quality`` and ``_run`` of every channel.
 
     ``channels`` maps a name to its value column and its quality column (``None``: the
     channel needs no flag).  A position that repeats inside the lap counts nowhere;
@@ -110,61 +124,39 @@ def resample_on_grid(
     reach = F.when(F.col("_linked"), F.col("_p.s")).otherwise(F.col("s"))
     low = F.greatest(F.floor(reach / step) - 1, F.lit(0)).cast("long")
     high = (F.ceil(F.col("s") / step) + 1).cast("long")
-    parts = F.array(
-        *[
-            F.struct(
-                F.lit(n).alias("channel"),
-                F.col(f"_g_{n}").alias("good"),
-                F.col(f"_j_{n}").alias("joined"),
-                (F.col(f"_run_{n}") - 1).alias("run"),
-                values[n].alias("value"),
-                F.col(f"_p.v_{n}").alias("before"),
-                quality[n].alias("flag"),
-            )
-            for n in channels
-        ]
-    )
     last = int(math.floor(1 / step + 1e-9))
     t = F.col("k") * step
     hits = rows.filter(F.col("_fits")).select(
-        *lap, "s", "_p", F.explode(F.sequence(low, F.least(high, F.lit(last)))).alias("k"),
-        parts.alias("_parts"),
+        "*", F.explode(F.sequence(low, F.least(high, F.lit(last)))).alias("k")
     )
     near = (t == F.col("s")) | ((t > F.col("_p.s")) & (t < F.col("s")))
-    hits = hits.filter(F.coalesce(near, F.lit(False))).select(
-        *lap, "s", F.col("_p.s").alias("_ps"), "k", F.inline("_parts")
-    )
+    hits = hits.filter(F.coalesce(near, F.lit(False)))
     exact = t == F.col("s")
-    hits = hits.filter(F.col("good") & (exact | F.col("joined")))
-    share = (t - F.col("_ps")) / (F.col("s") - F.col("_ps"))
-    between = F.col("before") + share * (F.col("value") - F.col("before"))
-    claims = hits.groupBy(*lap, "channel", "k").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max(F.when(exact, F.col("value")).otherwise(between)).alias("value"),
-        F.max(F.when(exact, F.col("flag")).otherwise("interpolated")).alias("quality"),
-        F.max("run").alias("run"),
-    )
-    names = F.array(*[F.lit(n) for n in channels])
+    share = (t - F.col("_p.s")) / (F.col("s") - F.col("_p.s"))
+    claims = []
+    for n in channels:
+        claim = F.col(f"_g_{n}") & (exact | F.col(f"_j_{n}"))
+        between = F.col(f"_p.v_{n}") + share * (values[n] - F.col(f"_p.v_{n}"))
+        claims += [
+            F.count_if(claim).alias(f"_n_{n}"),
+            F.max(F.when(claim, F.when(exact, values[n]).otherwise(between))).alias(f"_v_{n}"),
+            F.max(F.when(claim, F.when(exact, quality[n]).otherwise("interpolated"))).alias(f"_q_{n}"),
+            F.max(F.when(claim, F.col(f"_run_{n}") - 1)).alias(f"_r_{n}"),
+        ]
+    claimed = hits.groupBy(*lap, "k").agg(*claims)
     grid = rows.select(*lap).distinct().select(
-        *lap,
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))).alias("k"),
-        names.alias("_names"),
-    )
-    grid = grid.select(*lap, "k", F.explode("_names").alias("channel"))
-    out = grid.join(claims, [*lap, "channel", "k"], "left")
-    single = F.col("n") == 1
-    out = out.select(
-        *lap,
-        "channel",
-        "k",
-        (t * 100).alias("position"),
-        F.when(single, F.col("value")).alias("value"),
-        F.when(single, F.col("quality"))
-        .when(F.col("n") > 1, "ambiguous")
-        .otherwise("missing")
-        .alias("quality"),
-        F.when(single, F.col("run")).otherwise(F.lit(-1)).alias("run"),
+        *lap, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))).alias("k")
     )
+    out = grid.join(claimed, [*lap, "k"], "left")
+    columns = []
+    for n in channels:
+        single = F.col(f"_n_{n}") == 1
+        columns += [
+            F.when(single, F.col(f"_v_{n}")).alias(n),
+            F.when(single, F.col(f"_q_{n}")).when(F.col(f"_n_{n}") > 1, "ambiguous").otherwise("missing").alias(f"{n}_quality"),
+            F.when(single, F.col(f"_r_{n}")).otherwise(F.lit(-1)).alias(f"{n}_run"),
+        ]
+    out = out.select(*lap, "k", (t * 100).alias("position"), *columns)
     if start_times is None:
         return out.withColumn("lap_start_time_s", F.lit(None).cast("double"))
     return out.join(start_times, list(lap), "left")

@@ -390,14 +390,19 @@ def diagnosed_progress(
 
 def compare_laps_by_position(
     laps: DataFrame, axis: Axis, pairs: DataFrame, *, step: float, max_position_gap: float,
-    max_time_gap: float, channels: dict, start_times: DataFrame | None = None,
+    max_time_gap: float, channels: dict, start_times: DataFrame | None = None, chosen: bool = False,
 ) -> DataFrame:
-    """Channels and time lost for pairs of laps on one position grid."""
-    long = align.resample_on_grid(
+    """Channels and time lost for pairs of laps on one position grid.
+
+    With ``chosen`` the pairs name few of the laps, and only those are resampled.
+    """
+    if chosen:
+        sides = [pairs.select(*axis.keys, F.col(c).alias("lap_number")) for c in ("lap_a", "lap_b")]
+        laps = laps.join(sides[0].unionByName(sides[1]).distinct(), [*axis.keys, "lap_number"], "left_semi")
+    wide = align.resample_wide(
         laps, axis, step=step, max_position_gap=max_position_gap, max_time_gap=max_time_gap,
         channels=channels, start_times=start_times,
     )
-    wide = align.grid_wide(long, axis.keys, list(channels))
     return joins.time_deltas(wide, pairs, axis.keys)
 
 

@@ -15,6 +15,8 @@ CHECKED = (
     "checkpoint_spread", "unique_event_in_window", "resample_on_grid", "time_delta",
     "project_points", "path_position", "select_projection", "fuse_progress", "nearest_gated",
     "check_intervals", "check_partition", "check_case", "read_samples_jsonl", "stream_events",
+    "evaluate_session", "evaluate_session_checks", "progress_diagnosis", "read_legacy_records",
+    "check_observation_lines", "read_annotation_values", "compare_chosen_laps", "lap_report_events",
 )
 CHUNKED = (
     "control_episodes", "confirm_labels", "integrate", "resample_on_grid", "fuse_progress",
