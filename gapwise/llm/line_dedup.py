@@ -70,7 +70,9 @@ DOC = ("id", "u1", "u2")
 def word_lines(docs: DataFrame, *, key: str, text: str) -> DataFrame:
     """``id``, ``u1``, ``u2``, ``line_no`` from 0, ``line`` and its hash ``h1``, ``h2``, of all lines with a word."""
     u1, u2 = document_hash(key, text)
-    lines = docs.select(F.col(key).alias("id"), u1.alias("u1"), u2.alias("u2"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
+    # The hashes of a document come before its lines, or every line would hash the whole text.
+    named = docs.select(F.col(key).alias("id"), u1.alias("u1"), u2.alias("u2"), F.col(text).alias("text"))
+    lines = named.select(*DOC, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     return lines.where(F.col("line").rlike(WORD)).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 

@@ -147,9 +147,16 @@ def _met(rows: pa.Table, edges: list[int], hashes_of: HashesOf, exact: Exact | N
     payloads = rows.column("payload").to_pylist()
     # Counting every element whose hash is known never shows less than the overlap, and distinct hashes
     # are never more than the elements; so no link is missed.
-    hashes = [hashes_of(p) for p in payloads]
-    counts = np.array([len(h) for h in hashes])
-    sizes = np.array([len(np.unique(h)) for h in hashes])
+    hashes: dict[int, np.ndarray] = {}
+    counts, sizes = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+
+    def hashed(x: int) -> np.ndarray:
+        """Hashes of a row that meets any other; most rows of a bucket have met before in another."""
+        if x not in hashes:
+            hashes[x] = hashes_of(payloads[x])
+            counts[x], sizes[x] = len(hashes[x]), len(np.unique(hashes[x]))
+        return hashes[x]
+
     known = np.zeros(1 << 16, bool)
     pairs: list[tuple[int, int]] = []
     joined: dict[int, int] = {}
@@ -165,29 +172,25 @@ def _met(rows: pa.Table, edges: list[int], hashes_of: HashesOf, exact: Exact | N
         right = place[~visits[start:stop]]
         if not len(right):
             continue
-        together = np.concatenate([hashes[y] for y in right.tolist()])
-        ends = np.cumsum(counts[right])
         for x in place[visits[start:stop]].tolist():
-            # Two of the few meet once, and no pair whose sizes alone rule a link out is looked at.
-            near = (roots[right] != roots[x]) & ~(minor[right] & (ids[right] >= ids[x]))
-            near &= (100 * counts[right] >= percent * sizes[x]) & (100 * counts[x] >= percent * sizes[right])
-            at = np.flatnonzero(near)
-            if len(at):
-                # A pair is looked at in the first bucket that it shares.
-                others = bands[right[at]]
-                at = at[bands[x][(others == bands[x]).argmax(1)] == buckets[start]]
-            if not len(at):
+            # Two of the few meet once, and a pair is looked at in the first bucket that it shares.
+            near = right[(roots[right] != roots[x]) & ~(minor[right] & (ids[right] >= ids[x]))]
+            if len(near):
+                near = near[bands[x][(bands[near] == bands[x]).argmax(1)] == buckets[start]]
+            if not len(near):
                 continue
-            known[hashes[x]] = True
+            together = np.concatenate([hashed(y) for y in near.tolist()])
+            own, ends = hashed(x), np.cumsum(counts[near])
+            known[own] = True
             hit = np.concatenate(([0], np.cumsum(known[together])))
-            known[hashes[x]] = False
-            shared = np.minimum(np.minimum(hit[ends[at]] - hit[ends[at] - counts[right[at]]], counts[x]), counts[right[at]])
-            at = at[100 * shared >= percent * (sizes[x] + sizes[right[at]] - shared)]
-            for y in right[at].tolist():
+            known[own] = False
+            shared = np.minimum(np.minimum(hit[ends] - hit[ends - counts[near]], counts[x]), counts[near])
+            for y in near[100 * shared >= percent * (sizes[x] + sizes[near] - shared)].tolist():
                 if exact:
                     if root(int(roots[x])) == root(int(roots[y])) or not exact(payloads[x], payloads[y]):
                         continue
                     joined[root(int(roots[x]))] = root(int(roots[y]))
                 pairs.append((max(ids[x], ids[y]), min(ids[x], ids[y])))
+        hashes.clear()
     a, b = zip(*pairs, strict=True) if pairs else ((), ())
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
