@@ -129,29 +129,77 @@ def resample_closed_path(
 
 
 DECISIVE_PERCENT = 0.02
-RING_BLOCK = 4096
+#: Vertices of a leaf, and children of a box, in the tree over a ring.
+RING_BLOCK = 64
+
+
+def _level(width: int) -> Column:
+    return F.floor(F.col("idx") / width).cast("long")
+
+
+def _box_levels(segs: DataFrame, levels: int) -> list[DataFrame]:
+    """Boxes around runs of a ring from the top level down: per parent ``_at`` the array ``_boxes``."""
+    boxes = segs.groupBy("track_id", _level(RING_BLOCK).alias("_b")).agg(
+        *(f(c).alias(f"{c}{n}") for c in ("x", "y") for n, f in enumerate((F.min, F.max)))
+    )
+    found, box = [], F.struct(F.col("_b").alias("b"), "x0", "x1", "y0", "y1")
+    for level in range(1, levels + 1):
+        parent = F.floor(F.col("_b") / RING_BLOCK).cast("long") if level < levels else F.lit(0).cast("long")
+        by = ["track_id", "_at"]
+        found.append(boxes.withColumn("_at", parent).groupBy(*by).agg(F.collect_list(box).alias("_boxes")))
+        boxes = boxes.groupBy("track_id", parent.alias("_b")).agg(
+            *(f(f"{c}{n}").alias(f"{c}{n}") for c in ("x", "y") for n, f in enumerate((F.min, F.max)))
+        )
+    return found[::-1]
+
+
+def _reach(box: Column) -> Column:
+    """Least and largest squared distance of the point to any vertex inside a box.
+
+    Both are rounded as the distance to a vertex is, so they bound it to the last bit.
+    """
+    x, y, zero = F.col("x"), F.col("y"), F.lit(0.0)
+    near = [F.greatest(box[f"{n}0"] - v, v - box[f"{n}1"], zero) for n, v in (("x", x), ("y", y))]
+    far = [F.greatest(F.abs(v - box[f"{n}0"]), F.abs(v - box[f"{n}1"])) for n, v in (("x", x), ("y", y))]
+    low, high = (a * a + b * b for a, b in (near, far))
+    return F.struct(F.nanvl(low, zero).alias("low"), high.alias("high"), box["b"].alias("b"))
 
 
 def nearest_vertex(points: DataFrame, vertices: DataFrame) -> DataFrame:
     """Points with the index and arc of the nearest vertex, the first one on ties.
 
-    A ring is one small array per track, joined to its points and searched in place.
-    A ring of more than ``RING_BLOCK`` vertices is cut into several arrays; a point then
-    meets each of them and keeps the best.
+    A ring of up to ``RING_BLOCK`` vertices is one array per track, searched in place.  A larger
+    one is a tree of boxes around runs of vertices: level by level a point goes on into those
+    boxes only that can hold a vertex as near as the best box's farthest corner, so it looks at
+    some leaves and never at the whole ring.
     """
     segs = segments(vertices)
-    item = F.struct("idx", "x", "y", "start_arc")
-    block = F.floor(F.col("idx") / RING_BLOCK)
-    rings = segs.groupBy("track_id", block.alias("_block")).agg(
-        F.array_sort(F.collect_list(item)).alias("_ring"), F.max("total").alias("ring_length")
-    )
-    largest, vertices_in_all = segs.agg(F.max(block), F.count(F.lit(1))).first()
-    cut = (largest or 0) > 0
-    # A row of ``rings`` is an array, so what a broadcast would send is counted in vertices.
+    low, high, vertices_in_all = segs.agg(F.min("idx"), F.max("idx"), F.count(F.lit(1))).first()
+    levels = 0
+    while vertices_in_all and high // RING_BLOCK**levels - low // RING_BLOCK**levels >= RING_BLOCK:
+        levels += 1
+    # A row of a ring's table is an array, so what a broadcast would send is counted in vertices.
     small = vertices_in_all <= broadcast_rows(points.sparkSession)
+
+    def side(table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if small else table
+
+    segs = materialize(segs) if levels else segs
+    total = segs.groupBy("track_id").agg(F.max("total").alias("ring_length"))
+    leaf = _level(RING_BLOCK) if levels else F.lit(0).cast("long")
+    item = F.struct("idx", "x", "y", "start_arc")
+    leaves = segs.groupBy("track_id", leaf.alias("_at")).agg(F.array_sort(F.collect_list(item)).alias("_ring"))
     # Equal points stay apart: each has a number, fixed by a checkpoint.
-    named = materialize(points.withColumn("_row", F.monotonically_increasing_id())) if cut else points
-    rows = named.join(F.broadcast(rings) if small else rings, "track_id")
+    named = materialize(points.withColumn("_row", F.monotonically_increasing_id())) if levels else points
+    rows = named.join(side(total), "track_id").withColumns({"_at": F.lit(0).cast("long"), "_bound": F.lit(float("inf"))})
+    for boxes in _box_levels(segs, levels) if levels else []:
+        rows = rows.join(side(boxes), ["track_id", "_at"]).withColumn("_boxes", F.transform("_boxes", _reach))
+        bound = F.least("_bound", F.array_min(F.transform("_boxes", lambda b: b["high"])))
+        rows = rows.withColumn("_bound", bound)
+        # A comparison with a null (a point without a place) rules nothing out.
+        near = F.filter("_boxes", lambda b: F.coalesce(b["low"] <= F.col("_bound"), F.lit(True)))
+        rows = rows.withColumn("_at", F.explode(F.transform(near, lambda b: b["b"]))).drop("_boxes")
+    rows = rows.join(side(leaves), ["track_id", "_at"])
 
     def off(v: Column) -> Column:
         dx, dy = F.col("x") - v["x"], F.col("y") - v["y"]
@@ -160,10 +208,10 @@ def nearest_vertex(points: DataFrame, vertices: DataFrame) -> DataFrame:
         )
 
     rows = rows.withColumn("_v", F.array_min(F.transform("_ring", off)))
-    if cut:
+    if levels:
         point = F.struct(*points.columns)
         rows = rows.groupBy("_row").agg(
-            F.min("_v").alias("_v"), F.max("ring_length").alias("ring_length"), F.first(point).alias("_p")
+            F.min("_v").alias("_v"), F.first("ring_length").alias("ring_length"), F.first(point).alias("_p")
         ).select("_p.*", "_v", "ring_length")
     return rows.select(
         *points.columns, F.col("_v.idx").alias("vertex"), F.col("_v.arc").alias("vertex_arc"),
@@ -195,5 +243,3 @@ def path_position(points: DataFrame, vertices: DataFrame, axis: Axis, start_arc:
         .otherwise(F.col("reverse"))
     )
     return rows.withColumns({"direction": direction, "position": position}).drop("_first")
-
-

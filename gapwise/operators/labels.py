@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gapwise.ordered import Axis, Lag, Last, Tail, fold, row_number, scan
+from gapwise.ordered import Axis, Lag, Last, Sum, Tail, fold, row_number, scan
 
 
 def _yes(condition: Column) -> Column:
@@ -188,25 +188,32 @@ def rolling_majority(
 def close_labels(
     smoothed: DataFrame, axis: Axis, label: str, *, size: int = 15, share: float = 0.3
 ) -> DataFrame:
-    """End of the stream: a weaker majority may move the trailing rows one label up."""
-    valid = scan(
-        smoothed.filter(F.col(label).isNotNull()),
-        axis,
-        _tail=Tail(F.col(label).cast("long"), size),
+    """End of the stream: a weaker majority may move the trailing rows one label up.
+
+    One scan and one aggregate: trailing rows start at the last change of the smoothed label, and
+    the newest ``size`` readings are the newest of every remainder of their number by ``size``.
+    """
+    keys, reading = list(axis.keys), F.col(label).cast("long")
+    valid = reading.isNotNull()
+    rows = scan(
+        smoothed, axis, _before=Lag(F.col("smoothed_label")), _n=Sum(valid.cast("long"))
+    )
+    changed = ~F.col("smoothed_label").eqNullSafe(F.col("_before"))
+    numbered = F.struct(F.col("_n").alias("n"), reading.alias("value"))
+    newest = [F.max(F.when(valid & (F.col("_n") % size == i), numbered)) for i in range(size)]
+    ends = rows.groupBy(*keys).agg(
+        F.array_sort(F.array_compact(F.array(*newest))).alias("_tail"),
+        F.max_by("smoothed_label", "frame").alias("_last"),
+        F.max(F.when(changed, F.col("frame"))).alias("_since"),
     )
-    final = valid.groupBy(*axis.keys).agg(F.max_by("_tail", "frame").alias("_tail"))
-    final = final.select(*axis.keys, majority(F.col("_tail"), share, 1).alias("_final"))
-    last = smoothed.groupBy(*axis.keys).agg(F.max_by("smoothed_label", "frame").alias("_last"))
-    ends = last.join(final, list(axis.keys), "left")
-    rows = smoothed.join(ends, list(axis.keys), "left")
-    same = F.col("smoothed_label").eqNullSafe(F.col("_last"))
-    other = rows.groupBy(*axis.keys).agg(F.max(F.when(~same, F.col("frame"))).alias("_other"))
-    rows = rows.join(other, list(axis.keys), "left")
-    trailing = F.col("frame") > F.coalesce(F.col("_other"), F.lit(-1))
+    tail = F.transform("_tail", lambda r: r["value"])
+    ends = ends.withColumn("_final", majority(tail, share, 1)).drop("_tail")
+    rows = rows.join(ends, keys, "left")
+    trailing = F.col("_since").isNull() | (F.col("frame") >= F.col("_since"))
     moves = _yes(F.col("_final") == F.col("_last") + 1) & trailing
     return rows.withColumns(
         {
             "final_label": F.when(moves, F.col("_final")).otherwise(F.col("smoothed_label")),
             "relabelled": moves,
         }
-    ).drop("_final", "_last", "_other")
+    ).drop("_final", "_last", "_since", "_before", "_n")

@@ -283,6 +283,68 @@ def test_equal_points_stay_apart_on_a_long_ring(spark):
         assert [r.vertex for r in nearest_vertex(points, ring).orderBy("vertex").collect()] == [0, 0, round(size / 4)]
 
 
+def test_nearest_vertex_of_long_rings(spark):
+    """Three levels of boxes against every vertex, with ties, far points and points without a place."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from gapwise.operators.geometry import nearest_vertex
+
+    rng, sizes = np.random.default_rng(5), {1: 9_000, 2: 70, 3: 3}
+    ring = spark.createDataFrame(list(sizes.items()), "track_id int, size int").withColumn("id", F.explode(F.expr("sequence(0L, size - 1L)")))
+    turn = F.col("id") / F.col("size") * 6.283185307179586
+    # Rounded places, so that many vertices are equally near.
+    x, y = (F.round(g(turn) * (1 + F.sin(turn * 7) / 3), 3) for g in (F.cos, F.sin))
+    ring = ring.select("track_id", F.col("id").alias("idx"), x.alias("x"), y.alias("y"))
+    spots = [(t, i, *np.round(rng.normal(0, s, 2), 3).tolist()) for t in (*sizes, 4) for i, s in enumerate([0.1, 1, 1, 1, 9] * 12)]
+    spots += [(1, 99, 0.0, 0.0), (1, 100, None, 0.0), (2, 101, float("nan"), 1.0)]
+    points = spark.createDataFrame(spots, "track_id int, n int, x double, y double")
+    found = {(r.track_id, r.n): r.vertex for r in nearest_vertex(points, ring).collect()}
+    plain = {t: np.array([(r.x, r.y) for r in ring.where(F.col("track_id") == t).orderBy("idx").collect()]) for t in sizes}
+    for t, n, x, y in spots:
+        if t in sizes and n < 100:
+            dx, dy = x - plain[t][:, 0], y - plain[t][:, 1]
+            assert found.pop((t, n)) == (dx * dx + dy * dy).argmin()
+    assert sorted(found) == [(1, 100), (2, 101)]
+
+
+def test_closing_a_stream_of_labels(spark):
+    """The end of the stream in one scan, against a plain loop over every key."""
+    import random
+    from collections import Counter
+
+    from gapwise.operators.labels import close_labels
+    from gapwise.ordered import plan_axis
+
+    rng, rows, want = random.Random(3), [], {}
+    for key in range(60):
+        smoothed, raw, own = None, 1, []
+        for frame in range(rng.choice([1, 4, 20, 45])):
+            smoothed = rng.choice([smoothed, smoothed, raw])
+            raw = raw + 1 if rng.random() < 0.08 else raw
+            own.append((key, frame, None if rng.random() < 0.3 else raw + (rng.random() < 0.2), smoothed))
+        tail = [r[2] for r in own if r[2] is not None][-15:]
+        counts = Counter(tail)
+        final = max(counts, key=lambda v: (counts[v], -tail.index(v))) if tail else None
+        final = final if tail and counts[final] >= max(len(tail) * 0.3, 1) else None
+        start = len(own) - 1
+        while start and own[start - 1][3] == own[-1][3]:
+            start -= 1
+        moves = final is not None and own[-1][3] is not None and final == own[-1][3] + 1
+        want |= {(key, r[1]): final if moves and r[1] >= start else r[3] for r in own}
+        rows += own
+    table = spark.createDataFrame(rows, "session_id int, frame long, raw long, smoothed_label long")
+    for bound in (2_000_000, 9):
+        spark.conf.set("spark.gapwise.maxGroupRows", str(bound))
+        try:
+            axis = plan_axis(table, ("session_id",), ("frame",), unique_step=True)
+            found = {(r.session_id, r.frame): r.final_label for r in close_labels(table, axis, "raw").collect()}
+        finally:
+            spark.conf.unset("spark.gapwise.maxGroupRows")
+        assert found == want
+    assert any(want[r[0], r[1]] != r[3] for r in rows)
+
+
 def test_non_finite_numbers_deep_inside(spark):
     from gapwise.sources.tables import non_finite_rows
 
