@@ -8,8 +8,8 @@ margin's targets, until all three agree.  A document of a cell is drawn with the
 document is drawn depends on a hash of its id and a seed: the draw is the same on every run and machine.
 
 Nulls in a margin count as the value "" of that margin, a null text has no tokens, and a document without
-tokens belongs to its cell but weighs nothing.  Rows that repeat are drawn together; a null id is hashed
-as an empty one.  An empty table gives an empty one.
+tokens belongs to its cell but weighs nothing.  Rows that repeat are drawn together; a row without an id is
+drawn by a hash of its text, and without both by that of an empty id.  An empty table gives an empty one.
 
 The cells are at most the product of the margins' values.  They are fitted in one task as long as there
 are ``CELLS_PER_TASK`` of them at most (counted), and by partitions of each margin beyond that.
@@ -95,9 +95,10 @@ def _shared(table: DataFrame) -> DataFrame:
     return table.withColumn("weight", F.col("tokens") / F.lit(total))
 
 
-def draw(key: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) from an id."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit(""))))
+def draw(key: Column, text: Column, seed: str = SEED) -> Column:
+    """A number in [0, 1) from an id, or from the text where there is none."""
+    name = F.coalesce(key.cast("string"), F.concat(F.lit("text:"), F.md5(text)), F.lit(""))
+    digest = F.md5(F.concat(F.lit(seed + ":"), name))
     return F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("double") / F.lit(float(16**DIGITS))
 
 
@@ -119,19 +120,20 @@ def mixed(docs: DataFrame, *, power: dict[str, float], key: str = "doc_id", text
     fitted = rake(cells, {m: tempered(cells, m, power.get(m, 1.0)) for m in MARGINS}, scratch)
     ratio = fitted.select(*MARGINS, F.col("weight").alias("_w"), (F.col("weight") / F.col("tokens")).alias("_r"))
     top = ratio.agg(F.max("_r")).first()[0] or 1.0
-    ratio = ratio.select(*(F.col(m).alias(f"_{m}") for m in MARGINS), "_w", (F.lit(rate) * F.col("_r") / F.lit(top)).alias("_p"))
-    n_tokens = tokens(F.col(text))
-    rows = docs.withColumns({"_n": n_tokens, "_s": F.coalesce(F.col("source").cast("string"), F.lit("")), "_l": F.coalesce(F.col("lang").cast("string"), F.lit(""))})
-    rows = rows.withColumn("_t", topic(F.col(text), F.col("_n")))
+    own_name = {c: mark_free(docs, f"_{c}") for c in ("n", "s", "l", "t", "source", "lang", "topic", "w", "p")}
+    n, s, l, t, _source, _lang, _topic, w, p = own_name.values()
+    ratio = ratio.select(*(F.col(m).alias(own_name[m]) for m in MARGINS), F.col("_w").alias(w), (F.lit(rate) * F.col("_r") / F.lit(top)).alias(p))
+    rows = docs.withColumns({n: tokens(F.col(text)), s: F.coalesce(F.col("source").cast("string"), F.lit("")), l: F.coalesce(F.col("lang").cast("string"), F.lit(""))})
+    rows = rows.withColumn(t, topic(F.col(text), F.col(n)))
     # Bounded by the product of the margins' values, which was counted above.
     ratio = F.broadcast(ratio) if cells.limit(CELLS_PER_TASK + 1).count() <= CELLS_PER_TASK else ratio
-    rows = rows.join(ratio, (F.col("_s") == F.col("_source")) & (F.col("_l") == F.col("_lang")) & (F.col("_t") == F.col("_topic")), "left")
-    chance = F.coalesce(F.col("_p"), F.lit(0.0))
-    rows = rows.where(draw(F.col(key), seed) < chance)
+    rows = rows.join(ratio, (F.col(s) == F.col(_source)) & (F.col(l) == F.col(_lang)) & (F.col(t) == F.col(_topic)), "left")
+    chance = F.coalesce(F.col(p), F.lit(0.0))
+    rows = rows.where(draw(F.col(key), F.col(text), seed) < chance)
     return rows.select(
         *docs.columns,
-        F.col("_t").alias(names["topic"]),
-        F.col("_n").alias(names["n_tokens"]),
+        F.col(t).alias(names["topic"]),
+        F.col(n).alias(names["n_tokens"]),
         chance.alias(names["probability"]),
-        F.coalesce(F.col("_w"), F.lit(0.0)).alias(names["cell_weight"]),
+        F.coalesce(F.col(w), F.lit(0.0)).alias(names["cell_weight"]),
     )

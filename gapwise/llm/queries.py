@@ -180,7 +180,7 @@ def _mixing_sql(sweeps: int = 24) -> str:
         + """
 SELECT doc_id, d.source, d.lang, d.topic, n_tokens, round(probability, 9) AS probability, round(weight, 12) AS cell_weight
 FROM docs d JOIN fitted f ON d.source = f.source AND d.lang = f.lang AND d.topic = f.topic
-WHERE CAST('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13) AS BIGINT)::DOUBLE / pow(16, 13) < probability
+WHERE CAST('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'text:' || md5(text), '')), 1, 13) AS BIGINT)::DOUBLE / pow(16, 13) < probability
 """
     )
 

@@ -205,6 +205,18 @@ def test_mixing_beyond_one_task(small, monkeypatch):
     assert rows_of(mixing.mixed(small, power={"source": 0.3}), "doc_id", F.round("probability", 9)) == want
 
 
+def test_mixing_of_rows_without_an_id_and_with_clashing_names(spark):
+    marks = ["_n", "_s", "_l", "_t", "_source", "_lang", "_topic", "_w", "_p"]
+    rows = [(None, f"{i} " + "word " * 20, "en", "large" if i % 10 else "small") for i in range(600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({m: F.lit(m) for m in marks})
+    out = mixing.mixed(table, power={"source": 0.0})
+    kept = out.collect()
+    assert out.columns[: len(table.columns)] == table.columns and all(r[m] == m for r in kept for m in marks)
+    large = [r for r in kept if r.source == "large"]
+    assert len(kept) - len(large) == 60 and abs(large[0].probability - 1 / 9) < 1e-6
+    assert 30 < len(large) < 95  # 540 rows, each with a draw of its own
+
+
 def test_empty_tables(nothing):
     assert suffix_dedup.remove_repeats(nothing).count() == 0
     assert near_dup.near_duplicates(nothing).count() == 0
