@@ -167,22 +167,24 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = 10, key: str = "vec_i
 
     ``queries``: which rows are queries.  Vectors that are null, empty, or hold null or non-finite
     components take no part, nor do rows with a null id.  Vectors only meet others of their length.  A row
-    is not compared with rows of its own id; rows that repeat an id with different vectors all count.
+    is not compared with rows of its own id; rows that repeat an id all count, and each of them that is a
+    query has a ranking of its own.
     """
     scratch = Scratch(vectors.sparkSession, "mtree")
     rows = vectors.where(usable(F.col(vector)) & F.col(key).isNotNull())
     rows = rows.select(F.col(key).cast("long").alias("id"), quantised(F.col(vector)).alias("v"), F.coalesce(queries, F.lit(False)).alias("is_query"))
-    rows = scratch.put(rows.withColumn("size", F.size("v")), "vectors")
+    # A number of its own for every row; it is written, so it stays.
+    rows = scratch.put(rows.withColumns({"size": F.size("v"), "row": F.monotonically_increasing_id()}), "vectors")
     count, asked = rows.agg(F.count(F.lit(1)), F.count_if("is_query")).first()
     trees, blocks = max(1, -(-count // TREE_ROWS)), max(1, -(-asked // QUERY_BLOCK))
-    # Trees and blocks are dealt by hashes of ids, so equal vectors spread over all of them.
-    place = F.xxhash64("id")
-    points = rows.select("size", F.pmod(place, F.lit(trees)).alias("tree"), F.lit(False).alias("asks"), "id", "v")
-    asks = rows.where("is_query").select("size", _each(trees).alias("tree"), F.lit(True).alias("asks"), "id", "v")
-    asks = asks.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    # Trees and blocks are dealt by hashes of row numbers, so equal vectors and ids spread over all of them.
+    place = F.xxhash64("row")
+    points = rows.select("size", F.pmod(place, F.lit(trees)).alias("tree"), F.lit(False).alias("asks"), "row", "id", "v")
+    asks = rows.where("is_query").select("size", _each(trees).alias("tree"), F.lit(True).alias("asks"), "row", "id", "v")
+    asks = asks.withColumn("block", F.pmod(place, F.lit(blocks)))
     points = points.withColumn("block", _each(blocks))
     both = points.unionByName(asks)
-    schema = both.select(F.col("id").alias("query_id"), F.col("id").alias("vec_id"), F.col("id").alias("score")).schema
+    schema = both.select("row", F.col("id").alias("query_id"), F.col("id").alias("vec_id"), F.col("id").alias("score")).schema
 
     def meet(table: pa.Table) -> pa.Table:
         asking = table.column("asks").to_numpy(zero_copy_only=False)
@@ -190,17 +192,19 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = 10, key: str = "vec_i
         order = np.argsort(ids[~asking], kind="stable")
         own, points = ids[~asking][order], matrix[~asking][order]
         tree = tree_of(points)
-        out = list(_answers(tree, points, own, ids[asking], matrix[asking], k))
-        return pa.table({name: pa.array(column, pa.int64()) for name, column in zip(("query_id", "vec_id", "score"), zip(*out, strict=True) if out else ([], [], []), strict=True)})
+        out = list(_answers(tree, points, own, table.column("row").to_numpy()[asking], ids[asking], matrix[asking], k))
+        return pa.table({name: pa.array(column, pa.int64()) for name, column in zip(schema.names, zip(*out, strict=True) if out else [[]] * len(schema), strict=True)})
 
     near = both.groupBy("size", "tree", "block").applyInArrow(meet, schema)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    best = Window.partitionBy("row").orderBy(F.desc("score"), F.asc("vec_id"))
     ranked = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias(key), "score")
 
 
-def _answers(tree: MTree, points: np.ndarray, own: np.ndarray, asking: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-    for query_id, query in zip(asking.tolist(), queries, strict=True):
+def _answers(
+    tree: MTree, points: np.ndarray, own: np.ndarray, rows: np.ndarray, asking: np.ndarray, queries: np.ndarray, k: int
+) -> Iterator[tuple[int, int, int, int]]:
+    for number, query_id, query in zip(rows.tolist(), asking.tolist(), queries, strict=True):
         first, last = np.searchsorted(own, query_id, "left"), np.searchsorted(own, query_id, "right")
         for score, row in search(tree, points, query, k, np.arange(first, last)):
-            yield query_id, int(own[row]), score
+            yield number, query_id, int(own[row]), score

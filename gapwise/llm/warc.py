@@ -8,7 +8,8 @@ Reading: files are parsed record by record by their declared length, so a payloa
 
 Index: every archive gives one run of captures sorted by (URL key, time, id).  Runs meet in ranges of
 that key, and each range merges its runs with a loser tree.  The ranges cut inside a URL key too, so a
-very common URL is no hot key, and ranges follow each other: the whole is in order.
+very common URL is no hot key, and ranges follow each other: the whole is in order.  There are as many
+ranges as keep each of them near ``RANGE_ROWS`` captures and ``RANGE_BYTES`` of URLs, which is what a task holds.
 
 A null payload counts as empty, a null id is the smallest of no group (it revisits, if its payload
 repeats under an id), a null URL has the key "".  Rows that repeat an id and its payload are all of the
@@ -29,8 +30,13 @@ from pyspark.sql import functions as F
 from gapwise.llm.common import Scratch
 
 LEAST_REVISIT = 100
-#: Records of one archive file: what a reading task holds at once.
-RECORDS_PER_FILE = 2_000
+#: Payloads below so many bytes, and how many of their records one archive file holds: what a reading task
+#: holds at once is about 64 MB, or one larger payload.
+FILE_CLASSES = ((32 << 10, 2_000), (1 << 20, 64), (None, 1))
+RANGE_ROWS = 50_000
+RANGE_BYTES = 32 << 20
+#: Smaller ranges as long as there are no more of them than shuffle partitions.
+LEAST_RANGE_ROWS = 4_096
 EPOCH = 1_704_067_200
 END = "\r\n\r\n"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -88,14 +94,20 @@ def _record(key: str, url: str, captured: Column) -> Column:
 
 
 def write_archives(pages: DataFrame, path: str, *, key: str = "page_id", url: str = "url", payload: str = "html", captured: Column | None = None) -> None:
-    """Write the table as compressed WARC files of at most ``RECORDS_PER_FILE`` records.
+    """Write the table as compressed WARC files, in a folder for each of ``FILE_CLASSES`` that occurs.
 
-    ``captured``: seconds since 1970; by default ``EPOCH`` plus the id.
+    Equal payloads are of one class.  ``captured``: seconds since 1970; by default ``EPOCH`` plus the id.
     """
     captured = F.lit(EPOCH) + F.coalesce(F.col(key), F.lit(0)) if captured is None else captured
-    rows = with_record_types(pages.select(key, url, payload), key=key, payload=payload)
-    writer = rows.select(_record(key, url, captured.cast("long")).alias("value")).write
-    writer.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    pages, size = pages.select(key, url, payload), F.coalesce(F.octet_length(payload), F.lit(0))
+    kind = F.lit(len(FILE_CLASSES) - 1)
+    for number in range(len(FILE_CLASSES) - 2, -1, -1):
+        kind = F.when(size < FILE_CLASSES[number][0], number).otherwise(kind)
+    present = {r.kind for r in pages.select(kind.alias("kind")).distinct().collect()}
+    for number in sorted(present | {0}):  # an empty table has an empty folder
+        rows = with_record_types(pages.where(kind == number), key=key, payload=payload)
+        writer = rows.select(_record(key, url, captured.cast("long")).alias("value")).write
+        writer.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_CLASSES[number][1]).text(f"{path}/{number}")
 
 
 READ_SCHEMA = (
@@ -150,7 +162,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     ``intact`` tells whether a response's payload has its declared digest.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     schema = files.sparkSession.createDataFrame([], READ_SCHEMA).schema
 
     def run(batches):
@@ -231,7 +243,11 @@ def capture_index(records: DataFrame, scratch: Scratch) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    ranges = records.repartitionByRange("url_key", "captured_at", "page_id", "archive", "offset").sortWithinPartitions("run", "seq")
+    records = scratch.put(records, "records")
+    count, size = records.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.concat_ws("", "url", "url_key")))).first()
+    few = min(-(-count // LEAST_RANGE_ROWS), int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, few, -(-count // RANGE_ROWS), -(-(size or 0) // RANGE_BYTES))
+    ranges = records.repartitionByRange(parts, "url_key", "captured_at", "page_id", "archive", "offset").sortWithinPartitions("run", "seq")
     merged = scratch.put(ranges.mapInArrow(merge, schema), "merged")
     # One row per range, however many captures there are.
     sizes = sorted((r["part"], r["n"]) for r in merged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())

@@ -204,6 +204,19 @@ def test_top_k_of_awkward_vectors(spark):
     assert mtree.top_k(table.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_k_of_a_repeated_query_id(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.integers(-9, 9, 4).astype(float).tolist()) for i in [0, 0, 100, *range(1, 60), 7, 7]]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [(i, [int(1024 * x) for x in v]) for i, v in rows]
+    want = []
+    for q, vector in whole[:3]:
+        scored = sorted((-sum(a * b for a, b in zip(vector, v)), i) for i, v in whole if i != q)
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(scored[:10], 1)]
+    got = mtree.top_k(table, F.col("vec_id") % 100 == 0).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+
+
 def test_tree_spares_distances():
     rng = np.random.default_rng(1)
     vectors = np.concatenate([rng.normal(c, 0.02, (500, 8)) for c in rng.normal(0, 1, (20, 8))])
@@ -238,6 +251,27 @@ def test_archives_of_awkward_pages(spark):
     assert warc.capture_index(warc.read_archives(spark, empty), scratch).count() == 0
 
 
+def test_archives_of_large_pages_in_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_CLASSES", ((50, 7), (500, 2), (None, 1)))
+    monkeypatch.setattr(warc, "RANGE_ROWS", 9)
+    rows = [(i, f"http://h{i % 3}.example/{'same' if i % 2 else i}", "p" * (i % 40) * (i % 37)) for i in range(200)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    scratch = Scratch(spark, "test-warc")
+    path = scratch.path("archives")
+    warc.write_archives(table, path)
+    parsed = warc.read_archives(spark, path)
+    held = {(r.archive.rsplit("/", 2)[1], r.n) for r in parsed.groupBy("archive").agg(F.count("*").alias("n")).collect()}
+    assert {k for k, _ in held} == {"0", "1", "2"} and all(n <= warc.FILE_CLASSES[int(k)][1] for k, n in held)
+    records = warc.capture_index(parsed, scratch).collect()
+    first = {}
+    for i, _, h in rows:
+        first.setdefault(h, i) if len(h) >= warc.LEAST_REVISIT else None
+    want = [(i, brute.sha(h), None if first.get(h, i) == i else first[h]) for i, _, h in rows]
+    assert sorted((r.page_id, r.payload_digest, r.refers_to) for r in records) == [(i, d, r) for i, d, r in want]
+    order = [(r.url_key, r.captured_at, r.page_id) for r in sorted(records, key=lambda r: r.capture_rank)]
+    assert order == sorted(order) and sorted(r.capture_rank for r in records) == list(range(1, 201))
+
+
 def test_loser_tree():
     rng = random.Random(2)
     for k in (0, 1, 2, 3, 7, 16):
