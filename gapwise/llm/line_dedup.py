@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gapwise.llm.common import Scratch, bind, document_hash, mark_free, steps
-from gapwise.llm.linking import linked, short_hashes
+from gapwise.llm.linking import linked
 from gapwise.llm.near_dup import band_keys, mix, text_bytes
 
 SHINGLE = 8
@@ -32,7 +32,12 @@ PERCENT = 80
 #: A pair at the threshold meets in some band with a probability of 0.997 (0.99 with four to eight shingles).
 ROWS, BANDS = 3, 8
 BINS = ROWS * BANDS
+BAND_KEYS = [f"band{i}" for i in range(BANDS)]
 EMPTY = np.uint32(0xFFFFFFFF)
+#: Bytes of text whose shingles are hashed at once.
+CACHED_BYTES = 128 << 10
+#: An odd factor; the upper bits of a product with it depend on all bits of the other factor.
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -43,7 +48,14 @@ def _windows(data: np.ndarray) -> np.ndarray:
 
 
 def signatures(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Filled bins of every line (each of ``SHINGLE`` bytes or more)."""
+    """Filled bins of every line (each of ``SHINGLE`` bytes or more), some lines at a time that fit a cache."""
+    first = np.searchsorted(edges, np.arange(0, edges[-1], CACHED_BYTES))
+    cuts = np.unique(np.append(first, len(edges) - 1))
+    parts = [_some_signatures(data[edges[a] : edges[b]], edges[a : b + 1] - edges[a]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return np.concatenate(parts) if parts else np.zeros((0, BINS), np.uint32)
+
+
+def _some_signatures(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
     rows = len(edges) - 1
     bins = np.full(rows * BINS, EMPTY, np.uint32)
     row = np.repeat(np.arange(rows), np.diff(edges))[: len(data) - SHINGLE + 1]
@@ -77,9 +89,11 @@ def word_lines(docs: DataFrame, *, key: str, text: str) -> DataFrame:
 
 
 def _signed(lines: DataFrame) -> DataFrame:
-    """The lines' places and hashes with their ``bands``, which are empty below ``LEAST_BYTES``."""
+    """The lines' places and hashes with their band keys, which are null below ``LEAST_BYTES``."""
     kept = [*DOC, "line_no", "h1", "h2"]
-    schema = lines.select(*kept).schema.add("bands", T.ArrayType(T.LongType(), False))
+    schema = lines.select(*kept).schema
+    for name in BAND_KEYS:
+        schema = schema.add(name, T.LongType())
 
     def run(batches):
         for batch in steps(batches, "line"):
@@ -87,28 +101,58 @@ def _signed(lines: DataFrame) -> DataFrame:
             sizes = np.diff(edges)
             long = sizes >= LEAST_BYTES
             inner = data[np.repeat(long, sizes)]
-            keys = np.zeros((0, BANDS), np.int64)
+            keys = np.zeros((len(sizes), BANDS), np.int64)
             if len(inner):
-                keys = band_keys(signatures(inner, np.concatenate(([0], np.cumsum(sizes[long])))), ROWS).view(np.int64)
-            offsets = pa.array(np.concatenate(([0], np.cumsum(long * BANDS))), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))],
-                names=[*kept, "bands"],
-            )
+                keys[long] = band_keys(signatures(inner, np.concatenate(([0], np.cumsum(sizes[long])))), ROWS).view(np.int64)
+            columns = [*(batch.column(c) for c in kept), *(pa.array(band, mask=~long) for band in keys.T.copy())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *BAND_KEYS])
 
     return lines.mapInArrow(run, schema)
 
 
+def _short(data: np.ndarray) -> np.ndarray:
+    """Sixteen bits for every shingle, for bounds only."""
+    return (_windows(data) * SPREAD >> np.uint64(48)).astype(np.uint16)
+
+
 def _short_windows(line: str) -> np.ndarray:
-    return short_hashes(mix(_windows(np.frombuffer(line.encode(), np.uint8))))
+    return _short(np.frombuffer(line.encode(), np.uint8))
+
 
+def _distinct(data: bytes | np.ndarray) -> np.ndarray:
+    ordered = np.sort(_windows(np.frombuffer(data, np.uint8)))
+    return ordered[np.append(True, ordered[1:] != ordered[:-1])]
 
-def similar(left: bytes, right: bytes) -> bool:
-    a, b = (np.unique(_windows(np.frombuffer(x, np.uint8))) for x in (left, right))
-    shared = len(np.intersect1d(a, b, assume_unique=True))
+
+def similar(left: bytes | np.ndarray, right: bytes | np.ndarray) -> bool:
+    a, b = _distinct(left), _distinct(right)
+    both = np.sort(np.concatenate((a, b)), kind="stable")  # two ascending runs
+    shared = np.count_nonzero(both[1:] == both[:-1])
     return 100 * shared >= PERCENT * (len(a) + len(b) - shared)
 
 
+def similar_pairs(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """Which rows of two columns of lines are links; lines of ``LEAST_BYTES`` or more.
+
+    Short hashes come first: they never show less than the shared shingles nor more than all of them.
+    """
+    (x, x_edges), (y, y_edges) = text_bytes(left), text_bytes(right)
+    known = np.zeros(1 << 16, bool)
+    x_short, y_short, found = _short(x), _short(y), np.zeros(len(left), bool)
+    ends = zip(x_edges[:-1].tolist(), x_edges[1:].tolist(), y_edges[:-1].tolist(), y_edges[1:].tolist(), strict=True)
+    for i, (x_start, x_end, y_start, y_end) in enumerate(ends):
+        a, b = x_short[x_start : x_end - SHINGLE + 1], y_short[y_start : y_end - SHINGLE + 1]
+        known[a] = True
+        n_a, shared = np.count_nonzero(known), min(np.count_nonzero(known[b]), len(a))
+        known[a] = False
+        known[b] = True
+        n_b = np.count_nonzero(known)
+        known[b] = False
+        if 100 * shared >= PERCENT * (n_a + n_b - shared):
+            found[i] = similar(x[x_start:x_end], y[y_start:y_end])
+    return found
+
+
 def _same_lines(left: str, right: str) -> bool:
     return similar(left.encode(), right.encode())
 
@@ -121,8 +165,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches):
         for whole in batches:
             for batch in steps([whole], "_x"):
-                same = [similar(x.as_py().encode(), y.as_py().encode()) for x, y in zip(batch.column("_x"), batch.column("_y"), strict=True)]
-                yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+                yield batch.select(["a", "b"]).filter(pa.array(similar_pairs(batch.column("_x"), batch.column("_y"))))
 
     return both.mapInArrow(run, pairs.select("a", "b").schema)
 
@@ -132,9 +175,11 @@ def duplicate_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     scratch = Scratch(docs.sparkSession, "lines")
     lines = word_lines(docs, key=key, text=text)
     signed = scratch.put(_signed(lines), "signed")
-    # A number of its own for every different line with shingles; it is written, so it stays.
-    different = signed.where(F.size("bands") > 0).groupBy("h1", "h2").agg(F.first("bands").alias("bands"))
-    different = scratch.put(different.withColumn("node", F.monotonically_increasing_id()), "different")
+    # A number of its own for every different line; it is written, so it stays.
+    keys = [F.first(c).alias(c) for c in BAND_KEYS]
+    different = signed.groupBy("h1", "h2").agg(*keys, F.count(F.lit(1)).alias("n"))
+    bands = F.when(F.col(BAND_KEYS[0]).isNotNull(), F.array(*BAND_KEYS)).alias("bands")
+    different = scratch.put(different.select("h1", "h2", "n", bands, F.monotonically_increasing_id().alias("node")), "different")
 
     held: list[DataFrame] = []
 
@@ -144,16 +189,19 @@ def duplicate_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
         held.append(scratch.put(texts, "texts"))
         return lambda pairs: _confirmed(pairs, held[0]), held[0].select("id", F.col("line").alias("payload"))
 
-    found = linked(different.select(F.col("node").alias("id"), "bands"), prepare, _short_windows, scratch, percent=PERCENT, exact=_same_lines)
-    names = different.select("node", "h1", "h2")
-    roots = names.select(F.col("node").alias("root"), F.col("h1").alias("r1"), F.col("h2").alias("r2"))
-    moved = scratch.put(names.join(found, "node").join(roots, "root").select("h1", "h2", "r1", "r2"), "moved")
+    items = different.where(F.col("bands").isNotNull()).select(F.col("node").alias("id"), "bands")
+    found = linked(items, prepare, _short_windows, scratch, percent=PERCENT, exact=_same_lines)
+    # Only lines that repeat or are in a component of several go on; the places of all others stay where they are.
+    touched = found.select("node", "root").unionByName(found.select(F.col("root").alias("node"), "root")).distinct()
+    grouped = different.select("h1", "h2", "n", "node").join(touched, "node", "left").where("n > 1 or root is not null")
+    grouped = scratch.put(grouped.select("h1", "h2", F.coalesce("root", "node").alias("root")), "grouped")
     scratch.drop(*held, different, found)
-    places = signed.select(*DOC, "line_no", "h1", "h2").join(moved, ["h1", "h2"], "left").select(*DOC, "line_no", F.coalesce("r1", "h1").alias("r1"), F.coalesce("r2", "h2").alias("r2"))
+    places = scratch.put(signed.select(*DOC, "line_no", "h1", "h2").join(grouped, ["h1", "h2"]).select(*DOC, "line_no", "root"), "places")
+    scratch.drop(signed, grouped)
     place = F.struct(*DOC, "line_no")
-    keepers = places.groupBy("r1", "r2").agg(F.min(place).alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    out = scratch.put(places.join(keepers, ["r1", "r2"]).where(~place.eqNullSafe(F.col("keeper"))).select(*DOC, "line_no"), "dropped")
-    scratch.drop(signed, moved)
+    keepers = places.groupBy("root").agg(F.min(place).alias("keeper"))
+    out = scratch.put(places.join(keepers, "root").where(~place.eqNullSafe(F.col("keeper"))).select(*DOC, "line_no"), "dropped")
+    scratch.drop(places)
     return out
 
 

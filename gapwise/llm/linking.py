@@ -149,15 +149,17 @@ def _met(rows: pa.Table, edges: list[int], hashes_of: HashesOf, exact: Exact | N
     # are never more than the elements; so no link is missed.
     hashes: dict[int, np.ndarray] = {}
     counts, sizes = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+    known = np.zeros(1 << 16, bool)
 
     def hashed(x: int) -> np.ndarray:
         """Hashes of a row that meets any other; most rows of a bucket have met before in another."""
         if x not in hashes:
-            hashes[x] = hashes_of(payloads[x])
-            counts[x], sizes[x] = len(hashes[x]), len(np.unique(hashes[x]))
+            hashes[x] = own = hashes_of(payloads[x])
+            known[own] = True
+            counts[x], sizes[x] = len(own), np.count_nonzero(known)
+            known[own] = False
         return hashes[x]
 
-    known = np.zeros(1 << 16, bool)
     pairs: list[tuple[int, int]] = []
     joined: dict[int, int] = {}
 
