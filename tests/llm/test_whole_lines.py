@@ -1,8 +1,11 @@
 """Line dedup without any least length, against a plain version of its own."""
 
 import brute
+import numpy as np
+import pyarrow as pa
 
 from gapwise.llm import line_dedup
+from gapwise.llm.near_dup import text_bytes
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -46,3 +49,38 @@ def test_many_lines_to_drop(spark):
     start = time.time()
     got = table.select(line_dedup._without("text", F.col("gone"))).first()[0]
     assert got == "\n".join(str(i) for i in range(1, n, 2)) and time.time() - start < 30
+
+
+def test_similar_pairs_equals_plain_sets():
+    random = np.random.default_rng(5)
+    left, right = [], []
+    for size in (8, 9, 20, 200, 3_000):
+        for changed in (0, 1, 2, size // 20, size // 10, size):
+            line = "".join(random.choice(list("abcé "), size))
+            edited = list(line)
+            for at in random.integers(0, size, changed):
+                edited[at] = "x"
+            left.append(line)
+            right.append("".join(edited))
+    left.append("aaaaaaaa" * 50)  # one shingle, many times
+    right.append("aaaaaaaab")
+
+    def shingles(line):
+        data = line.encode()
+        return {data[i : i + line_dedup.SHINGLE] for i in range(len(data) - line_dedup.SHINGLE + 1)}
+
+    want = []
+    for x, y in zip(map(shingles, left), map(shingles, right), strict=True):
+        want.append(100 * len(x & y) >= line_dedup.PERCENT * len(x | y))
+    assert line_dedup.similar_pairs(pa.array(left), pa.array(right)).tolist() == want
+    assert True in want and False in want
+
+
+def test_signatures_do_not_depend_on_the_step(monkeypatch):
+    random = np.random.default_rng(6)
+    lines = ["".join(random.choice(list("abcdefgh "), size)) for size in (8, 5_000, 9, 700, 64, 2_000, 8)]
+    data, edges = text_bytes(pa.array(lines))
+    whole = line_dedup.signatures(data, edges)
+    for step in (1, 100, 1_000):
+        monkeypatch.setattr(line_dedup, "CACHED_BYTES", step)
+        assert (line_dedup.signatures(data, edges) == whole).all()
