@@ -164,7 +164,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for batch in steps([whole], "_x"):
+            for batch in steps(steps([whole], "_x"), "_y"):
                 yield batch.select(["a", "b"]).filter(pa.array(similar_pairs(batch.column("_x"), batch.column("_y"))))
 
     return both.mapInArrow(run, pairs.select("a", "b").schema)
